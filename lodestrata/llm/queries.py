@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import bpe, markup, pieces
+from lodestrata.llm import abuse, bpe, markup, pieces, splits
 from lodestrata.sources.tables import table
 
 
@@ -35,4 +35,28 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_clean, p7_ids)}
+def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score_documents(table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse_scores(spark, folder).where(F.col("abuse_score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse_scores(spark, folder)
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abusive_rates(_abuse_scores(spark, folder))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.groups_across_splits(table(spark, folder, "rag_export"))
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.assign_splits(table(spark, folder, "rag_export"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_pieces, p6_found, p6_clean, p7_ids, p9_found, p9_scores, p9_rates)}
