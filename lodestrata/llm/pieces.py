@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodestrata.llm.deliveries import latest_delivery
 from lodestrata.llm.tokens import TOKEN, token_count
@@ -31,6 +31,8 @@ _SENTENCES = re.compile(r"(?<=[.!?。！？])[\"'”’)\]]*\s+")
 _CLAUSES = re.compile(r"(?<=[,;:])\s+")
 _WORDS = re.compile(r"\s+")
 _MARKS = re.compile(r"(?<=[,;|/])")
+#: Most rows of settings that are read to the driver.
+MOST_PROFILES = 1_000
 _LEVELS = ("section", "block", "row", "sentence", "clause", "word", "mark", "token")
 _PATTERNS = {"block": _BLOCKS, "row": _ROWS, "sentence": _SENTENCES, "clause": _CLAUSES, "word": _WORDS, "mark": _MARKS}
 _TEX_LEVEL = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
@@ -177,18 +179,19 @@ def split_oversized(units: DataFrame, profiles: DataFrame, default_profile: str
     """Pieces of the units whose text has more tokens than max_tokens of their profile.
 
     units: (chunk_id, text, profile, received_at), profiles: (profile, max_tokens, overlap_tokens),
-    a table of settings. A null or unknown profile means the default one. Deliveries of one chunk_id
+    a table of settings of at most MOST_PROFILES names. A null or unknown profile means the default one. Deliveries of one chunk_id
     count once, units without chunk_id each on their own; texts that fit, null and empty ones give
     no rows. Texts that fit are dropped inside the JVM, before any shuffle or Python.
     """
-    named = profiles.groupBy("profile").agg(F.max("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
-    default = named.where(F.col("profile") == default_profile).select(F.col("max_tokens").alias("default_max"), F.col("overlap_tokens").alias("default_overlap"), F.lit(1).alias("one"))
-    rows = units.select("chunk_id", "text", "profile", "received_at", F.lit(1).alias("one"))
-    limited = (
-        rows.join(named, "profile", "left")
-        .join(default, "one", "left")
-        .select("chunk_id", "text", "received_at", F.coalesce("max_tokens", "default_max").alias("limit"), F.coalesce("overlap_tokens", "default_overlap").alias("overlap"))
-    )
+    limits = {r.profile: (r.most, r.shared) for r in profiles.groupBy("profile").agg(F.max("max_tokens").alias("most"), F.max("overlap_tokens").alias("shared")).limit(MOST_PROFILES + 1).collect()}
+    if len(limits) > MOST_PROFILES or default_profile not in limits:
+        raise ValueError(f"profiles must hold {default_profile!r} and at most {MOST_PROFILES} names")
+
+    def setting(i: int) -> Column:
+        known = F.create_map(*[F.lit(x) for name, values in limits.items() if name is not None for x in (name, values[i] or 0)])
+        return F.coalesce(F.try_element_at(known, F.col("profile")), F.lit(limits[default_profile][i]))
+
+    limited = units.select("chunk_id", "text", "received_at", setting(0).alias("limit"), setting(1).alias("overlap"))
     # a text of n characters has at most n tokens, which spares counting in most
     oversized = limited.where((F.length("text") > F.col("limit")) & (token_count(F.col("text")) > F.col("limit")))
     once = latest_delivery(oversized, "chunk_id", ["text", "limit", "overlap"])
