@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import abuse, bpe, markup, pieces, splits
+from lodestrata.llm import abuse, bpe, markup, overlap, pieces, splits
+from lodestrata.llm.names import split_name
 from lodestrata.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    questions = overlap.same_figure_pairs(table(spark, folder, "examples"))
+    documents = overlap.document_pairs(table(spark, folder, "source_documents"), table(spark, folder, "elements"))
+    named = questions.select(F.lit("examples").alias("table_name"), "left_key", "right_key")
+    return named.unionByName(documents.select(F.lit("source_documents").alias("table_name"), "left_key", "right_key"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    examples, documents = table(spark, folder, "examples"), table(spark, folder, "source_documents")
+    members = examples.select(F.lit("examples").alias("table_name"), F.col("record_no").cast("string").alias("key"), F.col("dataset").alias("source"), split_name(F.col("split")).alias("split"))
+    meta = lambda k: F.try_element_at(F.col("metadata"), F.lit(k))
+    members = members.unionByName(documents.select(F.lit("source_documents").alias("table_name"), F.trim("document_id").alias("key"), meta("dataset").alias("source"), split_name(meta("split")).alias("split")))
+    return overlap.overlap_report(p1_found(spark, folder), members)
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_oversized(table(spark, folder, "units"), table(spark, folder, "chunking_profiles"))
 
@@ -59,4 +75,4 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(table(spark, folder, "rag_export"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_pieces, p6_found, p6_clean, p7_ids, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_pieces, p6_found, p6_clean, p7_ids, p9_found, p9_scores, p9_rates)}
