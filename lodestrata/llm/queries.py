@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import abuse, bpe, markup, overlap, pieces, splits
+from lodestrata.llm import abuse, bpe, markup, overlap, packing, pieces, splits
 from lodestrata.llm.names import split_name
 from lodestrata.sources.tables import table
 
@@ -51,6 +51,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, folder))
+
+
 def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.score_documents(table(spark, folder, "documents"))
 
@@ -75,4 +83,4 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(table(spark, folder, "rag_export"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_pieces, p6_found, p6_clean, p7_ids, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_pieces, p6_found, p6_clean, p7_ids, p8_containers, p8_fill, p9_found, p9_scores, p9_rates)}
