@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import problems
+from lodestrata.plans import oracles, problems, queries as library
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return library.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.SQL)
+    return oracles.SQL | problems.SQL
