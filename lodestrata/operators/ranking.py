@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestrata.functions.text import lexical_tokens, query_tokens
+from lodestrata.session import cut
 
 K1, B, EPSILON, DELTA = 1.5, 0.75, 0.25, 1.0
 #: Most units of score zero that are offered to queries without a scope.
@@ -27,31 +28,43 @@ def top_k(scored: DataFrame, k: int, digits: int | None = 9) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25_postings(units: DataFrame, scope: Sequence[str], text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(term frequencies, unit lengths, document frequencies) of units (chunk_id, *scope, text)."""
+def bm25_postings(units: DataFrame, scope: Sequence[str], text: str = "text") -> DataFrame:
+    """The index: (*scope, chunk_id, dl, term, tf) of units (chunk_id, *scope, text), written once.
+
+    Everything a search needs follows from it, so texts are read and cut into words once. Pass it to
+    bm25() in place of units to search it again.
+    """
     tokens = units.select(*scope, "chunk_id", lexical_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    tf = tokens.select(*scope, "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*scope, "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = tokens.select(*scope, "chunk_id", F.size("tokens").alias("dl"))
-    df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    return tf, lengths, df
+    terms = tokens.select(*scope, "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return cut(terms.groupBy(*scope, "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def _lengths(postings: DataFrame, scope: Sequence[str]) -> DataFrame:
+    return postings.groupBy(*scope, "chunk_id").agg(F.max("dl").alias("dl"))
 
 
-def bm25_statistics(units: DataFrame, scope: Sequence[str], text: str = "text") -> DataFrame:
+def bm25_statistics(postings: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(*scope, n_units, avg_length, n_terms) of each scope."""
-    tf, lengths, df = bm25_postings(units, scope, text)
-    sizes = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_units"), F.avg("dl").alias("avg_length"))
-    return sizes.join(df.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_terms")), list(scope))
+    sizes = _lengths(postings, scope).groupBy(*scope).agg(F.count(F.lit(1)).alias("n_units"), F.avg("dl").alias("avg_length"))
+    return sizes.join(postings.groupBy(*scope).agg(F.count_distinct("term").alias("n_terms")), list(scope))
 
 
-def _idf(df: DataFrame, lengths: DataFrame, scope: Sequence[str], variant: str) -> DataFrame:
-    sizes = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    joined = df.join(sizes, list(scope))
+def _idf(postings: DataFrame, scope: Sequence[str], variant: str) -> DataFrame:
+    """(*scope, term, idf, avgdl) of every term of a scope."""
+    df = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = _lengths(postings, scope).groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    if not scope:
+        one = sizes.first()
+        joined = df.withColumn("n", F.lit(one.n if one else 0)).withColumn("avgdl", F.lit(float(one.avgdl or 0) if one else 0.0))
+    else:
+        joined = df.join(sizes, list(scope))
     if variant == "plus":
-        return joined.withColumn("idf", F.log(F.col("n") + 1.0) - F.log(F.col("df").cast("double")))
+        return joined.select(*scope, "term", "avgdl", (F.log(F.col("n") + 1.0) - F.log(F.col("df").cast("double"))).alias("idf"))
     raw = joined.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     # frequent terms get a share of the scope's mean, taken over its vocabulary
     mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, list(scope)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
+    raw = raw.join(mean, list(scope)) if scope else raw.withColumn("mean", F.lit(float(mean.first()["mean"] or 0)))
+    return raw.select(*scope, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(
@@ -60,30 +73,33 @@ def bm25(
 ) -> DataFrame:
     """The k best units of each query.
 
-    units: (chunk_id, *scope, text), queries: (query_id, *scope, query_text). Query terms count as
+    units: (chunk_id, *scope, text), or the postings of them; queries: (query_id, *scope,
+    query_text). Query terms count as
     often as they occur, unknown ones add nothing, and units without any term stay in the ranking
     with score 0, as far as they are needed to fill k. Units and queries without tokens take no part.
     """
     if variant not in ("okapi", "plus"):
         raise ValueError("variant must be okapi or plus")
     scope = list(scope)
-    tf, lengths, df = bm25_postings(units, scope, text)
+    postings = units if "tf" in units.columns else bm25_postings(units, scope, text)
     words = query_tokens(F.col(query_text)) if normalize_query else lexical_tokens(F.col(query_text))
     terms = queries.select("query_id", *scope, F.explode(words).alias("term")).groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = _idf(df, lengths, scope, variant).select(*scope, "term", "idf", "avgdl")
-    met = terms.join(weights, [*scope, "term"]).join(tf, [*scope, "term"])
+    # weights of query terms only, found once: the statistics never meet the postings of other terms
+    weights = cut(terms.join(_idf(postings, scope, variant), [*scope, "term"]))
+    met = weights.join(postings, [*scope, "term"])
     tfn = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = met.groupBy("query_id", *scope, "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * tfn).alias("score"))
+    scores = cut(met.groupBy("query_id", *scope, "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * tfn).alias("score")))
     asked = terms.groupBy("query_id", *scope).agg(F.count(F.lit(1)).alias("n_terms"))
     if variant == "plus":
         # a term adds its idf to every unit of the scope, with or without the term
-        base = terms.join(weights, [*scope, "term"]).groupBy("query_id", *scope).agg(F.sum(F.col("times") * F.col("idf") * DELTA).alias("base"))
+        base = weights.groupBy("query_id", *scope).agg(F.sum(F.col("times") * F.col("idf") * DELTA).alias("base"))
         asked = asked.join(base, ["query_id", *scope], "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
     else:
         asked = asked.withColumn("base", F.lit(0.0))
     # only queries with fewer than k units above the base need the others
     enough = scores.where(F.round("score", 9) > 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
     needy = asked.join(enough, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", *scope)
+    lengths = _lengths(postings, scope)
     if scope:
         idle = needy.join(lengths.select(*scope, "chunk_id"), scope)
     else:
@@ -202,12 +218,16 @@ def hybrid(units: DataFrame, queries: DataFrame, unit_vectors: DataFrame, query_
     return diversify(fused.join(lineage, "chunk_id"), k=k, rows_per_parent=rows_per_parent)
 
 
-def hashed_vector(tokens: Column, dimensions: int = 32) -> Column:
-    """An embedding without a model: signed counts of tokens by hash; a stand-in for an encoder."""
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    hashed = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(hashed, F.lit(0.0), lambda a, h: a + F.when(h % dimensions == i, F.when((h / dimensions).cast("long") % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    return F.when(F.size(tokens) > 0, counts).otherwise(zeros)
+def hashed_vectors(texts: DataFrame, key: str, text: str, dimensions: int = 32) -> DataFrame:
+    """(key, embedding) without a model: signed counts of tokens by hash; a stand-in for an encoder.
+
+    Sums are taken before the shuffle. Texts without tokens have no vector.
+    """
+    h = texts.select(key, F.explode(lexical_tokens(F.col(text))).alias("t")).select(key, F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long").alias("h"))
+    sign = F.when((F.col("h") / dimensions).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
+    signed = h.select(key, (F.col("h") % dimensions).cast("int").alias("i"), sign.alias("s"))
+    sums = signed.groupBy(key).agg(*[F.sum(F.when(F.col("i") == i, F.col("s")).otherwise(0.0)).alias(f"v{i}") for i in range(dimensions)])
+    return sums.select(key, F.array(*[f"v{i}" for i in range(dimensions)]).alias("embedding"))
 
 
 Encoder = Callable[[list[str]], np.ndarray]

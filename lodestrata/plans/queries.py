@@ -53,7 +53,7 @@ def _exports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _vectors(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.select(key, ranking.hashed_vector(text.lexical_tokens(F.col(column)), DIMENSIONS).alias("embedding"))
+    return ranking.hashed_vectors(df, key, column, DIMENSIONS)
 
 
 def _bm25(spark: SparkSession, folder: str, k: int = 5, variant: str = "okapi", normalize_query: bool = False) -> DataFrame:
@@ -63,8 +63,8 @@ def _bm25(spark: SparkSession, folder: str, k: int = 5, variant: str = "okapi",
 
 def _dense(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
     units, questions = _units(spark, folder), _questions(spark, folder)
-    u = units.select("chunk_id", "document_id", ranking.hashed_vector(text.lexical_tokens(F.col("text")), DIMENSIONS).alias("embedding"))
-    q = questions.select("query_id", "document_id", ranking.hashed_vector(text.lexical_tokens(F.col("query_text")), DIMENSIONS).alias("embedding"))
+    u = units.select("chunk_id", "document_id").join(_vectors(units, "chunk_id", "text"), "chunk_id")
+    q = questions.select("query_id", "document_id").join(_vectors(questions, "query_id", "query_text"), "query_id")
     return ranking.dense(u, q, k=k, scope=["document_id"])
 
 
@@ -98,7 +98,7 @@ def content_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    stats = ranking.bm25_statistics(_units(spark, folder), ["document_id"])
+    stats = ranking.bm25_statistics(ranking.bm25_postings(_units(spark, folder), ["document_id"]), ["document_id"])
     return stats.select("document_id", "n_units", F.round("avg_length", 6).alias("avg_length"), "n_terms")
 
 
