@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestrata.functions import quantities as grammar
+from lodestrata.session import cut
 
 _NUMBERS = ("written", "scale", "factor", "shift")
 _COLUMNS = ("written", "dimension", "unit", "scale", "factor", "shift", "currency")
@@ -111,7 +112,8 @@ def same_amount_other_number(amounts: DataFrame, tolerance: float = 0.01) -> Dat
     statements of one number (a key both tables use) are one. left_no < right_no.
     """
     known = amounts.where(F.col("fact_key").isNotNull() & F.col("amount").isNotNull() & F.col("written").isNotNull())
-    known = known.select("statement_no", "fact_key", "dimension", "written", "amount")
+    # four joins read it, and the grammar should run once
+    known = cut(known.select("statement_no", "fact_key", "dimension", "written", "amount"))
     classes = known.select("fact_key", "dimension", "written", "amount").distinct()
     width = -math.log(1 - tolerance) * (1 + 1e-9)
     band = F.when(F.col("amount") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.abs("amount")) / width))
