@@ -86,14 +86,14 @@ def _grams(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size, total = len(codes), np.zeros(len(codes), np.uint64)
     ends = np.flatnonzero(codes == 10)
     # the next line end after each position; an n-gram may touch the line ends, not cross them
-    reach = np.full(size, size, np.int64)
-    reach[ends[:-1]] = ends[1:]
     starts = np.arange(size)
     nxt = ends[np.minimum(np.searchsorted(ends, starts, side="right"), len(ends) - 1)]
     nxt[starts >= ends[-1]] = -1
     big = codes.astype(np.uint64)
     base = np.uint64(1_000_003)
     for n in range(1, max(SIZES) + 1):
+        if n > size:
+            return
         total[: size - n + 1] = total[: size - n + 1] * base + big[n - 1 :]
         if n in SIZES:
             valid = starts + n - 1 <= nxt

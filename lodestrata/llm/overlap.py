@@ -30,13 +30,16 @@ SUFFIX_WORDS = 10
 #: Neighbours before a suffix that it is compared with.
 NEIGHBOURS = 3
 
-_WORDS_JAVA = r"\p{N}+(?:\.\p{N}+)*|[\p{L}\p{M}]+"
+#: A number with its inner dots, or letters; loose dots are blanked first, since a pattern that
+#: repeats a group would recurse in Java and exhaust its stack on long lists of numbers.
+_LOOSE_DOTS = r"\.(?!\p{N})|(?<!\p{N})\."
+_WORDS_JAVA = r"[\p{N}.]+|[\p{L}\p{M}]+"
 
 
 def words_of(text: Column) -> Column:
     """Words of a text: lower case, thousands unmarked, tags and punctuation left out."""
     s = F.regexp_replace(F.lower(text), r"<[^<>]{0,300}>", " ")
-    s = F.regexp_replace(s, r"(?<=\d),(?=\d{3}(?!\d))", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?<=\d),(?=\d{3}(?!\d))", ""), _LOOSE_DOTS, " ")
     return F.regexp_extract_all(s, F.lit(_WORDS_JAVA), F.lit(0))
 
 

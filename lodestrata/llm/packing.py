@@ -119,7 +119,8 @@ def pack_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", ca
 
     Only a text of more than capacity tokens is split: into full pieces, each a container of its
     own, and a rest. Null and empty texts are one piece of 0 tokens. Repeated rows and null keys
-    are documents of their own, told apart by copy; an empty table gives an empty result.
+    are documents of their own, told apart by copy (null keys by their place in the input); an empty
+    table gives an empty result.
     """
     counted = encode_column(df, key=key, text=text, out="tokens", counts_only=True, tokenizer=tokenizer)
     # repeated keys are numbered; null keys each get a number of their own, so none is a hot group
