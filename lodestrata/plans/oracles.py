@@ -228,5 +228,20 @@ SELECT query_id, md5('Retrieved context:' || chr(10) || chr(10) || coalesce(cont
     + "SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(context_mode) = 0 THEN 'context_mode' ELSE 'all' END AS scope, CASE WHEN grouping(category) = 0 THEN category WHEN grouping(context_mode) = 0 THEN context_mode ELSE 'all' END AS value, "
     + ", ".join(f"count(CASE WHEN {c} THEN 1 END) AS {c}_correct, count({c}) AS {c}_count" for c in _CHECKS)
     + " FROM scored GROUP BY GROUPING SETS ((category), (context_mode), ())",
+    "unit_rules": _with(_U)
+    + """, r AS (SELECT chunk_id AS row_key, unnest([
+  CASE WHEN coalesce(trim(text, ' '), '') = '' THEN 'text is blank' END, CASE WHEN char_count <> length(text) THEN 'char_count differs' END, CASE WHEN page_start > page_end THEN 'pages out of order' END,
+  CASE WHEN page_start < 1 THEN 'page is below 1' END, CASE WHEN chunk_index < 0 THEN 'chunk_index is negative' END, CASE WHEN len(source_element_ids) < 1 THEN 'no source element' END,
+  CASE WHEN retrieval_unit_kind IS NULL OR retrieval_unit_kind NOT IN ('chunk', 'narrative', 'table_row') THEN 'unknown kind' END,
+  CASE WHEN NOT (retrieval_unit_kind IN ('narrative', 'table_row') OR coalesce(trim(parent_chunk_id, ' '), '') = '') THEN 'a chunk has no parent' END]) AS rule FROM u)
+SELECT row_key, rule FROM r WHERE rule IS NOT NULL""",
+    "element_rules": _with(_EL)
+    + """, r AS (SELECT element_id AS row_key, unnest([
+  CASE WHEN coalesce(trim(document_id, ' '), '') = '' THEN 'document_id is blank' END, CASE WHEN element_type IS NULL OR element_type NOT IN ('heading', 'paragraph', 'table', 'table_row', 'caption', 'footnote') THEN 'unknown element_type' END,
+  CASE WHEN page_number < 1 THEN 'page_number is below 1' END, CASE WHEN (element_type IN ('table', 'table_row')) <> (table_coordinates IS NOT NULL) THEN 'coordinates only for tables and rows' END,
+  CASE WHEN table_coordinates IS NOT NULL AND coalesce(trim(table_coordinates.table_id, ' '), '') = '' THEN 'table_id is blank' END,
+  CASE WHEN table_coordinates.row_index < 0 THEN 'row_index is negative' END, CASE WHEN table_coordinates.column_index < 0 THEN 'column_index is negative' END,
+  CASE WHEN coalesce(table_coordinates.row_span, 1) < 1 OR coalesce(table_coordinates.column_span, 1) < 1 THEN 'span is below 1' END]) AS rule FROM el)
+SELECT row_key, rule FROM r WHERE rule IS NOT NULL""",
     "json_props": "SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type",
 }

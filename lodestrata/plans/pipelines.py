@@ -142,4 +142,37 @@ def read_prepared(spark: SparkSession, target: str, split: str) -> dict[str, Dat
     return {name: spark.read.json(f"{target}/{split}/{name}") for name in ("documents", "elements", "examples")}
 
 
+def validate_docfinqa(spark: SparkSession, target: str) -> DataFrame:
+    """(check_name, split, row_key) of whatever is wrong with a prepared long-document data set; none if it is sound."""
+    found = readers.manifest(f"{target}/manifest.json", "docfinqa")
+    parts: list[DataFrame] = []
+    named = lambda df, check, split, key: df.select(F.lit(check).alias("check_name"), F.lit(split).alias("split"), F.col(key).cast("string").alias("row_key"))
+    ids: DataFrame | None = None
+    for split, stats in found["splits"].items():
+        t = {n: spark.read.schema(s).json(f"{target}/{split}/{n}") for n, s in PREPARED.items()}
+        facts = t["examples"].select("example_id", F.explode("supporting_facts.element_id").alias("element_id"))
+        parts += [
+            named(integrity.duplicate_keys(t["documents"], ["document_id"]), "document repeats", split, "document_id"),
+            named(integrity.duplicate_keys(t["elements"], ["document_id", "chunk_index"]), "window repeats", split, "document_id"),
+            named(integrity.duplicate_keys(t["examples"], ["example_id"]), "example repeats", split, "example_id"),
+            named(integrity.offset_violations(t["elements"], "document_id", t["documents"]), "window differs", split, "document_id"),
+            named(integrity.missing_parents(facts, "example_id", "element_id", t["elements"], "element_id", "fact"), "fact without window", split, "row_key"),
+            named(t["examples"].where(~F.col("link_status").isin("exact", "equivalent")), "example isn't linked", split, "example_id"),
+            named(t["examples"].agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != int(stats.get("normalized", 0))), "count differs from manifest", split, "n"),
+        ]
+        own = t["examples"].select("example_id", F.lit(split).alias("split"))
+        ids = own if ids is None else ids.unionByName(own)
+    if ids is not None:
+        parts.append(named(integrity.split_overlaps(ids, "example_id"), "example in two splits", None, "example_id"))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+PREPARED = {
+    "documents": "document_id string, text string",
+    "elements": "document_id string, chunk_index int, char_start int, char_end int, text string, element_id string",
+    "examples": "example_id string, link_status string, supporting_facts array<struct<source_key:string, element_id:string, score:double>>",
+}
 RAW_SCHEMAS = {"finqa": FINQA_RAW, "docfinqa": DOCFINQA_RAW}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.functions import ids, text
-from lodestrata.operators import chunker, evaluation, export, integrity, linkage, normalize, prompts, ranking, sampling, scoring, tables
+from lodestrata.operators import chunker, constraints, evaluation, export, integrity, linkage, normalize, prompts, ranking, sampling, scoring, tables
 from lodestrata.operators.windows import char_windows, latest
 from lodestrata.sources.tables import table
 
@@ -433,6 +433,22 @@ def training_units(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.training_units(documents, _elements(spark, folder)).select("chunk_id", "document_id", "chunk_index", "source_element_ids")
 
 
+def unit_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return constraints.unit_violations(_units(spark, folder))
+
+
+def element_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return constraints.element_violations(_elements(spark, folder))
+
+
+def plain_chat_records(spark: SparkSession, folder: str) -> DataFrame:
+    known = _elements(spark, folder)
+    facts = _facts(spark, folder).join(known.select("element_id"), "element_id", "left_semi")
+    e = _examples(spark, folder).select("query_id", "dataset", "split", F.col("query_text").alias("question"), "answer")
+    records = export.chat_records(e, linkage.context_of(facts, known))
+    return records.select("query_id", "dataset", "split", F.md5(F.concat_ws("|", F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])))).alias("messages_md5"))
+
+
 def json_props(spark: SparkSession, folder: str) -> DataFrame:
     """Any-JSON column parsed as variants, by event type."""
     e = table(spark, folder, "events").select("event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
@@ -447,6 +463,6 @@ QUERIES: dict[str, Query] = {
         narrative_units, row_units_of_units, parent_lookup, markdown_chunks, qa_link_status, evidence_match, gold_lineage_map, gold_context, gold_removed_topk, gold_sufficiency,
         sample_by_hash, sample_per_split, split_80_10_10, refusal_sample, entity_conflicts, fk_violations, split_overlap, offset_violations, preparation_statistics, export_histograms,
         table_fingerprint, grounded_prompts, citations, answer_assessment, answer_metrics, refusal_guard, unit_inference, oracle_augment, budget_trim, training_records,
-        training_record_violations, refusal_records, benchmark_units, training_units, json_props,
+        training_record_violations, refusal_records, benchmark_units, training_units, unit_rules, element_rules, plain_chat_records, json_props,
     )
 }

@@ -103,3 +103,11 @@ def document_files(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, path, length) of binary files, named by their content."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("document_id"), "path", "length")
+
+
+def cached_embeddings(spark: SparkSession, path: str, model: str, revision: str, dimension: int) -> DataFrame:
+    """Unit vectors of one model and revision; a vector of other length or norm raises."""
+    rows = spark.read.parquet(path).where((F.col("model") == model) & (F.col("revision") == revision))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    sound = (F.size("embedding") == dimension) & (F.abs(norm - 1) < 1e-3)
+    return rows.withColumn("embedding", F.when(sound, F.col("embedding")).otherwise(F.raise_error(F.lit("a cached vector isn't sound")).cast("array<float>")))

@@ -130,3 +130,50 @@ def test_the_rest_doesnt_need_the_llm_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "lodestrata.llm" not in p.read_text(), p
+
+
+def test_service_answers_from_rows_and_prose(spark):
+    from lodestrata.plans.service import EvidenceService
+
+    service = EvidenceService()
+    questions = spark.createDataFrame([(1, "d", "how much cash?"), (2, "x", "unknown document?")], "query_id long, document_id string, query_text string")
+    with pytest.raises(ValueError):
+        service.search(questions)
+    md = "# Balance\n\nThe board met in May.\n\n| item | 2023 |\n|---|---|\n| cash | 5 |\n| debt | 7 |"
+    units = service.index(spark.createDataFrame([("d", 1, md, None)], "document_id string, page_number int, markdown string, source_element_ids array<string>"))
+    assert sorted(r.retrieval_unit_kind for r in units.collect()) == ["narrative", "table_row", "table_row"]
+    got = {r.query_id: r for r in service.ask(questions, lambda s, u: "5 [Source 1]" if "cash | 2023: 5" in u else "none").collect()}
+    assert got[1].answer == "5 [Source 1]" and got[1].citations[0].page_label == "1"
+    assert got[2].answer == "none" and got[2].citations is None
+    service.clear()
+    with pytest.raises(ValueError):
+        service.search(questions)
+
+
+def test_long_document_output_is_validated(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([raw(5)]))
+    doc = {"Context": "Long words. " * 30 + "cash 5", "Question": "how much cash?", "Program": "", "Answer": "5"}
+    (tmp_path / "l.json").write_text(json.dumps([doc, doc]))
+    finqa = readers.finqa_split(spark, str(tmp_path), "a.json")
+    target = str(tmp_path / "out")
+    m = pipelines.prepare_docfinqa(spark, str(tmp_path), {"train": "l.json"}, finqa, target, "0" * 40, size=100, overlap=20)
+    assert m["splits"]["train"]["normalized"] == 1 and m["splits"]["train"]["duplicates"] == 1
+    assert pipelines.validate_docfinqa(spark, target).count() == 0
+    files = list((tmp_path / "out/train/elements").glob("*.txt"))
+    for f in files:
+        f.write_text(f.read_text().replace("Long", "Lung"))
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert {r.check_name for r in pipelines.validate_docfinqa(spark, target).collect()} == {"window differs"}
+
+
+def test_rules_of_records(spark):
+    from lodestrata.operators import constraints
+
+    c = spark.createDataFrame([("a", "ratio", [1.0, 0.0], 1.0), ("b", "sum", [1.0], 1.0), ("c", "difference", [1.0, 2.0], -1.0), ("d", "percentage_change", [0.0, 2.0], None), ("e", "other", [1.0, 1.0], 1.0)], "calculation_id string, operation string, operands array<double>, result double")
+    assert {tuple(r) for r in constraints.calculation_violations(c).collect()} == {("a", "divides by zero"), ("b", "needs at least two operands"), ("d", "divides by zero"), ("d", "no result"), ("e", "unknown operation")}
+    x = spark.createDataFrame([("a", ["e"], ["s"], [2, 1]), ("b", [], ["s"], [1, 1]), ("c", ["e"], ["s"], [1, 2])], "citation_id string, evidence_ids array<string>, source_element_ids array<string>, page_numbers array<int>")
+    assert {tuple(r) for r in constraints.citation_violations(x).collect()} == {("a", "pages repeat or aren't sorted"), ("b", "no evidence"), ("b", "pages repeat or aren't sorted")}
+    a = spark.createDataFrame([("a", "answered", "x", [], []), ("b", "insufficient_evidence", None, [], ["k", "k"])], "answer_id string, status string, text string, citation_ids array<string>, calculation_ids array<string>")
+    assert {tuple(r) for r in constraints.answer_violations(a).collect()} == {("a", "an answer needs a citation"), ("b", "calculations repeat")}
+    d = spark.createDataFrame([("d", "f", 0, "zz"), ("e", " ", None, None)], "document_id string, file_name string, page_count int, checksum_sha256 string")
+    assert {tuple(r) for r in constraints.document_violations(d).collect()} == {("d", "page_count is below 1"), ("d", "checksum isn't 64 hex digits"), ("e", "file_name is blank")}
