@@ -31,9 +31,9 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, whatever their PYTHONPATH is."""
+    """Send the package to the executors once per application, unless their PYTHONPATH has it."""
     context = spark.sparkContext
-    if getattr(context, "_lodestrata_shipped", False):
+    if getattr(context, "_lodestrata_shipped", False) or str(PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
