@@ -228,6 +228,11 @@ SELECT query_id, md5('Retrieved context:' || chr(10) || chr(10) || coalesce(cont
     + "SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(context_mode) = 0 THEN 'context_mode' ELSE 'all' END AS scope, CASE WHEN grouping(category) = 0 THEN category WHEN grouping(context_mode) = 0 THEN context_mode ELSE 'all' END AS value, "
     + ", ".join(f"count(CASE WHEN {c} THEN 1 END) AS {c}_correct, count({c}) AS {c}_count" for c in _CHECKS)
     + " FROM scored GROUP BY GROUPING SETS ((category), (context_mode), ())",
+    "budget_trim": _with(_U, _EX, _FACTS, _LINEAGE, _bm25())
+    + """, g AS (SELECT DISTINCT facts.query_id, lineage.chunk_id FROM facts JOIN lineage USING (element_id)),
+c AS (SELECT rk.query_id, rk.chunk_id, rk.rank, coalesce(u.token_count, 0) AS n, g.chunk_id IS NOT NULL AS is_gold FROM rk JOIN u USING (chunk_id) LEFT JOIN g ON g.query_id = rk.query_id AND g.chunk_id = rk.chunk_id),
+w AS (SELECT *, sum(CASE WHEN is_gold THEN n ELSE 0 END) OVER (PARTITION BY query_id) AS gold, sum(CASE WHEN is_gold THEN 0 ELSE n END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS others FROM c)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY w.rank) AS rank, is_gold, gold > 600 AS overflow FROM w WHERE is_gold OR gold + others <= 600""",
     "unit_rules": _with(_U)
     + """, r AS (SELECT chunk_id AS row_key, unnest([
   CASE WHEN coalesce(trim(text, ' '), '') = '' THEN 'text is blank' END, CASE WHEN char_count <> length(text) THEN 'char_count differs' END, CASE WHEN page_start > page_end THEN 'pages out of order' END,
