@@ -34,7 +34,12 @@ _DISGUISED = re.compile(r"(?<![\w@$!*])(?=[^\s]*[a-zà-ÿ])(?=[^\s]*[@013457$!])
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)|(?<!\S)(?:[^\W\d_]  ?){2,}(?:  +(?:[^\W\d_] ){1,}[^\W\d_])*(?!\S)")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _FOREIGN = re.compile(r"[^\x00-ɏ‐-‧₠-₿]+")
-_BREAK = re.compile(r"(?<=[.!?…])\s+|\n+|(?<=[.!?])(?=[\"”»])")
+_BREAK = re.compile(r"([.!?…]+)[\"”»’)]*\s+")
+_SHOUTS = re.compile(r"!+(?=\s|$)")
+_MIXED = re.compile(r"[@$!013457][a-zà-ÿ]|[a-zà-ÿ][@$!013457]")
+_APART = re.compile(r" [^\W\d_] {1,3}[^\W\d_] ")
+_APART_LINE = re.compile(r"\n[^\W\d_] {1,3}[^\W\d_] ")
+_TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyzäöüßéèàçñáíóú")
 _DIGITS = re.compile(r"\d[\d,.]*")
 
 
@@ -46,26 +51,30 @@ def _unmask(m: re.Match) -> str:
 
 
 def fold(text: str) -> str:
-    """The text as the classifier reads it: one sentence a line, disguises undone."""
+    """The text as the classifier reads it: one sentence a line, disguises undone.
+
+    Costly patterns run only where a cheap look says that they may match.
+    """
     s = unicodedata.normalize("NFKC", text) if not text.isascii() else text
     s = _INVISIBLE.sub("", s).casefold()
-    s = re.sub(r"(?<=\S)[ \t\xa0]+\n|\n[ \t\xa0]+", "\n", s)
-    s = _FOREIGN.sub(" ", s)
-    s = re.sub(r"!+(?=\s|$)", ".", s)
-    if any(c in s for c in "@$!01345"):
+    if not s.isascii():
+        s = _FOREIGN.sub(" ", s)
+    if "!" in s:
+        s = _SHOUTS.sub(".", s)
+    if _MIXED.search(s):
         s = _DISGUISED.sub(_unmask, s)
-    s = _SPACED.sub(lambda m: re.sub(r" {2,}", "\x01", m.group()).replace(" ", "").replace("\x01", " "), s)
-    s = _REPEATED.sub(r"\1", s)
-    s = _BREAK.sub("\n", s)
-    s = _DIGITS.sub("0", s)
-    return re.sub(r"[^\S\n]+", " ", s)
+    if _APART.search(" " + s) or _APART_LINE.search("\n" + s):
+        s = _SPACED.sub(lambda m: re.sub(r" {2,}", "\x01", m.group()).replace(" ", "").replace("\x01", " "), s)
+    if any(x in s for x in _TRIPLES):
+        s = _REPEATED.sub(r"\1", s)
+    return _DIGITS.sub("0", _BREAK.sub("\\1\n", s))
 
 
 def sentences(text: str, width: int = 110) -> list[str]:
     """Folded sentences, and of longer ones also overlapping windows, so that none is diluted."""
     out = []
     for line in fold(text).split("\n"):
-        line = line.strip()
+        line = " ".join(line.split())
         if not line:
             continue
         if len(line) <= 4 * width:
