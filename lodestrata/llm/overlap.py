@@ -25,6 +25,8 @@ from lodestrata.session import cut, parallelism
 
 #: Share of the words of either text that must lie in shared spans.
 COVERAGE = 0.8
+#: Words below which a text may not have one word for another.
+SHORT = 10
 #: Words of a suffix that are sorted by; longer common prefixes show at the next positions.
 SUFFIX_WORDS = 10
 #: Neighbours before a suffix that it is compared with.
@@ -47,6 +49,8 @@ def coverage(a: list[str], b: list[str]) -> float:
     """The smaller share of the words of either text that lie in spans of two or more shared words.
 
     A word that no span covers still counts if a left-over word of the other text is one slip away.
+    In a text of fewer than SHORT words no word may stand for another: a title of another firm or
+    measure is no copy.
     """
     if not a or not b:
         return 0.0
@@ -71,7 +75,10 @@ def coverage(a: list[str], b: list[str]) -> float:
                 n = min(rest_a[w], rest_b[near])
                 rest_a[w] -= n
                 rest_b[near] -= n
-    return min(1 - sum(rest_a.values()) / len(a), 1 - sum(rest_b.values()) / len(b))
+    lost_a, lost_b = sum(rest_a.values()), sum(rest_b.values())
+    if lost_a and lost_b and min(len(a), len(b)) < SHORT:
+        return 0.0
+    return min(1 - lost_a / len(a), 1 - lost_b / len(b))
 
 
 def _common_words(a: str, b: str) -> int:
@@ -170,8 +177,10 @@ def text_classes(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.string()) for c in (a, b)], names=["a", "b"])
 
     words = held.select("text_key", "words")
+    # coverage leaves at most 0.4 of the words to slips, so more words without counterpart fail already inside the JVM
+    common = (F.size(F.array_except("x", "y")) <= 0.4 * F.size("x")) & (F.size(F.array_except("y", "x")) <= 0.4 * F.size("y"))
     both = links.distinct().join(words.select(F.col("text_key").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("text_key").alias("b"), F.col("words").alias("y")), "b")
-    alike = both.select("a", "b", "x", "y").mapInArrow(judged, _LINK)
+    alike = both.select("a", "b", "x", "y").where(common).mapInArrow(judged, _LINK)
     return components(texts.select(F.col("text_key").alias("node")), alike).select(F.col("node").alias("text_key"), F.col("component").alias("class"))
 
 

@@ -38,6 +38,8 @@ def test_coverage():
     a = "the net sales of the year rose by 5 percent".split()
     assert overlap.coverage(a, a) == 1.0 and overlap.coverage(a, []) == 0.0
     assert overlap.coverage(a, "the net sales of the yaer rose by 5 percent".split()) == 1.0
+    assert overlap.coverage("table 4 goodwill of acmex".split(), "table 4 goodwill of bolux".split()) == 0.0
+    assert overlap.coverage("table 4 goodwill of acmex".split(), "table 4 godwill of acmex".split()) == 1.0
     assert overlap.coverage(a, "an entirely different line of words without anything".split()) < 0.3
 
 
