@@ -5,14 +5,17 @@ into one suffix array, range-partitioned and sorted by (digest of the text's num
 texts that differ in a number differ in meaning, so they never need to meet, and the text at the end
 of the key lets the range partitioning split even equal suffixes. Neighbours in the array with long
 common prefixes name candidate texts; the words of a candidate that lie in spans both share are
-merged into its coverage, and texts that cover each other form one class. Documents are compared by
-the classes of their elements, over a prefix of their rarest ones.
+merged into its coverage, and texts that cover each other form one class. A suffix has only a few
+neighbours, so texts of different classes that share one of their rarest words are compared as well;
+no pair escapes that. Documents are compared by the classes of their elements, over a prefix of
+their rarest ones.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -27,10 +30,14 @@ from lodestrata.session import cut, parallelism
 COVERAGE = 0.8
 #: Words below which a text may not have one word for another.
 SHORT = 10
-#: Words of a suffix that are sorted by; longer common prefixes show at the next positions.
+#: Share of a text's words beyond which its words without counterpart can't be slips.
+SLIPS = 0.4
+#: Words of a suffix that are sorted by. The array only joins most texts early, `_unseen` finds the rest.
 SUFFIX_WORDS = 10
 #: Neighbours before a suffix that it is compared with.
 NEIGHBOURS = 3
+#: Texts of one side that a task compares with all texts that share a word with them.
+SIDE = 500
 
 #: A number with its inner dots, or letters; loose dots are blanked first, since a pattern that
 #: repeats a group would recurse in Java and exhaust its stack on long lists of numbers.
@@ -68,7 +75,7 @@ def coverage(a: list[str], b: list[str]) -> float:
     rest_a, rest_b = Counter(left_over(a, b)), Counter(left_over(b, a))
     both = rest_a & rest_b
     rest_a, rest_b = rest_a - both, rest_b - both
-    if sum(rest_a.values()) <= 0.4 * len(a) and sum(rest_b.values()) <= 0.4 * len(b):
+    if sum(rest_a.values()) <= SLIPS * len(a) and sum(rest_b.values()) <= SLIPS * len(b):
         for w in list(rest_a):
             near = next((v for v in rest_b if rest_b[v] and len(w) > 3 and not w[0].isdigit() and slip(w, v)), None)
             if near is not None:
@@ -145,6 +152,81 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(found)
 
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the (a, b, x, y) whose words x and y cover each other."""
+    for batch in batches:
+        a, b, x, y = (c.to_pylist() for c in batch.columns)
+        keep = [coverage(p, q) >= COVERAGE for p, q in zip(x, y)]
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.string()) for c in (a, b)], names=["a", "b"])
+
+
+@lru_cache(maxsize=200_000)
+def _near(a: str, b: str) -> bool:
+    return slip(a, b)
+
+
+def _judged_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, q) of the (p, q, x, y) whose joined words x and y cover each other.
+
+    Before the whole rule a cheap one, never false for texts alike: words without counterpart must
+    be slips but for a fifth, and in short texts on one side all of them.
+    """
+    seen: set[tuple[str, str]] = set()
+    for batch in batches:
+        found = []
+        for p, q, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            if (p, q) in seen:
+                continue
+            a, b = x.split(" "), y.split(" ")
+            in_a, in_b = set(a), set(b)
+            lost_a, lost_b = [w for w in a if w not in in_b], [w for w in b if w not in in_a]
+            if lost_a or lost_b:
+                alone_a = sum(not any(_near(v, w) for v in in_b) for w in lost_a)
+                alone_b = sum(not any(_near(v, w) for v in in_a) for w in lost_b)
+                most = 1 - COVERAGE
+                if alone_a > most * len(a) + 0.001 or alone_b > most * len(b) + 0.001 or (alone_a and alone_b and min(len(a), len(b)) < SHORT):
+                    continue
+            if coverage(a, b) >= COVERAGE:
+                seen.add((p, q))
+                found.append((p, q))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["a", "b"])
+
+
+def _able(x: str, y: str, n: Column, m: Column) -> Column:
+    """Whether texts of n and m words, x and y, might cover each other: more words without counterpart fail already inside the JVM."""
+    return (F.size(F.array_except(x, y)) <= SLIPS * n) & (F.size(F.array_except(y, x)) <= SLIPS * m)
+
+
+def _unseen(marked: DataFrame) -> DataFrame:
+    """(a, b) of classes that hold texts alike; marked: (text_key, words, lead, class).
+
+    An exact prefix filter: at most SLIPS of the words of a text may be missing from one like it, so
+    among its rarest words that make up more than that share is the rarest word both have, and the
+    same holds for the other text. Words are ranked within texts of the same numbers. Pairs of one
+    class are settled; lists of texts with a word in common are split by SIDE.
+    """
+    mixed = marked.groupBy("lead").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("lead")
+    marked = cut(marked.join(mixed, "lead", "left_semi"))
+    counted = marked.select("lead", "text_key", "class", F.size("words").alias("n"), F.explode("words").alias("word")).groupBy("lead", "text_key", "class", "n", "word").agg(F.count(F.lit(1)).alias("times"))
+    ranked = counted.join(counted.groupBy("lead", "word").agg(F.count(F.lit(1)).alias("df")), ["lead", "word"])
+    rarer = Window.partitionBy("text_key").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = ranked.withColumn("before", F.coalesce(F.sum("times").over(rarer), F.lit(0))).where(F.col("before") <= SLIPS * F.col("n"))
+    prefix = cut(prefix.select("lead", "word", "text_key", "class", "df"))
+    lists = prefix.groupBy("lead", "word").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    lists = lists.select("lead", "word", F.ceil(F.col("k") / SIDE).cast("int").alias("sides"))
+    # digests of words compare faster; equal ones of other words only let a pair through
+    digests = F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w))
+    rare = prefix.groupBy("text_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda w: F.xxhash64(w["word"])).alias("rare"))
+    rows = cut(prefix.drop("df").join(lists, ["lead", "word"]).join(rare, "text_key").join(marked.select("text_key", F.array_join("words", " ").alias("words"), F.size("words").alias("n"), digests.alias("digests")), "text_key"))
+    one = rows.select("lead", "word", F.pmod(F.xxhash64("text_key"), F.col("sides")).cast("int").alias("side"), F.col("text_key").alias("a"), F.col("class").alias("p"), F.col("words").alias("x"), F.col("n").alias("n"), F.col("digests").alias("u"), F.col("rare").alias("r"))
+    other = rows.select("lead", "word", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("text_key").alias("b"), F.col("class").alias("q"), F.col("words").alias("y"), F.col("n").alias("m"), F.col("digests").alias("v"), F.col("rare").alias("s"))
+    # a pair is judged where its rarest common word is
+    here = F.try_element_at(F.array_intersect("r", "s"), F.lit(1)) == F.xxhash64("word")
+    met = one.join(other, ["lead", "word", "side"]).where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & here & _able("u", "v", F.col("n"), F.col("m")))
+    return met.select("p", "q", "x", "y").mapInArrow(_judged_once, _LINK).distinct()
+
+
 def text_classes(texts: DataFrame) -> DataFrame:
     """(text_key, class) of distinct texts (text_key, words); class is the smallest key of texts alike.
 
@@ -170,18 +252,13 @@ def text_classes(texts: DataFrame) -> DataFrame:
     if across:
         links = links.unionByName(spark.createDataFrame(sorted(across), _LINK))
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            keep = [coverage(p, q) >= COVERAGE for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.string()) for c in (a, b)], names=["a", "b"])
-
     words = held.select("text_key", "words")
-    # coverage leaves at most 0.4 of the words to slips, so more words without counterpart fail already inside the JVM
-    common = (F.size(F.array_except("x", "y")) <= 0.4 * F.size("x")) & (F.size(F.array_except("y", "x")) <= 0.4 * F.size("y"))
     both = links.distinct().join(words.select(F.col("text_key").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("text_key").alias("b"), F.col("words").alias("y")), "b")
-    alike = both.select("a", "b", "x", "y").where(common).mapInArrow(judged, _LINK)
-    return components(texts.select(F.col("text_key").alias("node")), alike).select(F.col("node").alias("text_key"), F.col("component").alias("class"))
+    alike = both.select("a", "b", "x", "y").where(_able("x", "y", F.size("x"), F.size("y"))).mapInArrow(_judged, _LINK)
+    first = cut(components(held.select(F.col("text_key").alias("node")), alike).select(F.col("node").alias("text_key"), F.col("component").alias("class")))
+    merged = components(first.select(F.col("class").alias("node")), _unseen(held.join(first, "text_key")))
+    classes = first.join(merged.withColumnRenamed("node", "class"), "class").select("text_key", "component")
+    return texts.select("text_key").where(F.col("text_key").isNotNull()).distinct().join(classes, "text_key", "left").select("text_key", F.coalesce("component", "text_key").alias("class"))
 
 
 def split_sides(df: DataFrame, key: Column, split: Column) -> DataFrame:

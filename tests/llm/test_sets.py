@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -91,6 +92,19 @@ def test_classes_equal_brute_force(spark):
     assert {r.text_key: r["class"] for r in overlap.text_classes(texts).collect()} == {k: find(k) for k in keys}
 
 
+def test_near_copies_far_apart_in_the_array(spark):
+    """What both share beside the wording of all texts stands between words that differ."""
+    frame = [f"frame{c}" for c in "abcdefghijkl"]
+    word = lambda *n: "".join(chr(97 + int(c, 16)) for c in hashlib.md5(repr(n).encode()).hexdigest()[:9])
+    rows = [frame + [w for j in range(4) for w in (word(i, j, copy), word(i, j))] for copy in (1, 2) for i in range(60)]
+    texts = spark.createDataFrame([(r,) for r in rows], "words array<string>").withColumn("text_key", F.md5(F.array_join("words", " ")))
+    keys = {tuple(r.words): r.text_key for r in texts.collect()}
+    classes = {r.text_key: r["class"] for r in overlap.text_classes(texts).collect()}
+    ours = [classes[keys[tuple(r)]] for r in rows]
+    assert all(overlap.coverage(rows[i], rows[60 + i]) >= overlap.COVERAGE for i in range(60))
+    assert ours[:60] == ours[60:] and len(set(ours)) == 60
+
+
 def test_questions_across_splits(spark):
     q = lambda n, split, text: (n, split, text)
     rows = [q(9, "train", "what was the goodwill of Acmex in 2015?"), q(10, "TEST", "how much goodwill did Acmex report for 2015?"), q(11, "Training", "how much goodwill did Acmex report for FY15?"), q(12, None, "how much goodwill did Acmex report for 2015?"), q(13, "val", None), q(9, "train", "what was the goodwill of Acmex in 2015?")]
