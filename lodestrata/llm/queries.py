@@ -40,7 +40,7 @@ def _markup_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return markup.markup_found(_markup_rows(spark, folder)).select("table_name", "row_key")
+    return p6_clean(spark, folder).where(F.size("constructs") > 0).select("table_name", "row_key")
 
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:

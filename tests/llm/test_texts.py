@@ -4,7 +4,7 @@ import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from lodestrata.llm import bpe, markup, pieces
+from lodestrata.llm import bpe, markup, pieces, queries
 from lodestrata.llm.tokens import TOKEN, token_count
 from pyspark.sql import functions as F
 
@@ -156,3 +156,11 @@ def test_markup_rows(spark):
     cleaned = {(r.row_key, r.clean_text) for r in markup.clean_markup(named).collect()}
     assert cleaned == {("a", "x"), ("b", "x"), (None, ""), ("c", None), ("d", "")}
     assert markup.clean_markup(named).count() == 6 and markup.markup_found(named.limit(0)).count() == 0
+
+
+def test_found_rows_are_those_of_the_cleaning(spark, small):
+    found = queries.p6_found(spark, small)
+    assert "_arrow(" in found._jdf.queryExecution().optimizedPlan().toString()
+    cleaned = queries.p6_clean(spark, small).where(F.size("constructs") > 0).collect()
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r.table_name, r.row_key) for r in cleaned)
+    assert cleaned and all(r.blocks is not None and r.clean_text is not None for r in cleaned)
