@@ -242,3 +242,11 @@ def from_arrays(values: list[str] | None, units: list[str] | None) -> Amount | N
             words = parse_unit(" ".join(u for u in units if u)) if units is not None else NOTHING
             return amount(found[0], said.filled_from(words or NOTHING))
     return None
+
+
+def units_of(units: list[str] | None, at: int, values: int) -> list[str] | None:
+    """The unit words of the value at a place: its own where each value has a unit beside it, else all."""
+    if units is None or values < 2 or len(units) != values:
+        return units
+    each = [parse_unit(u) for u in units]
+    return [units[at]] if all(said is not None and said.unit is not None for said in each) else units

@@ -35,8 +35,8 @@ def _parse_parts(value: pd.Series, unit: pd.Series, label: pd.Series) -> pd.Data
 
 
 @F.pandas_udf(PARSED)
-def _parse_arrays(values: pd.Series, units: pd.Series) -> pd.DataFrame:
-    rows = [_describe(grammar.from_arrays(v, u)) for v, u in zip(values, units)]
+def _parse_arrays(value: pd.Series, at: pd.Series, n: pd.Series, units: pd.Series) -> pd.DataFrame:
+    rows = [_describe(grammar.from_arrays(None if v is None else [v], u if a != a else grammar.units_of(u, int(a), int(k)))) for v, a, k, u in zip(value, at, n, units)]
     return pd.DataFrame(rows, columns=_COLUMNS)
 
 
@@ -62,9 +62,13 @@ def operand_statements(operands: DataFrame) -> DataFrame:
 
 
 def export_statements(rag_export: DataFrame) -> DataFrame:
-    """Statements of (record_no, fact_key, expected_values, expected_units); nothing else tells the unit."""
+    """Statements of (record_no, fact_key, expected_values, expected_units), one for each value.
+
+    Nothing but the arrays tells the unit. A record without values is one statement without amount.
+    """
     rows = _one_delivery(rag_export.select("record_no", "fact_key", "expected_values", "expected_units", "received_at"), "record_no")
-    parsed = _parse_arrays("expected_values", "expected_units")
+    rows = rows.select("*", F.size("expected_values").alias("_n"), F.posexplode_outer("expected_values").alias("_at", "_value"))
+    parsed = _parse_arrays("_value", "_at", "_n", "expected_units")
     return rows.select(F.lit("rag_export").alias("table_name"), F.col("record_no").alias("statement_no"), "fact_key", parsed.alias("parsed"))
 
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from hypothesis import given, settings, strategies as st
 from lodestrata.functions import quantities as q
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize(
@@ -98,3 +99,14 @@ def test_statements_keep_rows_without_units(spark, small):
     assert len(keys) == len(set(keys))
     assert {r.unresolved for r in rows} >= {None, "no unit or number"}
     assert all((r.amount is None) == (r.unresolved is not None) for r in rows)
+
+
+def test_every_value_of_an_array_is_a_statement(spark):
+    from lodestrata.operators.quantities import export_statements, in_common_units
+
+    rows = [(1, ["12", "15"], ["$", "million"]), (2, ["3", "n/a", None, "4"], ["USD"]), (3, ["5", "7"], ["USD", "EUR"]), (4, [], ["USD"]), (5, None, None), (6, ["8 shares"], [])]
+    df = spark.createDataFrame(rows, "record_no long, expected_values array<string>, expected_units array<string>").withColumns({"fact_key": F.lit("a|b|2020"), "received_at": F.lit(None).cast("timestamp_ntz")})
+    rates = spark.createDataFrame([("EUR", 2020, 2.0)], "currency string, fiscal_year int, usd_per_unit double")
+    got = sorted(((r.statement_no, r.written, r.amount, r.unresolved) for r in in_common_units(export_statements(df), rates).collect()), key=lambda r: (r[0], r[1] is None, r[1]))
+    none = (None, None, "no unit or number")
+    assert got == [(1, 12.0, 12e6, None), (1, 15.0, 15e6, None), (2, 3.0, 3.0, None), (2, 4.0, 4.0, None), (2, *none), (2, *none), (3, 5.0, 5.0, None), (3, 7.0, 14.0, None), (4, *none), (5, *none), (6, 8.0, 8.0, None)]
