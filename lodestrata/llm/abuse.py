@@ -203,7 +203,8 @@ def fit_rows(labelled: DataFrame, *, text: str = "text", label: str = "label", m
 def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", model: Model | None = None) -> DataFrame:
     """(key, source, abuse_score, n_sentences) of every row; every sentence of the whole text is read.
 
-    abuse_score is the highest of the sentences' probabilities, 0.0 for null, empty and blank texts.
+    Only Latin script is judged: other letters are blanked, since the model has no labelled sentences
+    in them, so abuse written in Cyrillic, Greek, Arabic or CJK isn't found. abuse_score is the highest of the sentences' probabilities, 0.0 for null, empty and blank texts.
     Repeated rows and null keys give a row each. The model is a fixed megabyte, sent as a broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model or default_model())
