@@ -27,8 +27,9 @@ FRAME = (
     "two up us value values was we were what whats when which who will with within would year years you your figure figures amount company firm group ended ending"
 ).split()
 #: Words of unit expressions at a question's end.
-UNIT_WORDS = "us usd eur gbp dollar dollars euro euros pound pounds sterling million millions thousand thousands billion billions mm mn bn k s percent pct cent basis point points bp bps ratio fraction decimal shares share shs acre acres sq ft ft2 m2 m square feet foot metres meters metre meter kwh mwh gwh kilowatt megawatt gigawatt hour hours kg kilograms kilogram lb lbs t tonnes tonne metric short ton tons bbl barrel barrels".split()
+UNIT_WORDS = "us usd eur gbp dollar dollars euro euros pound pounds sterling million millions thousand thousands billion billions mm mn bn k s percent pct cent basis point points bp bps ratio fraction decimal shares share shs acre acres sq ft ft2 m2 m square feet foot metres meters metre meter kwh mwh gwh kilowatt megawatt gigawatt hour hours kilowatt-hour kilowatt-hours megawatt-hour megawatt-hours gigawatt-hour gigawatt-hours kg kilograms kilogram lb lbs t tonnes tonne metric short ton tons bbl barrel barrels".split()
 
+_KNOWN_MEASURES = "(?<![a-z])(?:" + "|".join(re.escape(m) for m in sorted(MEASURES, key=lambda m: (-len(m), m))) + ")(?![a-z])"
 _KNOWN = sorted({w for w in [*PERCENT, *CHANGE, *AVERAGE, *SUM, *FRAME] if len(w) >= 3})
 _MEASURE_WORDS = sorted({w for m in MEASURES for w in re.findall(r"[a-z]+", m)})
 
@@ -68,25 +69,59 @@ def _years(s: str) -> tuple[list[int], str]:
     return sorted(found), _YEAR.sub(" ", s)
 
 
-def figure(text: str | None) -> str | None:
-    """kind|measure|entity|years of a question; None for a text that asks for no figure of a year."""
+#: Words after which a firm may be named, the surest first.
+_LEADS = ("did", "at", "by", "of", "for")
+
+
+def _entity(words: list[str], content: set[str]) -> tuple[int, int]:
+    """Where the firm is named, from and to: by its genitive, by a leading "for", else behind the surest of _LEADS, the last one of its kind.
+
+    A name runs on over legal forms, also behind a comma, to the next word of the question's frame.
+    """
+    def run(i: int) -> int:
+        while i < len(words) and (words[i] in content or words[i] in LEGAL_FORMS or (words[i] == "," and i + 1 < len(words) and words[i + 1] in LEGAL_FORMS)):
+            i += 1
+        return i
+
+    for i, w in enumerate(words):
+        if w == GENITIVE and i and words[i - 1] in content:
+            start = i
+            while start and (words[start - 1] in content or words[start - 1] in LEGAL_FORMS):
+                start -= 1
+            return start, i
+    named = [(i + 1, run(i + 1)) for i, w in enumerate(words) if w in _LEADS and i + 1 < len(words) and words[i + 1] in content]
+    leading = [n for n in named if words[n[0] - 1] == "for" and n[1] < len(words) and words[n[1]] == "," and not content.intersection(words[: n[0]]) and "|" not in words[: n[0]]]
+    if leading:
+        return leading[0]
+    for lead in _LEADS:
+        of_kind = [n for n in named if words[n[0] - 1] == lead]
+        if of_kind:
+            return of_kind[-1]
+    return 0, 0
+
+
+GENITIVE = "'s"
+
+
+def figure(text: str | None) -> tuple[str, str] | None:
+    """(kind|measure|years, entity) of a question; None for a text that asks for no figure of a year.
+
+    The entity is the whole name without legal forms. Measures that no list knows are what the
+    question holds beside its frame, in order.
+    """
     if not text or not text.strip():
         return None
     s = unicodedata.normalize("NFKC", text).casefold()
-    s = re.sub("[­​-‏﻿]", "", s)
+    s = re.sub("[\u00ad\u200b-\u200f\ufeff]", "", s)
     years, s = _years(s)
     if not years:
         return None
     s = re.sub(r"\([^()]*\)|\[[^\[\]]*\]", " ", s)
-    raw = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*|,|:", s)
-    words = [respelled(w) if w not in ",:" else w for w in raw]
-    joined = " ".join(words)
-    measure = ""
-    for name in sorted(MEASURES, key=lambda m: (-len(m), m)):
-        if re.search(rf"(?<![a-z]){re.escape(name)}(?![a-z])", joined):
-            measure = name
-            joined = re.sub(rf"(?<![a-z]){re.escape(name)}(?![a-z])", " | ", joined, count=1)
-            break
+    s = re.sub(r"(?<=\w)['\u2019]s\b", f" {GENITIVE} ", s)
+    raw = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*|,|:|'s", s)
+    joined = " ".join(respelled(w) if w not in (",", ":", GENITIVE) else w for w in raw)
+    measures = re.findall(_KNOWN_MEASURES, joined)
+    joined = re.sub(_KNOWN_MEASURES, "|", joined)
     # a unit told behind a comma, "in ..." or "expressed in ...", says nothing about the figure
     units = "|".join(UNIT_WORDS)
     joined = re.sub(rf",\s*(?:expressed |stated |measured )?(?:in )?(?:(?:{units}|of|per)(?:\s+|$))+$", " ", joined.strip() + " ").strip()
@@ -103,14 +138,16 @@ def figure(text: str | None) -> str | None:
         kind = "sum"
     else:
         kind = "value" if len(years) == 1 else "values"
-    common = {*PERCENT, *CHANGE, *AVERAGE, *SUM, *FRAME, *LEGAL_FORMS}
-    rest = [w for w in words if w not in common and w not in "|,:"]
-    if measure:
-        # a firm's line of business and legal form are left out as often as not
-        led = [w for before, w in zip(words, words[1:]) if w in rest and before in ("of", "at", "for", "did", "by")]
-        entity = (led or rest or [""])[0]
+    frame = {*PERCENT, *CHANGE, *AVERAGE, *SUM, *FRAME, *LEGAL_FORMS, "|", ",", ":", GENITIVE}
+    content = {w for w in words if w not in frame}
+    start, end = _entity(words, content)
+    if not end and measures:
+        # beside a known measure only the firm is left
+        entity, rest = [w for w in words if w in content], []
     else:
-        measure, entity = " ".join(sorted(rest)), ""
+        entity = [w for w in words[start:end] if w in content]
+        rest = [w for w in words[:start] + words[end:] if w in content]
+    measure = " ".join([*measures, *rest])
     if not measure and not entity:
         return None
-    return f"{kind}|{measure}|{entity}|{','.join(map(str, years))}"
+    return f"{kind}|{measure}|{','.join(map(str, years))}", " ".join(entity)

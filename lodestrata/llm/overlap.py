@@ -1,43 +1,44 @@
 """Same or almost the same records across splits (problem 1).
 
-Texts are reduced to words and collapsed to distinct ones. All suffixes of the distinct texts go
-into one suffix array, range-partitioned and sorted by (digest of the text's numbers, suffix, text):
-texts that differ in a number differ in meaning, so they never need to meet, and the text at the end
-of the key lets the range partitioning split even equal suffixes. Neighbours in the array with long
-common prefixes name candidate texts; the words of a candidate that lie in spans both share are
-merged into its coverage, and texts that cover each other form one class. A suffix has only a few
-neighbours, so texts of different classes that share one of their rarest words are compared as well;
-no pair escapes that. Documents are compared by the classes of their elements, over a prefix of
-their rarest ones.
+Texts are reduced to words and collapsed to distinct ones, each with the sides (train, or one of the
+other splits) that hold it. A sparse suffix array brings texts of the two sides together: its
+suffixes begin at the rarest words of each text, and it is partitioned by the text's numbers.
+Suffixes of both sides that begin alike are extended along their common prefixes; the spans that two
+texts share that way are merged, and the words that lie in none of them are counted. Documents are
+compared by the texts that are linked so.
+
+Two texts are alike if at most a fifth of the longer one's words lie outside of shared spans (a word
+that stands for another counts once), so a text of fewer than five words has no room for a change.
+Numbers count more, since another number says something else: all of them must lie in shared spans,
+and where there are ten or more, all but a tenth. In texts of fewer than ten words no word may stand
+for another, since a title of another firm or measure is no copy; but one word may be one slip away.
+
+Which suffixes have to be there: if at most d words of a text are outside of the spans, one of its
+d + 1 rarest words is inside, and the rarest word that both texts hold is among those of either. So
+no pair is missed, and suffixes at more frequent words aren't needed.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+import unicodedata
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lodestrata.llm.components import components
 from lodestrata.llm.deliveries import latest_delivery
 from lodestrata.llm.figures import figure, slip
 from lodestrata.llm.names import split_name
-from lodestrata.session import cut, parallelism
+from lodestrata.session import cut
 
 #: Share of the words of either text that must lie in shared spans.
 COVERAGE = 0.8
-#: Words below which a text may not have one word for another.
+#: Share of the numbers that must, in texts of MANY numbers or more.
+NUMBERS_COVERAGE, MANY = 0.9, 10
+#: Words below which no word may stand for another.
 SHORT = 10
-#: Share of a text's words beyond which its words without counterpart can't be slips.
-SLIPS = 0.4
-#: Words of a suffix that are sorted by. The array only joins most texts early, `_unseen` finds the rest.
-SUFFIX_WORDS = 10
-#: Neighbours before a suffix that it is compared with.
-NEIGHBOURS = 3
-#: Texts of one side that a task compares with all texts that share a word with them.
-SIDE = 500
+#: Numbers in a row that texts of MANY numbers share at least: nine or more, of which a tenth is lost.
+RUN = 5
 
 #: A number with its inner dots, or letters; loose dots are blanked first, since a pattern that
 #: repeats a group would recurse in Java and exhaust its stack on long lists of numbers.
@@ -52,213 +53,123 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(_WORDS_JAVA), F.lit(0))
 
 
-def coverage(a: list[str], b: list[str]) -> float:
-    """The smaller share of the words of either text that lie in spans of two or more shared words.
+def _lost(n: int) -> int:
+    """Words of a text of n that may lie outside of shared spans."""
+    return int((1 - COVERAGE) * n + 1e-9)
 
-    A word that no span covers still counts if a left-over word of the other text is one slip away.
-    In a text of fewer than SHORT words no word may stand for another: a title of another firm or
-    measure is no copy.
-    """
-    if not a or not b:
-        return 0.0
 
-    def left_over(x: list[str], y: list[str]) -> list[str]:
-        pairs = set(zip(y, y[1:]))
-        held = [False] * len(x)
-        for i, pair in enumerate(zip(x, x[1:])):
-            if pair in pairs:
-                held[i] = held[i + 1] = True
-        return [w for w, h in zip(x, held) if not h]
+def _lost_numbers(m: int) -> int:
+    return int((1 - NUMBERS_COVERAGE) * m + 1e-9) if m >= MANY else 0
 
-    if a == b:
-        return 1.0
-    rest_a, rest_b = Counter(left_over(a, b)), Counter(left_over(b, a))
-    both = rest_a & rest_b
-    rest_a, rest_b = rest_a - both, rest_b - both
-    if sum(rest_a.values()) <= SLIPS * len(a) and sum(rest_b.values()) <= SLIPS * len(b):
-        for w in list(rest_a):
-            near = next((v for v in rest_b if rest_b[v] and len(w) > 3 and not w[0].isdigit() and slip(w, v)), None)
-            if near is not None:
-                n = min(rest_a[w], rest_b[near])
-                rest_a[w] -= n
-                rest_b[near] -= n
-    lost_a, lost_b = sum(rest_a.values()), sum(rest_b.values())
-    if lost_a and lost_b and min(len(a), len(b)) < SHORT:
-        return 0.0
-    return min(1 - lost_a / len(a), 1 - lost_b / len(b))
-
-
-def _common_words(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a.split(" "), b.split(" ")):
-        if x != y:
-            # a slip within the word still orders the suffixes next to each other
-            return n + (len(x) > 3 and x[:3] == y[:3])
-        n += 1
-    return n
-
-
-_LINK = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
-_EDGE = T.StructType([*_LINK.fields, T.StructField("part", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("lead", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("n", T.IntegerType())])
-
-
-def _neighbours(rows: Iterator[tuple[str, str, str, int]], shortest: int) -> Iterator[tuple[str, str]]:
-    """Pairs of texts whose suffixes are neighbours with a long common prefix."""
-    before: list[tuple[str, str, str, int]] = []
-    for row in rows:
-        lead, suffix, key, n = row
-        for other in reversed(before):
-            if other[0] != lead:
-                before.clear()
-                break
-            if other[2] != key and abs(other[3] - n) <= (1 - COVERAGE) * max(other[3], n) + 1 and _common_words(other[1], suffix) >= min(shortest, suffix.count(" ") + 1):
-                yield (other[2], key) if other[2] < key else (key, other[2])
-        before.append(row)
-        if len(before) > NEIGHBOURS:
-            before.pop(0)
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within a partition, and its first and last suffixes for the links across partitions."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("part", pa.int32()), ("place", pa.int32()), ("lead", pa.string()), ("suffix", pa.string()), ("n", pa.int32())])
-    head: list[tuple] = []
-    tail: list[tuple] = []
-
-    def rows() -> Iterator[tuple[str, str, str, int]]:
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(head) < NEIGHBOURS:
-                    head.append(row)
-                tail.append(row)
-                if len(tail) > NEIGHBOURS:
-                    tail.pop(0)
-                yield row
-
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
-
-    seen: set[tuple[str, str]] = set()
-    for link in _neighbours(rows(), 2):
-        seen.add(link)
-        if len(seen) >= 50_000:
-            yield batch_of([(*x, None, None, None, None, None) for x in seen])
-            seen.clear()
-    ends = [(None, r[2], part, i, r[0], r[1], r[3]) for i, r in enumerate(head)] + [(None, r[2], part, 1_000 + i, r[0], r[1], r[3]) for i, r in enumerate(tail)]
-    found = [(*x, None, None, None, None, None) for x in seen] + ends
-    if found:
-        yield batch_of(found)
 
+def _number(word: str) -> bool:
+    return word[0].isdecimal() if word[0].isascii() else unicodedata.category(word[0])[0] == "N"
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the (a, b, x, y) whose words x and y cover each other."""
-    for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        keep = [coverage(p, q) >= COVERAGE for p, q in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.string()) for c in (a, b)], names=["a", "b"])
 
+def outside_spans(a: Sequence[str], b: Sequence[str], most: int) -> int:
+    """Words outside of the spans that a and b share in order, or most + 1 if there are more.
+
+    A span is extended along a diagonal by the common prefix of two suffixes; each step to another
+    diagonal leaves one word of either text, or one of both, outside.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+
+    def extended(i: int, shift: int) -> int:
+        while i < n and i + shift < m and a[i] == b[i + shift]:
+            i += 1
+        return i
+
+    reached = {0: extended(0, 0)}
+    for lost in range(most + 1):
+        if reached.get(m - n, -1) >= n:
+            return lost
+        further: dict[int, int] = {}
+        for shift in range(max(-lost - 1, -n), min(lost + 1, m) + 1):
+            steps = [reached[s] + on for s, on in ((shift, 1), (shift - 1, 0), (shift + 1, 1)) if s in reached]
+            at = max((min(i, n, m - shift) for i in steps), default=-1)
+            if at >= 0 and at + shift >= 0:
+                further[shift] = extended(at, shift)
+        reached = further
+    return most + 1
+
+
+def alike(a: Sequence[str], b: Sequence[str]) -> bool:
+    """Whether the spans that two texts share cover both of them, by the rules above."""
+    if a == b:
+        return bool(a)
+    longer = max(len(a), len(b))
+    numbers = [[w for w in x if _number(w)] for x in (a, b)]
+    lost = _lost_numbers(max(map(len, numbers)))
+    if numbers[0] != numbers[1] and (not lost or outside_spans(*numbers, lost) > lost):
+        return False
+    if longer < SHORT:
+        if len(a) == len(b):
+            other = [(x, y) for x, y in zip(a, b) if x != y]
+            return len(a) > 1 and len(other) == 1 and len(other[0][0]) > 3 and not _number(other[0][0]) and slip(*other[0])
+        # only words left out of one of them
+        return abs(len(a) - len(b)) == outside_spans(a, b, _lost(longer)) <= _lost(longer)
+    return outside_spans(a, b, _lost(longer)) <= _lost(longer)
 
-@lru_cache(maxsize=200_000)
-def _near(a: str, b: str) -> bool:
-    return slip(a, b)
 
+_LINK = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
 
-def _judged_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(p, q) of the (p, q, x, y) whose joined words x and y cover each other.
 
-    Before the whole rule a cheap one, never false for texts alike: words without counterpart must
-    be slips but for a fifth, and in short texts on one side all of them.
-    """
-    seen: set[tuple[str, str]] = set()
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y) of the (x, y, a, b) whose joined words a and b are alike."""
     for batch in batches:
-        found = []
-        for p, q, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            if (p, q) in seen:
-                continue
-            a, b = x.split(" "), y.split(" ")
-            in_a, in_b = set(a), set(b)
-            lost_a, lost_b = [w for w in a if w not in in_b], [w for w in b if w not in in_a]
-            if lost_a or lost_b:
-                alone_a = sum(not any(_near(v, w) for v in in_b) for w in lost_a)
-                alone_b = sum(not any(_near(v, w) for v in in_a) for w in lost_b)
-                most = 1 - COVERAGE
-                if alone_a > most * len(a) + 0.001 or alone_b > most * len(b) + 0.001 or (alone_a and alone_b and min(len(a), len(b)) < SHORT):
-                    continue
-            if coverage(a, b) >= COVERAGE:
-                seen.add((p, q))
-                found.append((p, q))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["a", "b"])
-
-
-def _able(x: str, y: str, n: Column, m: Column) -> Column:
-    """Whether texts of n and m words, x and y, might cover each other: more words without counterpart fail already inside the JVM."""
-    return (F.size(F.array_except(x, y)) <= SLIPS * n) & (F.size(F.array_except(y, x)) <= SLIPS * m)
-
-
-def _unseen(marked: DataFrame) -> DataFrame:
-    """(a, b) of classes that hold texts alike; marked: (text_key, words, lead, class).
-
-    An exact prefix filter: at most SLIPS of the words of a text may be missing from one like it, so
-    among its rarest words that make up more than that share is the rarest word both have, and the
-    same holds for the other text. Words are ranked within texts of the same numbers. Pairs of one
-    class are settled; lists of texts with a word in common are split by SIDE.
-    """
-    mixed = marked.groupBy("lead").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("lead")
-    marked = cut(marked.join(mixed, "lead", "left_semi"))
-    counted = marked.select("lead", "text_key", "class", F.size("words").alias("n"), F.explode("words").alias("word")).groupBy("lead", "text_key", "class", "n", "word").agg(F.count(F.lit(1)).alias("times"))
-    ranked = counted.join(counted.groupBy("lead", "word").agg(F.count(F.lit(1)).alias("df")), ["lead", "word"])
-    rarer = Window.partitionBy("text_key").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = ranked.withColumn("before", F.coalesce(F.sum("times").over(rarer), F.lit(0))).where(F.col("before") <= SLIPS * F.col("n"))
-    prefix = cut(prefix.select("lead", "word", "text_key", "class", "df"))
-    lists = prefix.groupBy("lead", "word").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    lists = lists.select("lead", "word", F.ceil(F.col("k") / SIDE).cast("int").alias("sides"))
-    # digests of words compare faster; equal ones of other words only let a pair through
-    digests = F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w))
-    rare = prefix.groupBy("text_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda w: F.xxhash64(w["word"])).alias("rare"))
-    rows = cut(prefix.drop("df").join(lists, ["lead", "word"]).join(rare, "text_key").join(marked.select("text_key", F.array_join("words", " ").alias("words"), F.size("words").alias("n"), digests.alias("digests")), "text_key"))
-    one = rows.select("lead", "word", F.pmod(F.xxhash64("text_key"), F.col("sides")).cast("int").alias("side"), F.col("text_key").alias("a"), F.col("class").alias("p"), F.col("words").alias("x"), F.col("n").alias("n"), F.col("digests").alias("u"), F.col("rare").alias("r"))
-    other = rows.select("lead", "word", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("text_key").alias("b"), F.col("class").alias("q"), F.col("words").alias("y"), F.col("n").alias("m"), F.col("digests").alias("v"), F.col("rare").alias("s"))
-    # a pair is judged where its rarest common word is
-    here = F.try_element_at(F.array_intersect("r", "s"), F.lit(1)) == F.xxhash64("word")
-    met = one.join(other, ["lead", "word", "side"]).where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & here & _able("u", "v", F.col("n"), F.col("m")))
-    return met.select("p", "q", "x", "y").mapInArrow(_judged_once, _LINK).distinct()
-
-
-def text_classes(texts: DataFrame) -> DataFrame:
-    """(text_key, class) of distinct texts (text_key, words); class is the smallest key of texts alike.
-
-    Alike are texts with the same numbers in the same order that cover each other to COVERAGE,
-    directly or through others. Texts without words are never alike.
+        keep = pa.array([alike(a.split(" "), b.split(" ")) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_())
+        yield batch.select(["x", "y"]).filter(keep)
+
+
+def text_links(texts: DataFrame) -> DataFrame:
+    """(x, y): texts x of the train side and different texts y of the other that are alike.
+
+    texts: distinct (text_key, line, in_train, in_eval); line is the words, joined by blanks. Texts
+    without words are alike to none.
     """
-    spark = texts.sparkSession
-    lead = F.md5(F.array_join(F.filter("words", lambda w: w.rlike(r"^\p{N}")), " "))
-    held = texts.where(F.size("words") > 0).select("text_key", "words", F.substring(lead, 1, 16).alias("lead"))
-    # a text whose numbers no other distinct text has needs no suffixes
-    shared = held.groupBy("lead").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("lead")
-    held = cut(held.join(shared, "lead", "left_semi"))
-    size = F.size("words")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda p: F.array_join(F.slice("words", p, SUFFIX_WORDS), " ")))
-    suffixes = held.select("lead", suffix.alias("suffix"), "text_key", size.alias("n"))
-    ordered = suffixes.repartitionByRange(parallelism(spark), "lead", "suffix", "text_key").sortWithinPartitions("lead", "suffix", "text_key")
-    found = cut(ordered.mapInArrow(_scan, _EDGE))
-    links = found.where(F.col("a").isNotNull()).select("a", "b")
-    # two short runs per partition, whatever the data, are compared here in order
-    ends = [tuple(r) for r in found.where(F.col("a").isNull()).select("lead", "suffix", "b", "n", "part", "place").collect()]
-    ends.sort(key=lambda r: (r[4], r[5]))
-    across = set(_neighbours(iter([r[:4] for r in ends]), 2))
-    if across:
-        links = links.unionByName(spark.createDataFrame(sorted(across), _LINK))
-
-    words = held.select("text_key", "words")
-    both = links.distinct().join(words.select(F.col("text_key").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("text_key").alias("b"), F.col("words").alias("y")), "b")
-    alike = both.select("a", "b", "x", "y").where(_able("x", "y", F.size("x"), F.size("y"))).mapInArrow(_judged, _LINK)
-    first = cut(components(held.select(F.col("text_key").alias("node")), alike).select(F.col("node").alias("text_key"), F.col("component").alias("class")))
-    merged = components(first.select(F.col("class").alias("node")), _unseen(held.join(first, "text_key")))
-    classes = first.join(merged.withColumnRenamed("node", "class"), "class").select("text_key", "component")
-    return texts.select("text_key").where(F.col("text_key").isNotNull()).distinct().join(classes, "text_key", "left").select("text_key", F.coalesce("component", "text_key").alias("class"))
+    words = F.split("line", " ")
+    numbers = F.filter(words, lambda w: w.rlike(r"^\p{N}"))
+    held = texts.where(F.col("line") != "").withColumn("numbers", numbers).withColumn("lead", F.xxhash64(F.array_join("numbers", " ")))
+    n = F.size(words)
+    # of the longer text, which is at most a quarter longer; a slip in a short one is a word outside
+    room = F.greatest(F.lit(1), F.floor((1 - COVERAGE) * F.floor(n / F.lit(COVERAGE) + 1e-9) + 1e-9)).cast("int")
+
+    mark = lambda w: F.xxhash64(w)
+    marks = F.transform(F.array_distinct(words), mark)
+    held = held.select("text_key", "line", "lead", "numbers", "in_train", "in_eval", n.alias("n"), room.alias("room"), marks.alias("marks"))
+
+    # texts of equal numbers, where both sides have some
+    sides = held.groupBy("lead").agg(F.max("in_train").alias("t"), F.max("in_eval").alias("e"), F.count(F.lit(1)).alias("k"))
+    met = held.join(sides.where("t AND e AND k > 1").select("lead"), "lead", "left_semi")
+    starts = cut(met.select("lead", "text_key", "in_train", "in_eval", "n", "room", F.explode("marks").alias("mark")))
+    df = starts.groupBy("lead", "mark").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e"))
+    ranked = starts.join(df, ["lead", "mark"])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("mark", F.lit(64)).cast("int"))
+    half = F.pmod(F.shiftright("mark", 6), F.lit(2))
+    # a word that one side lacks meets none there, but it takes its place among the rarest
+    place = F.struct("df", "mark", (F.col("t") & F.col("e")).alias("both"))
+    per_text = ranked.groupBy("lead", "text_key", "in_train", "in_eval", "n", "room").agg(F.sort_array(F.collect_list(place)).alias("places"), *[F.bit_or(F.when(half == i, bit).otherwise(0)).alias(c) for i, c in enumerate("uv")])
+    first = F.explode(F.filter(F.slice("places", F.lit(1), F.col("room") + 1), lambda p: p["both"]))
+    by_word = per_text.select("lead", "text_key", "in_train", "in_eval", "n", "u", "v", first.alias("p")).withColumn("part", F.xxhash64("lead", "p.mark"))
+
+    # texts of many numbers may lack a few of them: those that share numbers in a row
+    many = held.where(F.size("numbers") >= MANY - 1)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("numbers") - (RUN - 1)), lambda i: F.xxhash64(F.array_join(F.slice("numbers", i, RUN), " "))))
+    flagged = lambda i: F.aggregate("marks", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.when(F.pmod(F.shiftright(h, 6), F.lit(2)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))).otherwise(0)))
+    by_run = many.select("text_key", "in_train", "in_eval", "n", flagged(0).alias("u"), flagged(1).alias("v"), F.explode(runs).alias("part"))
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        side = lambda flag, names: rows.where(flag).select("part", *[F.col(c).alias(o) for c, o in zip(("text_key", "n", "u", "v"), names)])
+        lost = F.greatest(F.lit(1), F.floor((1 - COVERAGE) * F.greatest("n", "m") + 1e-9))
+        # a word outside of the spans changes at most two bits of the words' signatures
+        bits = F.bit_count(F.col("u").bitwiseXOR(F.col("p"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("q")))
+        return side("in_train", "xnuv").join(side("in_eval", "ympq"), "part").where((F.col("x") != F.col("y")) & (F.abs(F.col("n") - F.col("m")) <= lost) & (bits <= 2 * lost)).select("x", "y")
+
+    pairs = meeting(by_word).unionByName(meeting(by_run)).distinct()
+    line = lambda key, name: held.select(F.col("text_key").alias(key), F.col("line").alias(name))
+    return pairs.join(line("x", "a"), "x").join(line("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(_judged, _LINK)
 
 
 def split_sides(df: DataFrame, key: Column, split: Column) -> DataFrame:
@@ -274,9 +185,25 @@ def _pairs_by_value(rows: DataFrame) -> DataFrame:
     return train.join(held, "value").where(F.col("t") != F.col("e")).select(F.least("t", "e").alias("left_key"), F.greatest("t", "e").alias("right_key"))
 
 
+_FIGURE = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "asked", "entity")])
+
+
 def _figure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([figure(t.as_py()) for t in batch.column(1)], pa.string())], names=["key", "value"])
+        found = [figure(t) or (None, None) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in (zip(*found) if found else ((), ()))]], names=_FIGURE.names)
+
+
+def whole_names(figures: DataFrame) -> DataFrame:
+    """figures (key, asked, entity) with value, the figure in whole.
+
+    A name of one word stands for the longer name that begins with it, if all longer names that do
+    are the same but for a slip; where several firms begin alike it stands for itself.
+    """
+    led = figures.where(F.col("asked").isNotNull()).withColumn("led", F.substring_index("entity", " ", 1))
+    longer = led.where(F.contains("entity", F.lit(" "))).groupBy("led").agg(F.min("entity").alias("least"), F.max("entity").alias("most"))
+    single = longer.where(F.levenshtein("least", "most") <= 2).select("led", F.col("least").alias("name"))
+    return led.join(single, "led", "left").select("key", F.concat_ws("|", "asked", F.coalesce("name", "entity")).alias("value"))
 
 
 def same_figure_pairs(examples: DataFrame) -> DataFrame:
@@ -289,9 +216,8 @@ def same_figure_pairs(examples: DataFrame) -> DataFrame:
     """
     sides = split_sides(examples, F.col("record_no").cast("string"), F.col("split"))
     questions = latest_delivery(examples.select("record_no", F.col("question.text").alias("text"), "received_at"), "record_no", ["text"])
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
-    figures = questions.select(F.col("record_no").cast("string").alias("key"), "text").mapInArrow(_figure_batches, schema)
-    return _pairs_by_value(figures.where(F.col("value").isNotNull()).join(sides, "key")).distinct()
+    figures = questions.select(F.col("record_no").cast("string").alias("key"), "text").mapInArrow(_figure_batches, _FIGURE)
+    return _pairs_by_value(whole_names(cut(figures)).join(sides, "key")).distinct()
 
 
 def document_pairs(documents: DataFrame, elements: DataFrame) -> DataFrame:
@@ -299,40 +225,39 @@ def document_pairs(documents: DataFrame, elements: DataFrame) -> DataFrame:
 
     documents: (document_id, metadata with split, ...), elements: (element_id, document_id,
     source_text, ...), deleted or not. More than half of the elements of the longer document must
-    have a counterpart of the same class, each used once. A document listed in train and in another
-    split is a pair with itself. Documents without split or elements match nothing else. Only
-    documents of which more than half might match are compared at all, so a document that holds a
-    third of all elements costs no more than counting them.
+    have a counterpart in the other with an equal or alike text, counted on both sides. A document
+    listed in train and in another split is a pair with itself. Documents without split or elements
+    match nothing else. Documents meet over the rarer part of the train document's elements only, so
+    boilerplate brings none together, and a document that holds a third of all elements is compared
+    with those that may match half of it.
     """
     trim = lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    sides = cut(split_sides(documents, trim(F.col("document_id")), F.try_element_at(F.col("metadata"), F.lit("split"))))
+    sides = split_sides(documents, trim(F.col("document_id")), F.try_element_at(F.col("metadata"), F.lit("split")))
     once = latest_delivery(elements, "element_id", ["document_id", "source_text"])
-    placed = once.select(trim(F.col("document_id")).alias("key"), words_of(F.col("source_text")).alias("words")).join(sides, "key")
-    placed = cut(placed.withColumn("text_key", F.md5(F.array_join("words", " "))))
-    texts = placed.groupBy("text_key").agg(F.first("words").alias("words"))
-    classes = text_classes(texts)
-    per_class = cut(
-        placed.where(F.size("words") > 0)
-        .select("key", "text_key", "in_train", "in_eval")
-        .groupBy("key", "text_key", "in_train", "in_eval").agg(F.count(F.lit(1)).alias("times"))
-        .join(classes, "text_key")
-        .groupBy("key", "class", "in_train", "in_eval").agg(F.sum("times").alias("times"))
-    )
+    placed = once.select(trim(F.col("document_id")).alias("key"), F.array_join(words_of(F.col("source_text")), " ").alias("line")).join(sides, "key")
+    placed = cut(placed.withColumn("text_key", F.unhex(F.md5("line"))).withColumn("line", F.coalesce("line", F.lit(""))))
+    texts = placed.groupBy("text_key").agg(F.any_value("line").alias("line"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
+    links = text_links(texts)
+    same = texts.where("in_train AND in_eval AND line <> ''").select(F.col("text_key").alias("x"), F.col("text_key").alias("y"))
+    links = cut(links.unionByName(same))
+
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    reach = per_class.groupBy("class").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("t AND e AND df > 1").select("class", "df")
-    shared = per_class.join(reach, "class").join(sizes, "key")
-    # overlap is more than half of either size, so one of the rarest half of the elements is shared
-    able = shared.groupBy("key").agg(F.sum("times").alias("able"))
-    shared = cut(shared.join(able, "key").where(2 * F.col("able") > F.col("size")))
-    rarest = Window.partitionBy("key").orderBy("df", "class").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = shared.withColumn("before", F.coalesce(F.sum("times").over(rarest), F.lit(0))).where(F.col("before") + (F.col("size") - F.col("able")) < F.ceil(F.col("size") / 2))
-    train = prefix.where("in_train").select(F.col("key").alias("t"), "class", F.col("size").alias("t_size"))
-    held = prefix.where("in_eval").select(F.col("key").alias("e"), "class", F.col("size").alias("e_size"))
-    candidates = train.join(held, "class").where((F.col("t") != F.col("e")) & (2 * F.least("t_size", "e_size") > F.greatest("t_size", "e_size")))
-    candidates = candidates.select("t", "e", F.greatest("t_size", "e_size").alias("longer")).distinct()
-    of = lambda key, times: shared.select(F.col("key").alias(key), "class", F.col("times").alias(times))
-    matched = candidates.join(of("t", "t_times"), "t").join(of("e", "e_times"), ["e", "class"]).groupBy("t", "e", "longer").agg(F.sum(F.least("t_times", "e_times")).alias("alike"))
-    pairs = matched.where(2 * F.col("alike") > F.col("longer")).select(F.least("t", "e").alias("left_key"), F.greatest("t", "e").alias("right_key"))
+    held = placed.where("line <> ''").groupBy("key", "in_train", "in_eval", "text_key").agg(F.count(F.lit(1)).alias("times")).join(sizes, "key")
+    of = lambda flag, names: held.where(flag).select(*[F.col(c).alias(o) for c, o in zip(("key", "text_key", "times", "size"), names)])
+    train, other = of("in_train", ("t", "x", "t_times", "t_size")), of("in_eval", ("e", "y", "e_times", "e_size"))
+    # documents on the other side that hold a counterpart of a text
+    reach = links.join(other.groupBy("y").agg(F.count(F.lit(1)).alias("df")), "y").groupBy("x").agg(F.sum("df").alias("df"))
+    able = cut(train.join(reach, "x"))
+    enough = able.groupBy("t").agg(F.sum("t_times").alias("able"), F.max("t_size").alias("s")).where("2 * able > s").select("t", "able")
+    # more than half of the elements have a counterpart, so one of the rarer ones has
+    before = F.coalesce(F.sum("t_times").over(Window.partitionBy("t").orderBy("df", "x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rarer = able.join(enough, "t").withColumn("before", before).where(F.col("before") <= F.col("able") - F.floor(F.col("t_size") / 2) - 1)
+    met = rarer.select("t", "x", "t_size").join(links, "x").join(other.select("e", "y", "e_size"), "y")
+    met = met.where((F.col("t") != F.col("e")) & (2 * F.least("t_size", "e_size") > F.greatest("t_size", "e_size"))).select("t", "e", F.greatest("t_size", "e_size").alias("longer")).distinct()
+    matched = cut(met.join(able.select("t", "x", "t_times"), "t").join(links, "x").join(other.select("e", "y", "e_times"), ["e", "y"]))
+    counted = lambda text, times, name: matched.select("t", "e", "longer", text, times).distinct().groupBy("t", "e", "longer").agg(F.sum(times).alias(name))
+    both = counted("x", "t_times", "of_t").join(counted("y", "e_times", "of_e"), ["t", "e", "longer"])
+    pairs = both.where(2 * F.least("of_t", "of_e") > F.col("longer")).select(F.least("t", "e").alias("left_key"), F.greatest("t", "e").alias("right_key"))
     own = sides.where("in_train AND in_eval").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"))
     return pairs.unionByName(own).distinct()
 

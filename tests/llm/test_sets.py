@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
         ["for Zed, what is the mean rental income over 2013 and 2014?", "what was the average rental income of Zed for 2013 and 2014?"],
     ],
 )
-def test_wordings_of_one_figure(questions):
-    assert len({figure(q) for q in questions}) == 1 and figure(questions[0])
+def test_wordings_of_one_figure(spark, questions):
+    rows = [(str(i), *figure(q)) for i, q in enumerate(questions)]
+    values = overlap.whole_names(spark.createDataFrame(rows, "key string, asked string, entity string")).collect()
+    assert len(values) == len(questions) and len({r.value for r in values}) == 1
 
 
 def test_other_figures_differ():
@@ -35,13 +37,39 @@ def test_other_figures_differ():
     assert figure(None) is None and figure(" ") is None and figure("who wrote this?") is None
 
 
-def test_coverage():
-    a = "the net sales of the year rose by 5 percent".split()
-    assert overlap.coverage(a, a) == 1.0 and overlap.coverage(a, []) == 0.0
-    assert overlap.coverage(a, "the net sales of the yaer rose by 5 percent".split()) == 1.0
-    assert overlap.coverage("table 4 goodwill of acmex".split(), "table 4 goodwill of bolux".split()) == 0.0
-    assert overlap.coverage("table 4 goodwill of acmex".split(), "table 4 godwill of acmex".split()) == 1.0
-    assert overlap.coverage(a, "an entirely different line of words without anything".split()) < 0.3
+def test_firms_that_begin_alike_stay_apart(spark):
+    assert figure("What were net sales of First Solar in 2019?")[1] == "first solar"
+    assert figure("EBITDA of Orbex in 2019") == figure("Orbex's EBITDA for 2019") == ("value|ebitda|2019", "orbex")
+    assert figure("what is the ratio of net sales to total assets at Orbex in 2019?")[1] == "orbex"
+    names = ["first solar", "first energy", "first", "orbex foods", "orbex fodos", "orbex"]
+    got = {r.key: r.value for r in overlap.whole_names(spark.createDataFrame([(n, "a", n) for n in names], "key string, asked string, entity string")).collect()}
+    assert len({got[n] for n in names[:3]}) == 3 and len({got[n] for n in names[3:]}) == 1
+
+
+WORDS = st.lists(st.sampled_from("a b c d 1 2".split()), max_size=14)
+
+
+@given(WORDS, WORDS, st.integers(0, 6))
+def test_words_outside_spans_equal_the_table_of_edits(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    assert overlap.outside_spans(a, b, most) == min(row[-1], most + 1)
+
+
+def test_alike():
+    a = "the net sales of the year rose by 5 percent in spite of storms".split()
+    assert overlap.alike(a, a) and not overlap.alike([], []) and not overlap.alike(a, [])
+    assert overlap.alike(a, "the net sales of the yaer rose by 5 percent in spite of storms".split())
+    assert not overlap.alike(a, "the net sales of the year rose by 6 percent in spite of storms".split())
+    assert not overlap.alike(a, "an entirely different line of words without anything".split())
+    assert not overlap.alike("table 4 goodwill of acmex".split(), "table 4 goodwill of bolux".split())
+    assert overlap.alike("table 4 goodwill of acmex".split(), "table 4 godwill of acmex".split())
+    assert overlap.alike("table 4 goodwill of acmex".split(), "table 4 the goodwill of acmex".split())
+    figures = [str(n) for n in range(100, 112)]
+    assert overlap.alike(figures, figures[:5] + ["7"] + figures[6:]) and not overlap.alike(figures[:8], figures[:7] + ["7"])
 
 
 def _corpus(spark):
@@ -76,33 +104,40 @@ def test_documents_that_recur(spark):
     assert {tuple(r) for r in overlap.document_pairs(d, e.limit(0)).collect()} == {("d5", "d5")}
 
 
-def test_classes_equal_brute_force(spark):
-    _, e = _corpus(spark)
-    texts = e.select(overlap.words_of(F.col("source_text")).alias("words")).where(F.size("words") > 0).distinct().withColumn("text_key", F.md5(F.array_join("words", " ")))
-    rows = {r.text_key: r.words for r in texts.collect()}
-    parent = {k: k for k in rows}
-    find = lambda k: k if parent[k] == k else find(parent[k])
-    number = lambda w: [x for x in w if x[0].isdigit()]
-    keys = sorted(rows)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            if number(rows[a]) == number(rows[b]) and overlap.coverage(rows[a], rows[b]) >= overlap.COVERAGE:
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    assert {r.text_key: r["class"] for r in overlap.text_classes(texts).collect()} == {k: find(k) for k in keys}
+def _sides(spark, rows):
+    """Texts of (words, in_train, in_eval) and what brute force over all pairs links."""
+    lines = {" ".join(w): (t, e) for w, t, e in rows}
+    texts = spark.createDataFrame([(k, t, e) for k, (t, e) in lines.items()], "line string, in_train boolean, in_eval boolean").withColumn("text_key", F.unhex(F.md5("line")))
+    expected = {(x, y) for x, (t, _) in lines.items() if t for y, (_, e) in lines.items() if e and x != y and overlap.alike(x.split(), y.split())}
+    lines_of = {bytes(r.text_key): r.line for r in texts.collect()}
+    return {(lines_of[bytes(r.x)], lines_of[bytes(r.y)]) for r in overlap.text_links(texts).collect()}, expected
 
 
-def test_near_copies_far_apart_in_the_array(spark):
+def test_links_equal_brute_force(spark):
+    """All pairs, whatever their numbers, with words changed, left out and put in."""
+    rnd = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in ("lor", "mip", "dol") for b in ("em", "sum", "or", "us")]
+    rows = []
+    for i in range(60):
+        body = [rnd.choice(vocabulary) for _ in range(rnd.choice([1, 2, 3, 4, 5, 8, 10, 16, 24]))] + [str(rnd.randrange(1, 40)) for _ in range(rnd.choice([0, 0, 1, 2, 4, 9, 10, 12, 21]))]
+        for copy in range(4):
+            words = list(body)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.choice([0, 1])] = rnd.choice([[], [rnd.choice(vocabulary)], [words[at][1:] + "x"], [str(rnd.randrange(40))]])
+                words = words or ["x"]
+            rows.append(([w for w in words if w], copy % 2 == 0, copy % 2 == 1 or rnd.random() < 0.1))
+    got, expected = _sides(spark, rows)
+    assert got == expected and len(expected) > 40
+
+
+def test_near_copies_that_share_only_common_wording(spark):
     """What both share beside the wording of all texts stands between words that differ."""
     frame = [f"frame{c}" for c in "abcdefghijkl"]
     word = lambda *n: "".join(chr(97 + int(c, 16)) for c in hashlib.md5(repr(n).encode()).hexdigest()[:9])
-    rows = [frame + [w for j in range(4) for w in (word(i, j, copy), word(i, j))] for copy in (1, 2) for i in range(60)]
-    texts = spark.createDataFrame([(r,) for r in rows], "words array<string>").withColumn("text_key", F.md5(F.array_join("words", " ")))
-    keys = {tuple(r.words): r.text_key for r in texts.collect()}
-    classes = {r.text_key: r["class"] for r in overlap.text_classes(texts).collect()}
-    ours = [classes[keys[tuple(r)]] for r in rows]
-    assert all(overlap.coverage(rows[i], rows[60 + i]) >= overlap.COVERAGE for i in range(60))
-    assert ours[:60] == ours[60:] and len(set(ours)) == 60
+    rows = [(frame + [w for j in range(4) for w in (word(i, j, copy), word(i, j))], copy == 1, copy == 2) for copy in (1, 2) for i in range(60)]
+    got, expected = _sides(spark, rows)
+    assert got == expected and len(got) == 60
 
 
 def test_questions_across_splits(spark):
