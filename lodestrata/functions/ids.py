@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lodestrata.functions.text import folded
+
 
 def digest(*parts: Column, width: int = 64) -> Column:
     """Hex SHA-256 over the parts, each led by its length in 8 big-endian bytes; null if any part is."""
@@ -34,9 +36,14 @@ def assigned_split(group: Column) -> Column:
 
 
 def document_group(source_file: Column, source_uri: Column, document_id: Column) -> Column:
-    """Report-level group of a document: its file's folder where the path names a page of a report."""
-    first = lambda c: F.nullif(F.trim(c), F.lit(""))
-    path = F.lower(F.trim(F.replace(F.coalesce(first(source_file), first(source_uri), document_id), F.lit("\\"), F.lit("/"))))
-    paged = path.rlike(r"^[^/]+/.*[^/]+/page_\d+\.[^/]*$")
-    report = F.when(paged, F.regexp_replace(path, r"/[^/]*$", "")).otherwise(path)
-    return F.concat(F.lit("source-group:"), nul_digest(report))
+    """Report-level group of a document: its file's folder where the path names a page of a report.
+
+    A page is a file whose name starts with page_, two folders deep or more. Blank files count as none.
+    """
+    first = lambda c: F.when(F.trim(c) != "", c)
+    path = folded(F.regexp_replace(F.replace(F.coalesce(first(source_file), first(source_uri), document_id), F.lit("\\"), F.lit("/")), r"^\s+|\s+$", ""))
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    rooted = path.startswith("/")
+    paged = (F.size(parts) + rooted.cast("int") >= 3) & F.element_at(parts, -1).startswith("page_")
+    report = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
+    return F.concat(F.lit("source-group:"), digest(F.when(paged, report).otherwise(path), width=24))

@@ -34,10 +34,26 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{IsWhite_Space}]")), F.lit(0))
 
 
+#: What evidence is compared by. Numbers keep their sign, currency, decimals and percent.
+_EVIDENCE_BREAK = r"[^a-z0-9%.$-]+"
+_EVIDENCE_TOKEN = r"-?\$?\d+(?:\.\d+)?%?|[a-z]+"
+_ROW_BREAK = r"[^\p{L}\p{N}_%.$-]+"
+
+
 def evidence_text(text: Column) -> Column:
-    """Lower ASCII words without thousands commas, one space apart."""
-    s = F.regexp_replace(folded(text), r"(?<=\d),(?=\d)", "")
-    return F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " "))
+    """Lower ASCII words and whole numbers without thousands commas, one space apart."""
+    s = F.regexp_replace(folded(text), r"(?<=[0-9]),(?=[0-9])", "")
+    return F.trim(F.regexp_replace(s, _EVIDENCE_BREAK, " "))
+
+
+def evidence_tokens(evidence: Column) -> Column:
+    """Distinct words and numbers of an evidence_text()."""
+    return F.array_distinct(F.regexp_extract_all(evidence, F.lit(_EVIDENCE_TOKEN), F.lit(0)))
+
+
+def row_text(text: Column) -> Column:
+    """Lower words, numbers and signs without the separators of table cells, one space apart."""
+    return F.trim(F.regexp_replace(folded(text), _ROW_BREAK, " "))
 
 
 def link_text(value: Column) -> Column:

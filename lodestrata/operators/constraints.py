@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestrata.functions.text import token_count
+
 
 def _broken(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """One row per broken rule; a rule that is null counts as kept."""
@@ -22,6 +24,11 @@ def document_violations(documents: DataFrame) -> DataFrame:
     })
 
 
+def _counted(column: str, count: Column) -> Column:
+    """Whether a count is that of the text; a missing count isn't."""
+    return F.when(F.col("text").isNotNull(), F.coalesce(F.col(column) == count, F.lit(False)))
+
+
 ELEMENT_TYPES = ("heading", "paragraph", "table", "table_row", "caption", "footnote")
 
 
@@ -36,10 +43,11 @@ def element_violations(elements: DataFrame) -> DataFrame:
 
 
 def unit_violations(units: DataFrame) -> DataFrame:
-    """Counts that don't match the text, pages out of order, parents of units that aren't derived."""
+    """Counts that are missing or don't match the text, pages out of order, parents of units that aren't derived."""
     derived = F.col("retrieval_unit_kind").isin("narrative", "table_row")
     return _broken(units, "chunk_id", {
-        "chunk_id is blank": _told("chunk_id"), "text is blank": _told("text"), "char_count differs": F.col("char_count") == F.length("text"), "pages out of order": F.col("page_start") <= F.col("page_end"),
+        "chunk_id is blank": _told("chunk_id"), "text is blank": _told("text"), "char_count differs": _counted("char_count", F.length("text")),
+        "token_count differs": _counted("token_count", token_count(F.col("text"))), "pages out of order": F.col("page_start") <= F.col("page_end"),
         "page is below 1": F.col("page_start") >= 1, "chunk_index is negative": F.col("chunk_index") >= 0, "no source element": F.size("source_element_ids") >= 1,
         "unknown kind": F.coalesce(F.col("retrieval_unit_kind").isin("chunk", "narrative", "table_row"), F.lit(False)), "a chunk has no parent": derived | ~_told("parent_chunk_id"),
     })

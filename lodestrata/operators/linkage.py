@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lodestrata.functions.text import evidence_text, link_text
+from lodestrata.functions.text import evidence_text, evidence_tokens, link_text, row_text
 
 
 def link_questions(records: DataFrame, known: DataFrame) -> DataFrame:
@@ -29,14 +29,26 @@ def match_evidence(facts: DataFrame, units: DataFrame, minimum: float = 0.6) ->
     facts: (fact_id, document_id, evidence), units: (document_id, chunk_id, chunk_index, text). The
     score is 1 where the unit holds the evidence, else the share of its distinct words the unit
     holds; the lowest index wins a tie. Facts without words or below the minimum have no match.
+
+    A unit that may reach the minimum holds one of the fact's rarest words, of more than the share
+    it may lack, so facts meet units over those only. Evidence of one or two words may also lie
+    inside a longer word, so it meets all units of its document.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    f = facts.select("fact_id", "document_id", evidence_text(F.col("evidence")).alias("e")).where(F.col("e") != "").withColumn("ew", words(F.col("e")))
-    u = units.select("document_id", "chunk_id", "chunk_index", evidence_text(F.col("text")).alias("t"))
-    covered = F.size(F.filter("ew", lambda w: F.array_contains(F.split("t", " "), w))) / F.size("ew")
-    scored = f.join(u, "document_id").withColumn("score", F.when(F.contains("t", "e"), 1.0).otherwise(covered))
-    best = F.row_number().over(Window.partitionBy("fact_id").orderBy(F.col("score").desc(), "chunk_index", "chunk_id"))
-    return scored.withColumn("_best", best).where((F.col("_best") == 1) & (F.col("score") >= minimum)).select("fact_id", "chunk_id", "chunk_index", "score")
+    f = facts.select("fact_id", "document_id", evidence_text(F.col("evidence")).alias("e")).withColumn("ew", evidence_tokens(F.col("e"))).where(F.size("ew") > 0)
+    u = units.select("document_id", "chunk_id", "chunk_index", evidence_text(F.col("text")).alias("t")).withColumn("uw", evidence_tokens(F.col("t")))
+    long = F.size(F.split("e", " ")) > 2
+    words = u.select("document_id", "chunk_id", F.explode("uw").alias("word"))
+    df = words.groupBy("document_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    asked = f.where(long).select("fact_id", "document_id", F.size("ew").alias("n"), F.explode("ew").alias("word")).join(df, ["document_id", "word"], "left").fillna(0, ["df"])
+    place = F.row_number().over(Window.partitionBy("fact_id", "document_id").orderBy("df", "word"))
+    # evidence that lies in a unit may be cut at its two ends
+    rare = asked.withColumn("place", place).where(F.col("place") <= F.greatest(F.floor((1 - minimum) * F.col("n") + 1e-9), F.lit(2)) + 1)
+    met = rare.where("df > 0").join(words, ["document_id", "word"]).select("fact_id", "document_id", "chunk_id").distinct()
+    brief = f.where(~long).select("fact_id", "document_id").join(u.select("document_id", "chunk_id"), "document_id")
+    both = met.unionByName(brief.select("fact_id", "document_id", "chunk_id")).join(f, ["fact_id", "document_id"]).join(u, ["document_id", "chunk_id"])
+    scored = both.withColumn("score", F.when(F.contains("t", "e"), 1.0).otherwise(F.size(F.array_intersect("ew", "uw")) / F.size("ew"))).where(F.col("score") >= minimum)
+    best = F.struct((-F.col("score")).alias("s"), "chunk_index", "chunk_id")
+    return scored.groupBy("fact_id").agg(F.min(best).alias("b")).select("fact_id", "b.chunk_id", "b.chunk_index", (-F.col("b.s")).alias("score"))
 
 
 def lineage(units: DataFrame) -> DataFrame:
@@ -44,22 +56,25 @@ def lineage(units: DataFrame) -> DataFrame:
     return units.select("chunk_id", "document_id", F.explode("source_element_ids").alias("element_id")).distinct()
 
 
-def map_gold(facts: DataFrame, units: DataFrame, elements: DataFrame) -> DataFrame:
-    """(fact_id, element_id, chunk_id, via) of each fact; chunk_id is null where nothing holds it.
+def map_gold(facts: DataFrame, units: DataFrame, elements: DataFrame, complete: bool = True) -> DataFrame:
+    """(fact_id, element_id, chunk_id, via) of each fact.
 
     facts: (fact_id, document_id, element_id). via is lineage where a unit of the document names the
-    element, else parent where a unit that names its parent element holds its text.
+    element, else parent where a unit that names its parent element holds its text, cell separators
+    aside. Gold that nothing holds raises; with complete=False it is reported as unmapped, chunk_id null.
     """
     held = lineage(units).select("chunk_id", "document_id", "element_id")
     direct = facts.join(held, ["document_id", "element_id"], "left")
     found = direct.where(F.col("chunk_id").isNotNull()).select("fact_id", "element_id", "chunk_id", F.lit("lineage").alias("via"))
     open_facts = direct.where(F.col("chunk_id").isNull()).select("fact_id", "document_id", "element_id")
-    parents = elements.where(F.col("parent_element_id").isNotNull()).select("element_id", "parent_element_id", link_text(F.col("source_text")).alias("row_text"))
-    texts = units.select("chunk_id", link_text(F.col("text")).alias("unit_text"))
+    parents = elements.where(F.col("parent_element_id").isNotNull()).select("element_id", "parent_element_id", row_text(F.col("source_text")).alias("row_text"))
+    texts = units.select("chunk_id", row_text(F.col("text")).alias("unit_text"))
     above = open_facts.join(parents, "element_id").join(held.select("chunk_id", "document_id", F.col("element_id").alias("parent_element_id")), ["document_id", "parent_element_id"]).join(texts, "chunk_id")
     by_parent = above.where((F.col("row_text") != "") & F.contains("unit_text", "row_text")).select("fact_id", "element_id", "chunk_id", F.lit("parent").alias("via"))
     mapped = found.unionByName(by_parent)
     missing = facts.select("fact_id", "element_id").join(mapped, ["fact_id", "element_id"], "left_anti").withColumn("chunk_id", F.lit(None).cast("string")).withColumn("via", F.lit("unmapped"))
+    if complete:
+        missing = missing.withColumn("chunk_id", F.raise_error(F.concat(F.lit("no unit holds the gold element "), F.coalesce("element_id", F.lit("null")))).cast("string"))
     return mapped.unionByName(missing).distinct()
 
 

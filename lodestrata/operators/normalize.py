@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestrata.functions.ids import digest
 from lodestrata.operators.linkage import link_questions, match_evidence
@@ -15,6 +15,12 @@ FINQA_RAW = (
 DOCFINQA_RAW = "Context string, Question string, Program string, Answer string"
 
 
+def _first(df: DataFrame, key: str) -> DataFrame:
+    """The first row of each key in the order the rows were read."""
+    columns = [c for c in df.columns if c != key]
+    return df.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.min_by(F.struct(*columns), "_at").alias("_r")).select(key, "_r.*").select(*df.columns)
+
+
 def _filled(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -31,7 +37,7 @@ def finqa_documents(raw: DataFrame, split: str) -> DataFrame:
         F.concat(F.lit("finqa:"), "filename").alias("document_id"), F.element_at(parts, -1).alias("file_name"), F.lit("application/pdf").alias("mime_type"),
         F.col("filename").alias("source_uri"), F.lit(1).alias("page_count"), F.map_filter(meta, lambda k, v: v.isNotNull()).alias("metadata"),
     )
-    return rows.dropDuplicates(["document_id"])
+    return _first(rows, "document_id")
 
 
 def finqa_elements(raw: DataFrame) -> DataFrame:
@@ -40,7 +46,7 @@ def finqa_elements(raw: DataFrame) -> DataFrame:
     Blank paragraphs use up an index and give no element.
     """
     document = F.concat(F.lit("finqa:"), F.col("filename"))
-    base = raw.select(document.alias("document_id"), _page(F.col("filename")).alias("page_number"), F.coalesce("pre_text", F.array().cast("array<string>")).alias("pre"), F.coalesce("post_text", F.array().cast("array<string>")).alias("post"), "table").dropDuplicates(["document_id"])
+    base = _first(raw.select(document.alias("document_id"), _page(F.col("filename")).alias("page_number"), F.coalesce("pre_text", F.array().cast("array<string>")).alias("pre"), F.coalesce("post_text", F.array().cast("array<string>")).alias("post"), "table"), "document_id")
     none = F.lit(None).cast("string")
     at = lambda *c: F.struct(c[0].alias("table_id"), c[1].cast("int").alias("row_index"))
     text = base.select("document_id", "page_number", F.posexplode(F.concat("pre", "post")).alias("i", "t")).where(_filled(F.col("t")).isNotNull())
@@ -96,9 +102,9 @@ def docfinqa_normalized(raw: DataFrame, finqa: DataFrame, split: str, size: int
     gold = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.col("qa.gold_inds")))))
     known = finqa.select(F.col("id").alias("example_id"), F.col("qa.question").alias("question"), F.coalesce(_filled(F.col("qa.answer")), F.col("qa.exe_ans")).alias("answer"), F.concat_ws("\x1f", "filename", F.coalesce("qa.program_re", "qa.program"), gold).alias("signature"))
     times = rows.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
-    once = rows.dropDuplicates(["record_id"])
+    once = _first(rows, "record_id")
     linked = link_questions(once.select("record_id", "document_id", "question", "answer", "program"), known)
-    documents = rows.select("document_id", "text").dropDuplicates(["document_id"])
+    documents = _first(rows.select("document_id", "text"), "document_id")
     windows = char_windows(documents, key="document_id", size=size, overlap=overlap)
     strategy = f"fixed_character_v1:{size}:{overlap}"
     elements = windows.withColumn("element_id", F.concat("document_id", F.lit(":chunk-"), F.lpad(F.col("chunk_index").cast("string"), 6, "0"))).withColumn("strategy", F.lit(strategy))
@@ -125,8 +131,6 @@ def benchmark_units(documents: DataFrame, elements: DataFrame) -> DataFrame:
     children = elements.where(F.col("parent_element_id").isNotNull()).select(F.col("parent_element_id").alias("element_id"), F.struct(F.coalesce("table_coordinates.row_index", F.lit(-1)).alias("r"), F.col("element_id").alias("e")).alias("c"))
     lists = children.groupBy("element_id").agg(F.array_sort(F.collect_set("c")).alias("cs")).select("element_id", F.transform("cs", lambda c: c["e"]).alias("child_ids"))
     top = elements.where(F.col("parent_element_id").isNull() & F.col("source_text").rlike(r"[\p{L}\p{N}$€£¥%]")).join(lists, "element_id", "left")
-    from pyspark.sql import Window
-
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "element_id")) - 1
     units = top.withColumn("chunk_index", index).join(documents.select("document_id", "file_name"), "document_id", "left")
     ids = F.concat(F.array("element_id"), F.coalesce("child_ids", F.array().cast("array<string>")))
@@ -138,8 +142,6 @@ def benchmark_units(documents: DataFrame, elements: DataFrame) -> DataFrame:
 
 def training_units(documents: DataFrame, elements: DataFrame) -> DataFrame:
     """One unit per element, numbered before tables that have row elements are left out."""
-    from pyspark.sql import Window
-
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "element_id")) - 1
     numbered = elements.withColumn("chunk_index", index)
     with_rows = elements.where((F.col("element_type") == "table_row") & F.col("parent_element_id").isNotNull()).select(F.col("parent_element_id").alias("element_id")).distinct()

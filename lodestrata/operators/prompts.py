@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.functions.text import page_label
 
@@ -17,6 +17,17 @@ INSTRUCTION = (
 NO_CONTEXT = "No context was retrieved."
 
 
+def source_item(rank: Column, page: Column, chunk_id: Column, text: Column) -> Column:
+    """A unit under its label, as it stands in a prompt."""
+    return F.concat(F.lit("[Source "), rank.cast("string"), F.lit(" | page "), F.coalesce(page, F.lit("?")), F.lit(" | chunk_id "), chunk_id, F.lit("]\n"), F.coalesce(text, F.lit("")))
+
+
+def user_message(items: Column, question: Column) -> Column:
+    """The user's turn: the items, or that there are none, and the question."""
+    context = F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(items, "\n\n")).otherwise(NO_CONTEXT)
+    return F.concat(F.lit("Retrieved context:\n\n"), context, F.lit("\n\nQuestion:\n"), question)
+
+
 def citations(ranking: DataFrame, units: DataFrame) -> DataFrame:
     """(query_id, source_number, chunk_id, page_label) of ranked units."""
     pages = units.select("chunk_id", page_label(F.col("page_start"), F.col("page_end")).alias("page_label"))
@@ -29,10 +40,9 @@ def grounded_prompts(queries: DataFrame, ranking: DataFrame, units: DataFrame) -
     A query without ranked units gets a prompt that says so. A blank question raises.
     """
     shown = units.select("chunk_id", "text", page_label(F.col("page_start"), F.col("page_end")).alias("page"))
-    item = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(" | page "), F.coalesce("page", F.lit("?")), F.lit(" | chunk_id "), F.col("chunk_id"), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    item = source_item(F.col("rank"), F.col("page"), F.col("chunk_id"), F.col("text"))
     parts = ranking.select("query_id", "chunk_id", "rank").join(shown, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items"))
     joined = queries.select("query_id", F.trim("query_text").alias("question")).join(parts, "query_id", "left")
-    context = F.when(F.coalesce(F.size("items"), F.lit(0)) > 0, F.array_join(F.transform("items", lambda i: i["item"]), "\n\n")).otherwise(NO_CONTEXT)
     asked = F.when(F.coalesce(F.col("question"), F.lit("")) != "", F.col("question")).otherwise(F.raise_error(F.lit("a question is blank")).cast("string"))
-    user = F.concat(F.lit("Retrieved context:\n\n"), context, F.lit("\n\nQuestion:\n"), asked)
+    user = user_message(F.transform("items", lambda i: i["item"]), asked)
     return joined.select("query_id", F.lit(INSTRUCTION).alias("system"), user.alias("user"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).alias("n_sources"))

@@ -121,16 +121,6 @@ def l2_normalized(vector: Column) -> Column:
     return F.when((norm > 0) & (norm < F.lit(float("inf"))), F.transform(v, lambda x: x / norm))
 
 
-def _dots(a: pd.Series, b: pd.Series) -> np.ndarray:
-    return np.einsum("ij,ij->i", np.stack(a.to_numpy()), np.stack(b.to_numpy()))
-
-
-def cosine_scores(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with score, the cosine of two vector columns; rows with a null or zero vector are left out."""
-    unit = pairs.withColumn(left, l2_normalized(F.col(left))).withColumn(right, l2_normalized(F.col(right))).where(F.col(left).isNotNull() & F.col(right).isNotNull())
-    return unit.withColumn("score", F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
-
-
 def dense(units: DataFrame, queries: DataFrame, *, k: int = 5, scope: Sequence[str] = (), block_rows: int = 20_000, query_rows: int = 4_000, digits: int | None = 9) -> DataFrame:
     """The k nearest units of each query by exact cosine.
 
@@ -186,10 +176,13 @@ def rrf(bm25_ranking: DataFrame, dense_ranking: DataFrame, *, k: int = 5, rrf_k:
 def diversify(ranking: DataFrame, *, k: int = 5, rows_per_parent: int = 2, kind: str = "retrieval_unit_kind", parent: str = "parent_source_element_ids") -> DataFrame:
     """At most rows_per_parent table rows of one parent in each ranking, re-ranked and cut to k.
 
-    Caps of different parents don't depend on each other, so a window says what a greedy pass would.
+    A row's parent are the elements of its parent, else its parent chunk, else itself. Caps of
+    different parents don't depend on each other, so a window says what a greedy pass would.
     """
     row = F.col(kind) == "table_row"
-    turn = F.row_number().over(Window.partitionBy("query_id", "document_id", F.coalesce(F.col(parent), F.array().cast("array<string>")), row).orderBy("rank"))
+    above = F.nullif(F.trim("parent_chunk_id"), F.lit("")) if "parent_chunk_id" in ranking.columns else F.lit(None).cast("string")
+    of = F.when(F.size(parent) > 0, F.col(parent)).otherwise(F.array(F.coalesce(above, "chunk_id")))
+    turn = F.row_number().over(Window.partitionBy("query_id", "document_id", of, row).orderBy("rank"))
     kept = ranking.withColumn("_turn", turn).where(~row | (F.col("_turn") <= rows_per_parent) | row.isNull()).drop("_turn")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
 
@@ -214,7 +207,7 @@ def hybrid(units: DataFrame, queries: DataFrame, unit_vectors: DataFrame, query_
     fused = rrf(lexical, near, k=depth, rrf_k=rrf_k)
     if rows_per_parent is None:
         return fused.where(F.col("rank") <= k)
-    lineage = units.select("chunk_id", "document_id", "retrieval_unit_kind", "parent_source_element_ids")
+    lineage = units.select("chunk_id", "document_id", "retrieval_unit_kind", "parent_source_element_ids", *(["parent_chunk_id"] if "parent_chunk_id" in units.columns else []))
     return diversify(fused.join(lineage, "chunk_id"), k=k, rows_per_parent=rows_per_parent)
 
 

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestrata.functions.ids import nul_digest
+from lodestrata.functions.ids import digest, nul_digest
+
+REFUSAL_RATIO = 0.2
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
@@ -22,12 +24,12 @@ def hash_sample_per_group(df: DataFrame, key: str, group: Sequence[str], n: int)
     return df.withColumn("_turn", turn).where(F.col("_turn") <= n).drop("_turn")
 
 
-def refusal_sample(candidates: DataFrame, supported: DataFrame, ratio: float, by: Sequence[str] = ("dataset", "source_split"), key: str = "example_id") -> DataFrame:
+def refusal_sample(candidates: DataFrame, supported: DataFrame, ratio: float = REFUSAL_RATIO, by: Sequence[str] = ("dataset", "source_split"), key: str = "example_id") -> DataFrame:
     """Refusals so many that they are ratio of all: per group, by hash, round-half-even of n r / (1 - r)."""
     if not 0 <= ratio < 1:
         raise ValueError("ratio must be from 0 to below 1")
     wanted = supported.groupBy(*by).agg(F.bround(F.count(F.lit(1)) * F.lit(ratio) / F.lit(1 - ratio), 0).cast("long").alias("_wanted"))
-    turn = F.row_number().over(Window.partitionBy(*by).orderBy(nul_digest(F.lit("refusal"), F.col(key), width=64), key))
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(digest(F.col(key), width=24), key))
     return candidates.withColumn("_turn", turn).join(wanted, list(by)).where(F.col("_turn") <= F.col("_wanted")).drop("_turn", "_wanted")
 
 

@@ -11,12 +11,20 @@ NUMBER = r"(?<![\w.])[-+]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)(?!\w)"
 MARKER = r"(?i)\bthe\s+answer\s+is\b"
 SOURCE = r"(?i)\[\s*source\s+(\d+)(?:\s*\]|\s*\|[^\]]*\])"
 CHECKS = ("overall", "content", "refusal", "numeric", "units", "citations")
-_DECIMAL = "decimal(38,10)"
+
+
+def exact_number(text: Column) -> Column:
+    """A number of any length in one spelling, so that equal numbers are equal strings; null for what is no number."""
+    bare = F.replace(F.trim(text), F.lit(","), F.lit(""))
+    whole = F.regexp_replace(F.regexp_extract(bare, r"^[-+]?([0-9]*)", 1), "^0+", "")
+    part = F.regexp_replace(F.regexp_extract(bare, r"\.([0-9]+)$", 1), "0+$", "")
+    sign = F.when(bare.startswith("-") & ((whole != "") | (part != "")), "-").otherwise("")
+    return F.when(bare.rlike(r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), F.concat(sign, whole, F.lit("."), part))
 
 
 def decimals(texts: Column) -> Column:
-    """Numbers of an array of strings, thousands commas left out; what is no number is left out."""
-    return F.filter(F.transform(texts, lambda t: F.replace(t, F.lit(","), F.lit("")).try_cast(_DECIMAL)), lambda d: d.isNotNull())
+    """Numbers of an array of strings in one spelling each; what is no number is left out."""
+    return F.filter(F.transform(texts, exact_number), lambda d: d.isNotNull())
 
 
 def answer_numbers(answer: Column) -> Column:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from lodestrata.functions.text import QUERY_STOP_WORDS
-from lodestrata.operators.prompts import NO_CONTEXT, UNSUPPORTED
+from lodestrata.operators.prompts import INSTRUCTION, NO_CONTEXT, UNSUPPORTED
 
 _U = "u AS (SELECT * FROM units WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY received_at DESC NULLS LAST) = 1)"
 _EL = "el AS (SELECT * FROM elements WHERE element_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY received_at DESC NULLS LAST) = 1)"
 _EX = (
     "ex AS (SELECT record_no AS query_id, dataset, split, example_id, question.document_id AS document_id, question.text AS query_text, reference_answer.text AS answer, "
-    "reference_answer.program AS program, supporting_facts FROM examples WHERE record_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_no ORDER BY received_at DESC NULLS LAST) = 1)"
+    "reference_answer.program AS program, question.metadata['source_file'] AS source_file, supporting_facts FROM examples WHERE record_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_no ORDER BY received_at DESC NULLS LAST) = 1)"
 )
 _FACTS = "facts AS (SELECT query_id, document_id, position, trim(f.element_id) AS element_id, f.source_key AS source_key FROM (SELECT query_id, document_id, unnest(range(len(supporting_facts))) AS position, unnest(supporting_facts) AS f FROM ex))"
 _RE = "re AS (SELECT * FROM rag_export WHERE record_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_no ORDER BY received_at DESC NULLS LAST) = 1)"
@@ -93,9 +93,16 @@ _ORDER_ROWS = """
 SELECT DISTINCT l_orderkey::VARCHAR AS document_id, 'order:' || l_orderkey AS parent_chunk_id,
   'Table: Order ' || l_orderkey || chr(10) || 'line: ' || l_linenumber || ' | part: ' || l_partkey || ' | quantity: ' || l_quantity::BIGINT AS text
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
-_GROUP = r"""
-'source-group:' || substr(sha256(CASE WHEN regexp_matches(p, '^[^/]+/.*[^/]+/page_[0-9]+\.[^/]*$') THEN regexp_replace(p, '/[^/]*$', '') ELSE p END), 1, 24)"""
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_GROUPED = r"""
+p AS (SELECT *, replace(lower(regexp_replace(replace(coalesce(CASE WHEN trim(source_file) <> '' THEN source_file END, document_id), '\', '/'), '^\s+|\s+$', '', 'g')), 'ß', 'ss') AS p FROM {0}),
+q AS (SELECT *, list_filter(string_split(p, '/'), x -> x NOT IN ('', '.')) AS parts FROM p),
+r AS (SELECT * EXCLUDE (p, parts), CASE WHEN len(parts) + starts_with(p, '/')::INT >= 3 AND starts_with(parts[-1], 'page_') THEN CASE WHEN starts_with(p, '/') THEN '/' ELSE '' END || array_to_string(parts[:-2], '/') ELSE p END AS report FROM q),
+g AS (SELECT * EXCLUDE (report), 'source-group:' || substr(sha256(unhex(printf('%016x', strlen(report))) || encode(report)), 1, 24) AS group_id FROM r)"""
+_ASSIGNED = "CASE WHEN ('0x' || substr(sha256(group_id), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256(group_id), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '[^a-z0-9%.$-]+', ' ', 'g'))"
+_EVIDENCE_TOKENS = r"list_distinct(regexp_extract_all({0}, '-?\$?[0-9]+(?:\.[0-9]+)?%?|[a-z]+'))"
+_ROW = r"trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\pL\pN_%.$-]+', ' ', 'g'))"
+_PARENT = "document_id, CASE WHEN len(parent_source_element_ids) > 0 THEN parent_source_element_ids ELSE [coalesce(nullif(trim(parent_chunk_id, ' '), ''), chunk_id)] END"
 _LINK = r"trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\s+', ' ', 'g'))"
 _PAGE = "CASE WHEN page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END"
 _LINKED = f"""linked AS (
@@ -125,6 +132,26 @@ flagged AS (
 scored AS (
   SELECT *, content AND refusal AND coalesce(numeric, TRUE) AND coalesce(units, TRUE) AND coalesce(citations, TRUE) AS overall
   FROM (SELECT *, CASE WHEN able THEN coalesce(numeric, TRUE) ELSE refusal END AS content FROM flagged))"""
+_SHOWN_NUMBER = "[-+]?(?:[0-9][0-9,]*(?:\\.[0-9]+)?|\\.[0-9]+)"
+_GUARD = "shown AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM rk JOIN u USING (chunk_id) GROUP BY query_id)"
+
+
+def _count(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\pZ\\x0b\\x85]'))"
+
+
+def _framed(*parts: str) -> str:
+    return " || ".join(f"unhex(printf('%016x', strlen({p}))) || encode({p})" for p in parts)
+
+
+def _gives_away(context: str, answer: str) -> str:
+    """Whether a context holds the answer. A number's neighbours are taken with it and cut off, since RE2 looks neither back nor ahead; signs between are doubled so that neighbours don't overlap."""
+    bare = f"rtrim(regexp_replace({answer}, '^\\s+|\\s+$', '', 'g'), '.')"
+    spaced = f"regexp_replace({context}, '([^0-9,.A-Za-z_+-])', '\\1\\1', 'g')"
+    numbers = f"list_filter(list_transform(regexp_extract_all({spaced}, '(?:^|[^A-Za-z0-9_.])({_SHOWN_NUMBER})(?:[^A-Za-z0-9_]|$)', 1), lambda x: try_cast(replace(x, ',', '') AS DECIMAL(38,10))), lambda x: x IS NOT NULL)"
+    return f"CASE WHEN regexp_matches({bare}, '^[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?$') THEN list_contains({numbers}, try_cast(replace({bare}, ',', '') AS DECIMAL(38,10))) ELSE contains(replace(lower({context}), 'ß', 'ss'), replace(lower({bare}), 'ß', 'ss')) END"
+
+
 _CHECKS = ("overall", "content", "refusal", "numeric", "units", "citations")
 
 SQL: dict[str, str] = {
@@ -151,13 +178,13 @@ FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id,
       FROM rk a FULL JOIN dk b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)
 QUALIFY rank <= 5""",
     "parent_diverse_topk": _with(_U, _EX, _bm25(20))
-    + """, kept AS (SELECT query_id, chunk_id, rank, retrieval_unit_kind, row_number() OVER (PARTITION BY query_id, document_id, coalesce(parent_source_element_ids, []), retrieval_unit_kind = 'table_row' ORDER BY rank) AS turn FROM rk JOIN u USING (chunk_id))
+    + f""", kept AS (SELECT query_id, chunk_id, rank, retrieval_unit_kind, row_number() OVER (PARTITION BY query_id, {_PARENT}, retrieval_unit_kind = 'table_row' ORDER BY rank) AS turn FROM rk JOIN u USING (chunk_id))
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM kept WHERE retrieval_unit_kind IS DISTINCT FROM 'table_row' OR turn <= 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY kept.rank) <= 5""",
     "hybrid_search": _with(_U, _EX, _bm25(20, "plus", True), _dense(20))
-    + """, fused AS (SELECT query_id, chunk_id, s, bm25_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM (
+    + f""", fused AS (SELECT query_id, chunk_id, s, bm25_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM (
   SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS bm25_rank, b.rank AS dense_rank, coalesce(1e0 / (60 + a.rank), 0e0) + coalesce(1e0 / (60 + b.rank), 0e0) AS s
   FROM rk a FULL JOIN dk b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id) QUALIFY r <= 20),
-kept AS (SELECT f.*, retrieval_unit_kind, row_number() OVER (PARTITION BY query_id, document_id, coalesce(parent_source_element_ids, []), retrieval_unit_kind = 'table_row' ORDER BY r) AS turn FROM fused f JOIN u USING (chunk_id))
+kept AS (SELECT f.*, retrieval_unit_kind, row_number() OVER (PARTITION BY query_id, {_PARENT}, retrieval_unit_kind = 'table_row' ORDER BY r) AS turn FROM fused f JOIN u USING (chunk_id))
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, round(s, 6) AS score, bm25_rank, dense_rank FROM kept WHERE retrieval_unit_kind IS DISTINCT FROM 'table_row' OR turn <= 2 QUALIFY rank <= 5""",
     "ranking_validity": "SELECT NULL::BIGINT AS query_id, 0 AS n, 0 AS last, 0 AS first, 0 AS ranks, 0 AS chunks WHERE FALSE",
     "retrieval_per_query": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(), _evaluated("rk", "ev")) + "SELECT query_id, first_relevant_rank, n_gold, " + ", ".join(f"round({c}, 6) AS {c}" for c in _METRICS[:-1]) + " FROM ev",
@@ -176,13 +203,14 @@ SELECT CASE WHEN grouping(dataset) = 1 THEN 'combined' ELSE dataset END AS scope
     "evidence_match": _with(_U, _EX, _EL, _FACTS)
     + f""", f AS (SELECT DISTINCT query_id || '#' || element_id AS fact_id, facts.document_id, {_NORM.format('source_text')} AS e FROM facts JOIN (SELECT element_id, source_text FROM el) USING (element_id)),
 t AS (SELECT document_id, chunk_id, chunk_index, {_NORM.format('text')} AS t FROM u),
-s AS (SELECT fact_id, chunk_id, chunk_index, CASE WHEN contains(t, e) THEN 1.0e0 ELSE len(list_filter(list_distinct(string_split(e, ' ')), lambda w: list_contains(string_split(t, ' '), w))) / len(list_distinct(string_split(e, ' '))) END AS score FROM f JOIN t USING (document_id) WHERE e <> '')
+s AS (SELECT fact_id, chunk_id, chunk_index, CASE WHEN contains(t, e) THEN 1.0e0 ELSE len(list_filter(ew, lambda w: list_contains(tw, w))) / len(ew) END AS score
+      FROM (SELECT *, {_EVIDENCE_TOKENS.format('e')} AS ew FROM f) JOIN (SELECT *, {_EVIDENCE_TOKENS.format('t')} AS tw FROM t) USING (document_id) WHERE len(ew) > 0)
 SELECT fact_id, chunk_id, chunk_index, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY s.score DESC, chunk_index, chunk_id) = 1 AND s.score >= 0.6""",
     "gold_lineage_map": _with(_U, _EX, _EL, _FACTS, _LINEAGE)
     + f""", f AS (SELECT DISTINCT query_id || '#' || element_id AS fact_id, document_id, element_id FROM facts),
 direct AS (SELECT fact_id, chunk_id FROM f JOIN lineage USING (document_id, element_id)),
 above AS (SELECT DISTINCT f.fact_id, l.chunk_id FROM f JOIN el ON el.element_id = f.element_id JOIN lineage l ON l.document_id = f.document_id AND l.element_id = el.parent_element_id JOIN u ON u.chunk_id = l.chunk_id
-          WHERE f.fact_id NOT IN (SELECT fact_id FROM direct) AND {_LINK.format('el.source_text')} <> '' AND contains({_LINK.format('u.text')}, {_LINK.format('el.source_text')}))
+          WHERE f.fact_id NOT IN (SELECT fact_id FROM direct) AND {_ROW.format('el.source_text')} <> '' AND contains({_ROW.format('u.text')}, {_ROW.format('el.source_text')}))
 SELECT fact_id, chunk_id, 'lineage' AS via FROM direct UNION SELECT fact_id, chunk_id, 'parent' FROM above
 UNION SELECT fact_id, NULL, 'unmapped' FROM f WHERE fact_id NOT IN (SELECT fact_id FROM direct UNION ALL SELECT fact_id FROM above)""",
     "gold_context": _with(_EX, _EL, _FACTS)
@@ -195,12 +223,10 @@ FROM (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY query_id, elem
 FROM (SELECT DISTINCT query_id, element_id FROM facts) g LEFT JOIN (SELECT DISTINCT query_id, element_id FROM rk JOIN lineage USING (chunk_id)) h ON g.query_id = h.query_id AND g.element_id = h.element_id GROUP BY g.query_id""",
     "sample_by_hash": _with(_EX) + "SELECT query_id, example_id FROM ex ORDER BY sha256('evidence-sample' || chr(0) || query_id), query_id::VARCHAR LIMIT 128",
     "sample_per_split": "SELECT document_id, split FROM (SELECT DISTINCT document_id, metadata['split'] AS split FROM source_documents WHERE metadata['split'] IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY split ORDER BY sha256(document_id), document_id) <= 5",
-    "split_80_10_10": _with(_RE)
-    + f""", g AS (SELECT record_no, {_GROUP} AS group_id FROM (SELECT record_no, lower(trim(replace(coalesce(nullif(trim(source_file), ''), document_id), '\\', '/'))) AS p FROM re WHERE document_id IS NOT NULL))
-SELECT record_no, group_id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, ('0x' || substr(sha256(group_id), 1, 8))::BIGINT % 100 AS b FROM g)""",
+    "split_80_10_10": _with(_RE, "named AS (SELECT record_no, source_file, document_id FROM re WHERE document_id IS NOT NULL)", _GROUPED.format("named")) + f"SELECT record_no, group_id, {_ASSIGNED} AS split FROM g",
     "refusal_sample": _with(_RE)
-    + """, w AS (SELECT dataset, source_split, round_even(count(*) * 0.05::DOUBLE / (1 - 0.05::DOUBLE), 0)::BIGINT AS wanted FROM re WHERE answerable GROUP BY ALL),
-t AS (SELECT record_no::VARCHAR AS example_id, dataset, source_split, row_number() OVER (PARTITION BY dataset, source_split ORDER BY sha256('refusal' || chr(0) || record_no), record_no::VARCHAR) AS turn FROM re WHERE NOT answerable)
+    + """, w AS (SELECT dataset, source_split, round_even(count(*) * 0.2::DOUBLE / (1 - 0.2::DOUBLE), 0)::BIGINT AS wanted FROM re WHERE answerable GROUP BY ALL),
+t AS (SELECT record_no::VARCHAR AS example_id, dataset, source_split, row_number() OVER (PARTITION BY dataset, source_split ORDER BY sha256(unhex(printf('%016x', strlen(record_no::VARCHAR))) || encode(record_no::VARCHAR))[:24], record_no::VARCHAR) AS turn FROM re WHERE NOT answerable)
 SELECT example_id, dataset, source_split FROM t JOIN w USING (dataset, source_split) WHERE turn <= wanted""",
     "entity_conflicts": "SELECT document_id, count(*) AS n_rows, count(DISTINCT (coalesce(title, chr(0)), coalesce(checksum_sha256, chr(0)), coalesce(metadata['split'], chr(0)), coalesce(deleted_at::VARCHAR, chr(0)))) AS n_contents FROM source_documents WHERE document_id IS NOT NULL GROUP BY document_id HAVING n_contents > 1",
     "fk_violations": """
@@ -218,7 +244,8 @@ count(CASE WHEN link_status = 'answer_mismatch' THEN 1 END) AS answer_mismatch,
     "export_histograms": _with(_RE)
     + " UNION ALL ".join(f"SELECT {f}::VARCHAR AS value, count(*) AS n, '{f}' AS field FROM re GROUP BY ALL" for f in ("category", "context_mode", "unit_status", "answerable"))
     + " UNION ALL SELECT value, count(*) AS n, 'expected_units' AS field FROM (SELECT unnest(expected_units) AS value FROM re) GROUP BY ALL",
-    "table_fingerprint": _with(_U) + "SELECT count(*) AS n_rows, sum(('0x' || substr(sha256(concat_ws(chr(31), coalesce(chunk_id, chr(0)), coalesce(document_id, chr(0)), coalesce(text, chr(0)))), 1, 12))::BIGINT)::VARCHAR AS digest FROM u",
+    "table_fingerprint": _with(_U, "h AS (SELECT sha256(concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}) || ':' || {c} END" for c in ("chunk_id", "document_id", "text")) + ")) AS h FROM u)")
+    + "SELECT count(*) AS n_rows, concat_ws('-', " + ", ".join(f"sum(('0x' || substr(h, {i}, 15))::HUGEINT)::VARCHAR" for i in (1, 16, 31, 46)) + ") AS digest FROM h",
     "grounded_prompts": _with(_U, _EX, _bm25(3))
     + f""", c AS (SELECT query_id, count(*) AS n, string_agg('[Source ' || rank || ' | page ' || coalesce({_PAGE}, '?') || ' | chunk_id ' || chunk_id || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM rk JOIN u USING (chunk_id) GROUP BY query_id)
 SELECT query_id, md5('Retrieved context:' || chr(10) || chr(10) || coalesce(context, '{NO_CONTEXT}') || chr(10) || chr(10) || 'Question:' || chr(10) || trim(query_text, ' ')) AS user_md5, coalesce(n, 0) AS n_sources FROM ex LEFT JOIN c USING (query_id)""",
@@ -230,12 +257,13 @@ SELECT query_id, md5('Retrieved context:' || chr(10) || chr(10) || coalesce(cont
     + " FROM scored GROUP BY GROUPING SETS ((category), (context_mode), ())",
     "budget_trim": _with(_U, _EX, _FACTS, _LINEAGE, _bm25())
     + """, g AS (SELECT DISTINCT facts.query_id, lineage.chunk_id FROM facts JOIN lineage USING (element_id)),
-c AS (SELECT rk.query_id, rk.chunk_id, rk.rank, coalesce(u.token_count, 0) AS n, g.chunk_id IS NOT NULL AS is_gold FROM rk JOIN u USING (chunk_id) LEFT JOIN g ON g.query_id = rk.query_id AND g.chunk_id = rk.chunk_id),
+c AS (SELECT rk.query_id, rk.chunk_id, rk.rank, len(regexp_extract_all(u.text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\pZ\\x0b\\x85]')) AS n, g.chunk_id IS NOT NULL AS is_gold FROM rk JOIN u USING (chunk_id) LEFT JOIN g ON g.query_id = rk.query_id AND g.chunk_id = rk.chunk_id),
 w AS (SELECT *, sum(CASE WHEN is_gold THEN n ELSE 0 END) OVER (PARTITION BY query_id) AS gold, sum(CASE WHEN is_gold THEN 0 ELSE n END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS others FROM c)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY w.rank) AS rank, is_gold, gold > 600 AS overflow FROM w WHERE is_gold OR gold + others <= 600""",
     "unit_rules": _with(_U)
     + """, r AS (SELECT chunk_id AS row_key, unnest([
-  CASE WHEN coalesce(trim(text, ' '), '') = '' THEN 'text is blank' END, CASE WHEN char_count <> length(text) THEN 'char_count differs' END, CASE WHEN page_start > page_end THEN 'pages out of order' END,
+  CASE WHEN coalesce(trim(text, ' '), '') = '' THEN 'text is blank' END, CASE WHEN text IS NOT NULL AND char_count IS DISTINCT FROM length(text) THEN 'char_count differs' END,
+  CASE WHEN text IS NOT NULL AND token_count IS DISTINCT FROM len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\pZ\\x0b\\x85]')) THEN 'token_count differs' END, CASE WHEN page_start > page_end THEN 'pages out of order' END,
   CASE WHEN page_start < 1 THEN 'page is below 1' END, CASE WHEN chunk_index < 0 THEN 'chunk_index is negative' END, CASE WHEN len(source_element_ids) < 1 THEN 'no source element' END,
   CASE WHEN retrieval_unit_kind IS NULL OR retrieval_unit_kind NOT IN ('chunk', 'narrative', 'table_row') THEN 'unknown kind' END,
   CASE WHEN NOT (retrieval_unit_kind IN ('narrative', 'table_row') OR coalesce(trim(parent_chunk_id, ' '), '') = '') THEN 'a chunk has no parent' END]) AS rule FROM u)
@@ -248,5 +276,35 @@ SELECT row_key, rule FROM r WHERE rule IS NOT NULL""",
   CASE WHEN table_coordinates.row_index < 0 THEN 'row_index is negative' END, CASE WHEN table_coordinates.column_index < 0 THEN 'column_index is negative' END,
   CASE WHEN coalesce(table_coordinates.row_span, 1) < 1 OR coalesce(table_coordinates.column_span, 1) < 1 THEN 'span is below 1' END]) AS rule FROM el)
 SELECT row_key, rule FROM r WHERE rule IS NOT NULL""",
+    "benchmark_units": _with(_EL)
+    + """, kids AS (SELECT parent_element_id AS element_id, list(element_id ORDER BY r, element_id) AS child_ids FROM (SELECT DISTINCT parent_element_id, element_id, coalesce(table_coordinates.row_index, -1) AS r FROM el WHERE parent_element_id IS NOT NULL) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number NULLS FIRST, element_id) - 1 AS chunk_index FROM el WHERE parent_element_id IS NULL AND regexp_matches(source_text, '[\\pL\\pN$€£¥%]'))
+SELECT 'normalized-chunk:' || sha256(""" + _framed("document_id", "element_id", "coalesce(source_text, '')") + """) AS chunk_id, document_id, chunk_index::INT AS chunk_index, [element_id] || coalesce(child_ids, []) AS source_element_ids FROM top LEFT JOIN kids USING (element_id)""",
+    "training_units": _with(_EL)
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number NULLS FIRST, element_id) - 1 AS chunk_index FROM el)
+SELECT 'chunk:' || substr(sha256(""" + _framed("document_id", "element_id", "source_text") + """), 1, 24) AS chunk_id, document_id, chunk_index::INT AS chunk_index, [element_id] AS source_element_ids FROM numbered
+WHERE regexp_matches(source_text, '[\\pL\\pN$€£¥%]') AND element_id NOT IN (SELECT parent_element_id FROM el WHERE element_type = 'table_row' AND parent_element_id IS NOT NULL)""",
+    "refusal_guard": _with(_U, _EX, _bm25(3), _GUARD) + f"SELECT query_id, {_gives_away('context', 'answer')} AS given_away FROM shown JOIN (SELECT query_id, answer FROM ex WHERE answer IS NOT NULL) USING (query_id)",
+    "plain_chat_records": _with(_EX, _EL, _FACTS)
+    + f""", c AS (SELECT query_id, string_agg('[' || source_key || ']' || chr(10) || source_text, chr(10) || chr(10) ORDER BY position) AS context
+FROM (SELECT * FROM facts WHERE element_id IN (SELECT element_id FROM el) QUALIFY row_number() OVER (PARTITION BY query_id, element_id ORDER BY position) = 1) JOIN (SELECT element_id, source_text FROM el) USING (element_id) GROUP BY query_id)
+SELECT query_id, dataset, split, md5('system:{INSTRUCTION}|user:Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || trim(query_text, ' ') || '|assistant:' || trim(answer, ' ')) AS messages_md5
+FROM ex JOIN c USING (query_id) WHERE coalesce(trim(answer, ' '), '') <> '' AND coalesce(trim(query_text, ' '), '') <> '' AND context IS NOT NULL""",
+    "refusal_records": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(20))
+    + f""", asked AS (SELECT query_id, dataset, split AS source_split, document_id, source_file, query_text AS question, answer FROM ex WHERE answer IS NOT NULL AND trim(query_text, ' ') <> ''),
+g AS (SELECT DISTINCT query_id, element_id FROM facts),
+ok AS (SELECT g.query_id, count(*) = count(h.element_id) AND count(*) <= 5 AS enough FROM g LEFT JOIN (SELECT DISTINCT query_id, element_id FROM rk JOIN lineage USING (chunk_id) WHERE rank <= 5) h ON g.query_id = h.query_id AND g.element_id = h.element_id GROUP BY g.query_id),
+hidden AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rk.rank, chunk_id) AS rank FROM rk JOIN ok USING (query_id) WHERE enough AND (query_id, chunk_id) NOT IN (SELECT (g.query_id, lineage.chunk_id) FROM g JOIN lineage USING (element_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rk.rank, chunk_id) <= 5),
+ctx AS (SELECT query_id, chunk_id, rank FROM rk JOIN ok USING (query_id) WHERE NOT enough AND rank <= 5 UNION ALL SELECT * FROM hidden),
+it AS (SELECT query_id, chunk_id, rank, coalesce(text, '') AS text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, '[Source ' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || ' | page ' || coalesce({_PAGE}, '?') || ' | chunk_id ' || chunk_id || ']' || chr(10) || coalesce(text, '') AS item FROM ctx JOIN u USING (chunk_id)),
+safe AS (SELECT a.* FROM asked a JOIN (SELECT query_id, string_agg(text, chr(10) ORDER BY n) AS context FROM it GROUP BY query_id) c USING (query_id) WHERE NOT {_gives_away('c.context', 'a.answer')}),
+fit AS (SELECT query_id, chunk_id, n, item, count(*) OVER (PARTITION BY query_id) AS total FROM (SELECT it.*, sum({_count('item')}) OVER (PARTITION BY query_id ORDER BY n) AS cost FROM it) JOIN safe USING (query_id)
+  WHERE cost <= 4096 - {_count(f"'{INSTRUCTION}'")} - {_count("'Retrieved context: Question: ' || trim(question, ' ')")} - {_count(f"'{UNSUPPORTED}'")}),
+made AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY n) AS chunks, string_agg(item, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS kept FROM fit GROUP BY query_id),
+rec AS (SELECT s.*, chunks, kept, (SELECT count(*) FROM it WHERE it.query_id = s.query_id) AS total, 'Retrieved context:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || trim(question, ' ') AS said FROM safe s JOIN made USING (query_id)),
+{_GROUPED.format('rec').strip()}
+SELECT query_id, dataset, source_split, {_ASSIGNED} AS split, group_id AS document_group_id, document_id, FALSE AS answerable, 'unsupported' AS category, 'retrieval_insufficient' AS context_mode, FALSE AS calculation_supervised, 'not_applicable' AS unit_status, NULL::VARCHAR AS reasoning_program,
+  kept < total AS context_trimmed, ({_count(f"'{INSTRUCTION}'")} + {_count('said')} + {_count(f"'{UNSUPPORTED}'")})::INT AS sequence_token_count, '' AS expected_values, '' AS expected_units, '' AS gold_source_element_ids, '' AS gold_source_numbers, chunks AS source_chunk_ids, '' AS oracle_injected_chunk_ids, '' AS oracle_injected_source_numbers,
+  md5('system:{INSTRUCTION}|user:' || said || '|assistant:{UNSUPPORTED}') AS messages_md5 FROM g""".replace("\ng AS (SELECT DISTINCT query_id, element_id FROM facts)", "\nwanted AS (SELECT DISTINCT query_id, element_id FROM facts)").replace("FROM g LEFT JOIN (SELECT DISTINCT", "FROM wanted g LEFT JOIN (SELECT DISTINCT").replace("FROM g JOIN lineage", "FROM wanted g JOIN lineage"),
     "json_props": "SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type",
 }

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestrata.functions import ids, text
 from lodestrata.operators import chunker, constraints, evaluation, export, integrity, linkage, normalize, prompts, ranking, sampling, scoring, tables
 from lodestrata.operators.windows import char_windows, latest
+from lodestrata.session import cut
 from lodestrata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +35,8 @@ def _examples(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "examples").select(
         "record_no", "dataset", "split", "example_id", F.col("question.document_id").alias("document_id"), F.col("question.text").alias("query_text"),
         F.try_element_at(F.col("question.metadata"), F.lit("source_file")).alias("source_file"), F.col("question.question_type").alias("question_type"),
-        F.col("reference_answer.text").alias("answer"), F.col("reference_answer.program").alias("program"), "supporting_facts", "received_at",
+        F.col("reference_answer.text").alias("answer"), F.col("reference_answer.program").alias("program"), F.col("reference_answer.normalized_program").alias("normalized_program"),
+        F.col("reference_answer.explanation").alias("explanation"), F.size("reference_answer.steps").alias("n_steps"), "supporting_facts", "received_at",
     )
     return latest(df, "record_no").withColumnRenamed("record_no", "query_id")
 
@@ -135,7 +137,7 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parent_diverse_topk(spark: SparkSession, folder: str) -> DataFrame:
-    lineage = _units(spark, folder).select("chunk_id", "document_id", "retrieval_unit_kind", "parent_source_element_ids")
+    lineage = _units(spark, folder).select("chunk_id", "document_id", "retrieval_unit_kind", "parent_source_element_ids", "parent_chunk_id")
     found = ranking.diversify(_bm25(spark, folder, 20).join(lineage, "chunk_id"), k=5, rows_per_parent=1)
     return found.select("query_id", "chunk_id", "rank")
 
@@ -252,7 +254,7 @@ def evidence_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def gold_lineage_map(spark: SparkSession, folder: str) -> DataFrame:
     facts = _facts(spark, folder).select(F.concat_ws("#", "query_id", "element_id").alias("fact_id"), "document_id", "element_id").distinct()
-    return linkage.map_gold(facts, _units(spark, folder), _elements(spark, folder)).select("fact_id", "chunk_id", "via")
+    return linkage.map_gold(facts, _units(spark, folder), _elements(spark, folder), complete=False).select("fact_id", "chunk_id", "via")
 
 
 def gold_context(spark: SparkSession, folder: str) -> DataFrame:
@@ -291,7 +293,7 @@ def split_80_10_10(spark: SparkSession, folder: str) -> DataFrame:
 
 def refusal_sample(spark: SparkSession, folder: str) -> DataFrame:
     rows = _exports(spark, folder).select(F.col("record_no").cast("string").alias("example_id"), "dataset", "source_split", "answerable")
-    chosen = sampling.refusal_sample(rows.where("NOT answerable"), rows.where("answerable"), 0.05)
+    chosen = sampling.refusal_sample(rows.where("NOT answerable"), rows.where("answerable"))
     return chosen.select("example_id", "dataset", "source_split")
 
 
@@ -402,25 +404,39 @@ def budget_trim(spark: SparkSession, folder: str) -> DataFrame:
     return export.budget_trim(_bm25(spark, folder), units, 600, _facts(spark, folder), linkage.lineage(units)).select("query_id", "chunk_id", "rank", "is_gold", "overflow")
 
 
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    e = _examples(spark, folder).where("answer IS NOT NULL AND trim(query_text) <> ''").withColumnRenamed("query_text", "question")
+    return e.select("query_id", "dataset", "split", "document_id", "source_file", "question", "answer", "program", "normalized_program", "explanation", "n_steps")
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    examples = _inferred(spark, folder).where("unit_status <> 'ambiguous'")
     units = _units(spark, folder)
-    return export.training_records(examples, oracle_augment(spark, folder), units, linkage.lineage(units), _facts(spark, folder))
+    return export.training_records(_asked(spark, folder), oracle_augment(spark, folder), units, linkage.lineage(units), _facts(spark, folder))
+
+
+def _shown_records(records: DataFrame) -> DataFrame:
+    """Records with their conversation as one digest and their lists as strings."""
+    listed = [F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("expected_values", "expected_units", "gold_source_element_ids", "gold_source_numbers", "source_chunk_ids", "oracle_injected_chunk_ids", "oracle_injected_source_numbers")]
+    plain = ["query_id", "dataset", "source_split", "split", "document_group_id", "document_id", "answerable", "category", "context_mode", "calculation_supervised", "unit_status", "reasoning_program", "context_trimmed", "sequence_token_count"]
+    return records.select(*plain, *listed, F.md5(F.concat_ws("|", F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])))).alias("messages_md5"))
 
 
 def training_records(spark: SparkSession, folder: str) -> DataFrame:
-    return _records(spark, folder)
+    return _shown_records(_records(spark, folder))
 
 
 def training_record_violations(spark: SparkSession, folder: str) -> DataFrame:
-    return export.invalid_records(_records(spark, folder))
+    return export.invalid_records(_records(spark, folder).unionByName(_refusals(spark, folder)))
+
+
+def _refusals(spark: SparkSession, folder: str) -> DataFrame:
+    units, facts = _units(spark, folder), _facts(spark, folder)
+    deep = cut(_bm25(spark, folder, 20))
+    return export.refusal_records(_asked(spark, folder), export.refusal_contexts(deep.where("rank <= 5"), deep, linkage.lineage(units), facts, 5), units)
 
 
 def refusal_records(spark: SparkSession, folder: str) -> DataFrame:
-    units = _units(spark, folder)
-    hidden = export.without_gold(_bm25(spark, folder, 20), linkage.lineage(units), _facts(spark, folder), 3)
-    e = _examples(spark, folder).where("answer IS NOT NULL").withColumnRenamed("query_text", "question")
-    return export.refusal_records(e, hidden, units)
+    return _shown_records(_refusals(spark, folder))
 
 
 def benchmark_units(spark: SparkSession, folder: str) -> DataFrame:

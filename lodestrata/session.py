@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -51,12 +52,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage by a reliable checkpoint.
 
     The folder is the one in spark.checkpoint.dir, which every executor shares, so lost executors
-    lose nothing. Only where it is unset (tests on one machine) a folder of our own is used.
+    lose nothing. Only where it is unset and all runs in one JVM a folder of our own is used; on a
+    cluster that would be lost with its machine, so there it raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[[^,\]]*(?:,[^\]]*)?\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestrata_checkpoint_"))
     return df.checkpoint(eager)
 

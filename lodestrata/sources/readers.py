@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.operators.normalize import DOCFINQA_RAW, FINQA_RAW
+from lodestrata.sources.sinks import read_small
 
 _CHUNK = "struct<chunk_id:string, document_id:string, text:string, page_start:int, page_end:int, source_element_ids:array<string>>"
 SUITE = (
@@ -57,21 +58,32 @@ def finqa_split(spark: SparkSession, root: str, file: str) -> DataFrame:
 
 
 def docfinqa_split(spark: SparkSession, root: str, file: str) -> DataFrame:
-    """Long-document records; blank context, question or answer and unknown keys raise."""
+    """Long-document records; blank context, question or answer, unknown keys and an empty file raise.
+
+    A file of JSON lines (.jsonl, .ndjson) is read in splits and once: keys are checked in the rows
+    as they pass. One JSON array can't be split and is read by one task, once more for its keys.
+    """
     path = contained(root, file)
-    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    known = {c.split()[0] for c in DOCFINQA_RAW.split(", ")}
-    if extra := set(raw.columns) - known:
-        raise ValueError(f"unknown keys {sorted(extra)}")
-    df = _not_empty(json_array(spark, path, DOCFINQA_RAW), file)
-    whole = df
+    known = [c.split()[0] for c in DOCFINQA_RAW.split(", ")]
+    if path.endswith((".jsonl", ".ndjson")):
+        rows = spark.read.option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
+        extra = F.array_except(F.map_keys(F.variant_get("v", "$", "map<string,variant>")), F.array(*map(F.lit, known)))
+        fine = F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown keys "), F.array_join(extra, ", "))).cast("variant")).otherwise(F.col("v"))
+        df = rows.select(fine.alias("v")).select(*[F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in known])
+    else:
+        seen = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+        if extra := set(seen.columns) - set(known):
+            raise ValueError(f"unknown keys {sorted(extra)}")
+        df = json_array(spark, path, DOCFINQA_RAW)
+    whole = _not_empty(df, file)
     for c in ("Context", "Question", "Answer"):
         whole = whole.withColumn(c, F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is blank")).cast("string")))
     return whole
 
 
 def manifest(path: str, dataset: str | None = None) -> dict:
-    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    """A manifest of a data set; it must name the set that is asked for."""
+    found = json.loads(read_small(path))
     if not isinstance(found, dict) or (dataset and found.get("dataset") != dataset):
         raise ValueError(f"{path} is no manifest of {dataset or 'a data set'}")
     return found

@@ -42,10 +42,15 @@ def test_phrases_end_at_words_and_citations_stay_in_range(spark):
         ("7", "q", ["$ 5 and $ 2"], "add(5, 2)", ("$7", ["$"], "inferred")),
         ("7", "q", ["$ 5 and 2"], "divide(5, 2)", (None, [], "ambiguous")),
         ("7", "q", ["five"], None, ("7", [], "not_applicable")),
+        ("12.50", "q", ["rates were 12.5 % and 12.5% then"], None, ("12.50%", ["%"], "inferred")),
+        ("12.5", "q", ["12.5% here, 12.5 basis points there"], None, (None, [], "ambiguous")),
+        (None, "q", [], None, ("", [], "not_applicable")),
     ],
 )
-def test_units_of_answers(answer, question, evidence, program, want):
-    assert export.answer_with_units(answer, question, evidence, program) == want
+def test_units_of_answers(spark, answer, question, evidence, program, want):
+    rows = spark.createDataFrame([(answer, question, "\n".join(evidence), program)], "answer string, question string, evidence string, program string")
+    got = export.infer_units(rows).first()
+    assert (got.answer_text, got.answer_units, got.unit_status) == want
 
 
 def test_augmentation_keeps_gold_and_size():
@@ -58,7 +63,7 @@ def test_augmentation_keeps_gold_and_size():
 
 def test_budget_drops_the_last_without_gold(spark):
     r = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "a", 1)], "query_id long, chunk_id string, rank int")
-    u = spark.createDataFrame([("a", 50), ("b", 40), ("c", 30)], "chunk_id string, token_count int")
+    u = spark.createDataFrame([("a", "w " * 50), ("b", "w " * 40), ("c", "w " * 30)], "chunk_id string, text string").withColumn("token_count", F.lit(None).cast("int"))
     g = spark.createDataFrame([(1, "ec")], "query_id long, element_id string")
     lineage = spark.createDataFrame([("c", "ec")], "chunk_id string, element_id string")
     got = {(x.query_id, x.chunk_id, x.rank, x.overflow) for x in export.budget_trim(r, u, 80, g, lineage).collect()}
@@ -143,3 +148,84 @@ def test_long_documents_are_linked_and_counted(spark, tmp_path):
     row = stats.first()
     assert (row.total, row.normalized, row.duplicates, row.ambiguous, row.skipped) == (3, 1, 1, 1, 2)
     assert statistics_violations(stats).count() == 0
+
+
+@pytest.mark.parametrize(
+    "file, document, path",
+    [
+        ("ABC\\2020\\Page_1.pdf", "d", "abc/2020"), (" ./ABC//2020/page_x.pdf ", "d", "abc/2020"), ("2020/page_1.pdf", "d", "2020/page_1.pdf"), ("A/B/c.pdf", "d", "a/b/c.pdf"),
+        ("/a/page_1.pdf", "d", "/a"), (" ", "Doc:1", "doc:1"), (None, "Doc:1", "doc:1"),
+    ],
+)
+def test_groups_of_reports(spark, file, document, path):
+    import hashlib
+
+    raw = path.encode()
+    group = "source-group:" + hashlib.sha256(len(raw).to_bytes(8, "big") + raw).hexdigest()[:24]
+    bucket = int(hashlib.sha256(group.encode()).hexdigest()[:8], 16) % 100
+    split = "train" if bucket < 80 else "validation" if bucket < 90 else "test"
+    found = ids.document_group(F.col("f"), F.lit(None).cast("string"), F.col("d"))
+    r = spark.createDataFrame([(file, document)], "f string, d string").select(found.alias("g"), ids.assigned_split(found).alias("s")).first()
+    assert (r.g, r.s) == (group, split)
+
+
+def test_evidence_keeps_numbers_whole(spark):
+    facts = spark.createDataFrame([(1, "d", "Margin was 12.5% of $1,200 in the year"), (2, "d", "2.5"), (3, "d", " ; "), (4, "e", "margin")], "fact_id long, document_id string, evidence string")
+    units = spark.createDataFrame([("d", "a", 0, "margin was 12 and 5 of 1 200 in the year"), ("d", "b", 1, "In the year | margin: 12.5% of $1200 was"), ("d", "c", 2, None)], "document_id string, chunk_id string, chunk_index int, text string")
+    got = {r.fact_id: (r.chunk_id, round(r.score, 3)) for r in linkage.match_evidence(facts, units).collect()}
+    assert got == {1: ("b", 1.0), 2: ("b", 1.0)}
+
+
+def test_rows_are_found_in_parents_whatever_separates_cells(spark):
+    facts = spark.createDataFrame([("f", "d", "row"), ("g", "d", "none")], "fact_id string, document_id string, element_id string")
+    units = spark.createDataFrame([("u", "d", ["table"], "a: b, $5.0")], "chunk_id string, document_id string, source_element_ids array<string>, text string")
+    elements = spark.createDataFrame([("row", "table", "A | b | $5.0")], "element_id string, parent_element_id string, source_text string")
+    assert {(r.fact_id, r.chunk_id, r.via) for r in linkage.map_gold(facts, units, elements, complete=False).collect()} == {("f", "u", "parent"), ("g", None, "unmapped")}
+    with pytest.raises(Exception, match="no unit holds"):
+        linkage.map_gold(facts, units, elements).collect()
+
+
+def _supported(spark, room=4_096, **more):
+    asked = {"query_id": "q", "dataset": "x", "split": "test", "document_id": "d", "source_file": "a/b/page_1.pdf", "question": "how much?", "answer": "7.", "program": None, "normalized_program": None, "explanation": None, "n_steps": 0} | more
+    examples = spark.createDataFrame([tuple(asked.values())], "query_id string, dataset string, split string, document_id string, source_file string, question string, answer string, program string, normalized_program string, explanation string, n_steps int")
+    contexts = spark.createDataFrame([("q", 1, "a", False), ("q", 2, "g", True), ("q", 3, "b", False)], "query_id string, rank int, chunk_id string, injected boolean")
+    units = spark.createDataFrame([("a", "one two", "chunk"), ("g", "it was $ 7 million", "table_row"), ("b", "three " * 50, "chunk")], "chunk_id string, text string, retrieval_unit_kind string")
+    lineage = spark.createDataFrame([("g", "e")], "chunk_id string, element_id string")
+    gold = spark.createDataFrame([("q", "e")], "query_id string, element_id string")
+    records = export.training_records(examples, contexts, units, lineage, gold, room)
+    assert export.invalid_records(records, room).count() == 0
+    return records.first()
+
+
+def test_supported_records(spark):
+    r = _supported(spark)
+    assert r.messages[2].content == "The answer is $7 million. [Source 2]" and r.category == "table_lookup" and r.context_mode == "oracle_augmented"
+    assert r.gold_source_numbers == [2] and r.oracle_injected_source_numbers == [2] and r.expected_units == ["$", "million"] and not r.context_trimmed
+    told = _supported(spark, program="x", normalized_program=" add(3, 4) \n\n", n_steps=1)
+    assert told.messages[2].content == "Calculation:\nadd(3, 4)\nThe answer is $7 million. [Source 2]" and told.category == "reasoning" and told.calculation_supervised
+    assert _supported(spark, explanation="It paid $7 MILLION in all.").messages[2].content == "It paid $7 MILLION in all. [Source 2]"
+    assert _supported(spark, explanation="See the note.").messages[2].content == "See the note. The answer is $7 million. [Source 2]"
+    less = _supported(spark, room=r.sequence_token_count - 1)
+    assert less.source_chunk_ids == ["a", "g"] and less.context_trimmed and less.sequence_token_count < r.sequence_token_count
+    least = less.sequence_token_count
+    assert _supported(spark, room=least - 1).source_chunk_ids == ["g"] and _supported(spark, room=least - 1).gold_source_numbers == [1]
+    assert _supported(spark, room=30) is None
+
+
+def test_refusals_lose_sources_from_the_end(spark):
+    examples = spark.createDataFrame([("q", "x", "test", "d", None, "how much?", "7")], "query_id string, dataset string, split string, document_id string, source_file string, question string, answer string")
+    contexts = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b")], "query_id string, rank int, chunk_id string")
+    units = spark.createDataFrame([("a", "one two"), ("b", "three " * 50)], "chunk_id string, text string")
+    whole = export.refusal_records(examples, contexts, units).first()
+    assert whole.source_chunk_ids == ["a", "b"] and whole.messages[2].content == prompts.UNSUPPORTED and not whole.context_trimmed
+    less = export.refusal_records(examples, contexts, units, whole.sequence_token_count - 1).first()
+    assert less.source_chunk_ids == ["a"] and less.context_trimmed
+    assert export.refusal_records(examples, contexts, units, 20).count() == 0
+    assert export.refusal_records(examples.withColumn("answer", F.lit("Two.")), contexts, units).count() == 0
+
+
+def test_numbers_of_any_length(spark):
+    rows = [("0012.50", "12.5"), ("-0.0", "0"), ("+1,234", "1234."), ("9" * 60 + ".10", "9" * 60 + ".1"), (".5", "0.50")]
+    r = spark.createDataFrame(rows, "a string, b string").select((scoring.exact_number(F.col("a")) == scoring.exact_number(F.col("b"))).alias("same")).collect()
+    assert all(x.same for x in r)
+    assert spark.range(1).select(scoring.exact_number(F.lit("1.2.3")).alias("x")).first().x is None

@@ -4,7 +4,9 @@ import json
 
 import pytest
 from lodestrata.operators import evaluation
+from lodestrata import __main__ as cli
 from lodestrata.plans import pipelines
+from lodestrata.plans.settings import Settings
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import ingest
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ def test_export_keeps_gold_and_groups(spark, tmp_path):
     counts = pipelines.export_training(units, examples, gold.where("element_id <> ''").select("query_id", F.trim("element_id").alias("element_id")), str(tmp_path / "x"), k=2, refusal_ratio=0.5)
     assert sum(c["supported"] for c in counts.values()) == 2 and len(counts) == 1
     rows = spark.read.json(str(tmp_path / "x")).where("answerable").collect()
-    assert all("[Source" in r.answer for r in rows)
+    assert all("[Source" in r.messages[2].content for r in rows)
 
 
 def test_suite_of_two_models(spark, tmp_path):
@@ -99,10 +101,10 @@ def test_sources_refuse_what_doesnt_fit(spark, tmp_path):
     assert readers.pages_text(pages).first().markdown == "<!-- page: 1 -->\n\na\n\n<!-- page: 2 -->\n\nb"
 
 
-def test_failed_writes_leave_the_old_file(tmp_path, monkeypatch):
+def test_failed_writes_leave_the_old_file(spark, tmp_path, monkeypatch):
     path = tmp_path / "m.json"
     sinks.write_manifest(str(path), {"a": 1})
-    monkeypatch.setattr("os.replace", lambda *a: (_ for _ in ()).throw(OSError("full")))
+    monkeypatch.setattr(sinks, "_rename", lambda *a: (_ for _ in ()).throw(OSError("full")))
     with pytest.raises(OSError):
         sinks.write_manifest(str(path), {"a": 2})
     assert json.loads(path.read_text()) == {"a": 1} and len(list(tmp_path.iterdir())) == 1
@@ -163,7 +165,40 @@ def test_long_document_output_is_validated(spark, tmp_path):
     for f in files:
         f.write_text(f.read_text().replace("Long", "Lung"))
         (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
-    assert {r.check_name for r in pipelines.validate_docfinqa(spark, target).collect()} == {"window differs"}
+    assert {r.check_name for r in pipelines.validate_docfinqa(spark, target).collect()} == {"window differs", "file differs from manifest"}
+
+
+def test_benchmarks_are_written_and_compared(spark, tmp_path):
+    units, queries, gold = _world(spark)
+    first = pipelines.run_benchmark(units, queries, gold, str(tmp_path / "a"))
+    again = pipelines.run_benchmark(units, queries, gold, str(tmp_path / "b"), baseline=str(tmp_path / "a"))
+    assert first["fingerprints"] == again["fingerprints"] and all(v == 0 for row in again["comparison"].values() for v in row.values())
+    assert sinks.artifact(spark, str(tmp_path / "a/evaluations")) == first["evaluations"] and first["evaluations"]["records"] > 0
+    with pytest.raises(ValueError, match="another corpus"):
+        pipelines.run_benchmark(units.limit(1), queries, gold, str(tmp_path / "c"), baseline=str(tmp_path / "a"))
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    (tmp_path / "a.json").write_text(json.dumps([raw(5)]))
+    (tmp_path / "s.toml").write_text('revision = "%s"\n[files]\ntest = "a.json"\n' % ("0" * 40))
+    out = str(tmp_path / "out")
+    assert cli.main(["prepare", str(tmp_path / "s.toml"), str(tmp_path), out]) == 0
+    for retriever in ("bm25", "dense", "hybrid"):
+        assert cli.main(["benchmark", retriever, out, "--target", str(tmp_path / retriever)] + (["--baseline", str(tmp_path / "bm25")] if retriever != "bm25" else [])) == 0
+    assert cli.main(["export-training", out, "--target", str(tmp_path / "rag"), "--split", "test"]) == 0
+    assert cli.main(["export-chat", out, "--target", str(tmp_path / "chat"), "--split", "test"]) == 0
+    lines = [line for f in (tmp_path / "chat/test").glob("*.txt") for line in f.read_text().splitlines()]
+    assert [m["role"] for m in json.loads(lines[0])["messages"]] == ["system", "user", "assistant"]
+    capsys.readouterr()
+
+
+def test_settings_come_from_the_environment():
+    assert Settings.from_environment({}) == Settings() and Settings.from_environment({"LODESTRATA_TOP_K": "7"}).top_k == 7
+    assert Settings.from_environment({"LODESTRATA_ENCODER_REVISION": " "}).encoder_revision is None
+    for wrong in ({"LODESTRATA_TOP_K": "x"}, {"LODESTRATA_TOP_K": "0"}, {"LODESTRATA_TOP_K": "30"}, {"LODESTRATA_DEVICE": " "}):
+        with pytest.raises(ValueError):
+            Settings.from_environment(wrong)
 
 
 def test_rules_of_records(spark):
