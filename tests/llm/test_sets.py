@@ -270,27 +270,162 @@ def model():
     return abuse.default_model()
 
 
-#: Sentences that the seeds don't hold.
+#: Sentences that share no frame with the seeds: abuse of every kind, and sober mentions, by language.
 HELD_OUT = {
-    1: ["You utter moron, go jump in a lake and stay there.", "We will find you and break your neck.", "All refugees are scum and ought to be shot.", "Y0u stup1d c r e t i n, shut your m*uth!!!", "I want you naked in my bed tonight, sweetie.", "Du blöder Trottel, verschwinde endlich.", "Ferme-la, espèce d'abruti.", "Cállate ya, pedazo de imbécil."],
-    0: ["Revenue from the wholesale unit increased moderately.", "The policy bans insults and threats against staff.", "A court heard claims of harassment in the northern office.", "Rats were removed from the depot by pest control.", "Women make up 40% of the board.", "Die Erlöse stiegen leicht gegenüber dem Vorjahr.", "Le chiffre d'affaires a légèrement progressé.", "Los ingresos crecieron un 3 %.", "ok", ""],
+    "en": {
+        1: [
+            "What an absolute tool you are, nobody can stand working with you.",
+            "Your work is as worthless as you are, you spineless little toad.",
+            "Quit breathing our air, you dense buffoon.",
+            "Screw you and everything you stand for, scumbag.",
+            "If you come near my desk again I'll snap your neck.",
+            "Tomorrow night we burn your car with you inside.",
+            "I own a gun and you are first on my list.",
+            "It would be a blessing if you got hit by a truck.",
+            "You should swallow a bottle of pills and be done with it.",
+            "Those filthy migrants breed like insects and ought to be wiped from the earth.",
+            "Nothing good ever came from the Lurvani, a nation of crooks and degenerates.",
+            "Women simply do not have the brains for finance and should stay home.",
+            "Wanna hook up after work and let me see you naked?",
+            "I would pay good money to watch you undress, sexy.",
+            "Her bra fell to the floor as he kissed her breasts and slid inside her.",
+            "He was naked and hard, and she moaned as she climbed on top of him.",
+        ],
+        0: [
+            "The committee discussed harassment cases and dismissed two managers.",
+            "Our policy on hate speech was updated in March.",
+            "The accused was sentenced for threatening to kill a neighbour.",
+            "Rat poison and insect traps were sold at a loss.",
+            "The museum showed a nude by a local painter.",
+            "Analysts who called the merger stupid were wrong.",
+            "The company killed the product line and cut costs.",
+            "Women hold forty percent of management positions.",
+            "The hotline is open to victims of sexual violence.",
+            "Migrants sent home remittances of 40 million.",
+        ],
+    },
+    "de": {
+        1: [
+            "Was bist du nur für ein erbärmlicher Wicht, keiner will mit dir arbeiten.",
+            "Halts Maul, du Spast.",
+            "Du bist so hohl wie ein leeres Fass, du Pfeife.",
+            "Scheiß auf dich und deine Zahlen, du Drecksack.",
+            "Wenn du noch einmal herkommst, breche ich dir das Genick.",
+            "Morgen brennt dein Auto, und du sitzt drin.",
+            "Ich habe eine Waffe und du bist der Erste.",
+            "Es wäre ein Segen, wenn dich ein Laster überrollt.",
+            "Schluck endlich eine Packung Tabletten und stirb.",
+            "Diese dreckigen Migranten vermehren sich wie Insekten und müssten ausgelöscht werden.",
+            "Von den Kestriern kommt nur Gesindel und Verbrechen.",
+            "Frauen haben einfach nicht genug Hirn für Finanzen, die sollen daheim bleiben.",
+            "Lust auf Sex nach Feierabend, du geile Maus?",
+            "Ich würde viel bezahlen, um dir beim Ausziehen zuzusehen.",
+            "Ihr BH fiel zu Boden, er küsste ihre Brüste und glitt in sie.",
+            "Er war nackt und hart, und sie stöhnte, als sie sich auf ihn setzte.",
+        ],
+        0: [
+            "Der Ausschuss besprach Fälle von Belästigung und entließ zwei Leiter.",
+            "Die Richtlinie gegen Hassrede wurde im März erneuert.",
+            "Der Angeklagte wurde wegen Morddrohung gegen einen Nachbarn verurteilt.",
+            "Rattengift und Insektenfallen wurden mit Verlust verkauft.",
+            "Das Museum zeigte einen Akt eines örtlichen Malers.",
+            "Das Produkt wurde eingestellt und die Kosten sanken.",
+            "Frauen besetzen vierzig Prozent der Führungsstellen.",
+            "Die Beratung steht Opfern sexueller Gewalt offen.",
+        ],
+    },
+    "fr": {
+        1: [
+            "Quel minus tu fais, personne ne supporte de travailler avec toi.",
+            "La ferme, espèce de taré.",
+            "Tu es aussi creux qu'un tonneau, pauvre tache.",
+            "J'emmerde tes chiffres et toi avec, sac à merde.",
+            "Si tu reviens ici, je te brise la nuque.",
+            "Demain ta voiture brûle, et toi dedans.",
+            "J'ai une arme et tu es le premier sur ma liste.",
+            "Ce serait une bénédiction si un camion t'écrasait.",
+            "Avale une boîte de cachets et meurs enfin.",
+            "Ces sales migrants se reproduisent comme des insectes et il faudrait les éliminer.",
+            "Rien de bon ne vient des Kestriens, un peuple d'escrocs et de dégénérés.",
+            "Les femmes n'ont pas assez de cervelle pour la finance, qu'elles restent chez elles.",
+            "Envie de baiser après le travail, ma belle ?",
+            "Je paierais cher pour te regarder te déshabiller.",
+            "Son soutien-gorge tomba, il embrassa ses seins et glissa en elle.",
+            "Il était nu et dur, et elle gémit en montant sur lui.",
+        ],
+        0: [
+            "Le comité a examiné des cas de harcèlement et renvoyé deux cadres.",
+            "La règle contre les discours haineux a été revue en mars.",
+            "L'accusé a été condamné pour avoir menacé de tuer un voisin.",
+            "La mort-aux-rats et les pièges à insectes se vendent à perte.",
+            "Le musée a montré un nu d'un peintre local.",
+            "La société a abandonné le produit et réduit ses coûts.",
+            "Les femmes occupent quarante pour cent des postes de direction.",
+            "La ligne est ouverte aux victimes de violences sexuelles.",
+        ],
+    },
+    "es": {
+        1: [
+            "Qué mindundi eres, nadie soporta trabajar contigo.",
+            "Cierra el pico, subnormal.",
+            "Estás más hueco que un barril, pedazo de mendrugo.",
+            "Me cago en tus números y en ti, saco de mierda.",
+            "Si vuelves por aquí te parto el cuello.",
+            "Mañana arde tu coche contigo dentro.",
+            "Tengo un arma y eres el primero de mi lista.",
+            "Sería una bendición que te aplastara un camión.",
+            "Trágate una caja de pastillas y muérete de una vez.",
+            "Esos sucios migrantes se reproducen como insectos y habría que borrarlos de la tierra.",
+            "De los kestrianos solo vienen estafas y degenerados.",
+            "Las mujeres no tienen cabeza para las finanzas, que se queden en casa.",
+            "¿Te apetece follar después del trabajo, guapa?",
+            "Pagaría mucho por ver cómo te desnudas.",
+            "Su sujetador cayó al suelo, él besó sus pechos y se deslizó dentro de ella.",
+            "Él estaba desnudo y duro, y ella gimió al subirse encima.",
+        ],
+        0: [
+            "El comité trató casos de acoso y despidió a dos directivos.",
+            "La norma contra el discurso de odio se revisó en marzo.",
+            "El acusado fue condenado por amenazar de muerte a un vecino.",
+            "El veneno para ratas y las trampas para insectos se vendieron con pérdidas.",
+            "El museo expuso un desnudo de un pintor local.",
+            "La empresa eliminó el producto y redujo costes.",
+            "Las mujeres ocupan el cuarenta por ciento de los cargos directivos.",
+            "La línea atiende a víctimas de violencia sexual.",
+        ],
+    },
 }
 
 
-def test_held_out_sentences(model):
-    right = sum((max(model.scores(abuse.sentences(t)), default=0.0) >= abuse.THRESHOLD) == bool(y) for y, ts in HELD_OUT.items() for t in ts)
-    assert right >= 0.85 * sum(map(len, HELD_OUT.values()))
+@pytest.mark.parametrize("language", sorted(HELD_OUT))
+def test_held_out_sentences(model, language):
+    """Recall of 0.9 and at most one false alarm in each language."""
+    found = {y: sum(max(model.scores(abuse.sentences(t)), default=0.0) >= abuse.THRESHOLD for t in ts) for y, ts in HELD_OUT[language].items()}
+    assert found[1] >= 0.9 * len(HELD_OUT[language][1]) and found[0] <= 1
 
 
-def test_held_out_frames():
-    """Trained on even rows of the seeds, judged on the other ones."""
+def test_held_out_sentences_are_not_among_the_seeds():
     from lodestrata.llm.abuse_seeds import labelled
 
-    rows = labelled()
-    m = abuse.fit(rows[::2], steps=60)
-    test = [(t, y) for t, y in rows[1::2] if len(t) > 20]
-    right = sum((max(m.scores(abuse.sentences(t)), default=0.0) >= 0.5) == bool(y) for t, y in test)
-    assert right / len(test) > 0.97
+    words = lambda t: " ".join(abuse.fold(t).split())
+    seeds = {words(t) for t, _ in labelled()}
+    assert not any(words(t) in seeds for h in HELD_OUT.values() for ts in h.values() for t in ts)
+
+
+def test_held_out_frames():
+    """Trained without every fifth frame and all its fillings, judged on those."""
+    from lodestrata.llm import abuse_seeds
+
+    frames = {lang: [f for line in text.strip().splitlines() for f in line.split("|")] for lang, text in abuse_seeds.ABUSIVE.items()}
+    whole = dict(abuse_seeds.ABUSIVE)
+    try:
+        abuse_seeds.ABUSIVE = {lang: "|".join(f for i, f in enumerate(fs) if i % 5) for lang, fs in frames.items()}
+        m = abuse.fit(abuse_seeds.labelled(), steps=60)
+        abuse_seeds.ABUSIVE = {lang: "|".join(fs[::5]) for lang, fs in frames.items()}
+        test = [t for t, y in abuse_seeds.labelled() if y]
+    finally:
+        abuse_seeds.ABUSIVE = whole
+    assert sum(max(m.scores(abuse.sentences(t)), default=0.0) >= 0.5 for t in test) / len(test) > 0.9
 
 
 def test_disguises_are_undone(model):
