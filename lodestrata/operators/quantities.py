@@ -15,17 +15,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lodestrata.functions import quantities as grammar
 from lodestrata.session import cut
 
-_NUMBERS = ("written", "scale", "factor", "shift")
-_COLUMNS = ("written", "dimension", "unit", "scale", "factor", "shift", "currency")
+_NUMBERS = ("written", "scale", "factor", "shift", "money")
+_COLUMNS = ("written", "dimension", "unit", "scale", "factor", "shift", "currency", "money")
 PARSED = T.StructType([T.StructField(c, T.DoubleType() if c in _NUMBERS else T.StringType()) for c in _COLUMNS])
 
 
 def _describe(amount: grammar.Amount | None) -> tuple:
     if amount is None:
-        return (None,) * 7
+        return (None,) * 8
     d = amount.unit.dimension
-    name = grammar.CANONICAL.get(d, "")
-    return amount.written, ",".join(map(str, d)), name, amount.scale, amount.unit.factor, amount.unit.offset, amount.unit.currency
+    return amount.written, ",".join(map(str, d)), grammar.canonical_name(d), amount.scale, amount.unit.factor, amount.unit.offset, amount.unit.currency, float(amount.unit.money)
 
 
 @F.pandas_udf(PARSED)
@@ -99,9 +98,9 @@ def in_common_units(statements: DataFrame, rates: DataFrame) -> DataFrame:
     year = F.expr("try_cast(element_at(split(fact_key, '[|]'), -1) AS INT)")
     fx = rates.groupBy(F.col("currency").alias("fx_currency"), F.col("fiscal_year").alias("fx_year")).agg(F.max("usd_per_unit").alias("usd"))
     joined = flat.withColumn("_year", year).join(fx, (F.col("currency") == F.col("fx_currency")) & (F.col("_year") == F.col("fx_year")), "left")
-    value = F.when(F.col("currency").isNotNull(), F.col("written") * F.col("scale") * F.when(F.col("currency") == "USD", F.coalesce("usd", F.lit(1.0))).otherwise(F.col("usd"))).otherwise(
-        F.col("written") * F.col("scale") * F.col("factor") + F.col("shift")
-    )
+    rate = F.when(F.col("currency") == "USD", F.coalesce("usd", F.lit(1.0))).otherwise(F.col("usd"))
+    plain = F.col("written") * F.col("scale") * F.col("factor") + F.col("shift")
+    value = F.when(F.col("money") == 0, plain).otherwise(plain * F.when(F.col("money") == 1, rate).otherwise(F.pow(rate, "money")))
     return joined.select(
         "table_name", "statement_no", "fact_key", "written", "dimension", F.col("unit").alias("common_unit"), value.alias("amount"),
         F.when(F.col("written").isNull(), "no unit or number").when(value.isNull(), "no rate").alias("unresolved"),

@@ -95,7 +95,7 @@ SELECT DISTINCT l_orderkey::VARCHAR AS document_id, 'order:' || l_orderkey AS pa
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 _GROUPED = r"""
 p AS (SELECT *, replace(lower(regexp_replace(replace(coalesce(CASE WHEN trim(source_file) <> '' THEN source_file END, document_id), '\', '/'), '^\s+|\s+$', '', 'g')), 'ß', 'ss') AS p FROM {0}),
-q AS (SELECT *, list_filter(string_split(p, '/'), x -> x NOT IN ('', '.')) AS parts FROM p),
+q AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM p),
 r AS (SELECT * EXCLUDE (p, parts), CASE WHEN len(parts) + starts_with(p, '/')::INT >= 3 AND starts_with(parts[-1], 'page_') THEN CASE WHEN starts_with(p, '/') THEN '/' ELSE '' END || array_to_string(parts[:-2], '/') ELSE p END AS report FROM q),
 g AS (SELECT * EXCLUDE (report), 'source-group:' || substr(sha256(unhex(printf('%016x', strlen(report))) || encode(report)), 1, 24) AS group_id FROM r)"""
 _ASSIGNED = "CASE WHEN ('0x' || substr(sha256(group_id), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256(group_id), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END"

@@ -4,7 +4,8 @@ import math
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from lodestrata.functions import quantities as q
+from lodestrata.functions import quantities as grammar, quantities as q
+from lodestrata.operators import quantities
 from pyspark.sql import functions as F
 
 
@@ -110,3 +111,34 @@ def test_every_value_of_an_array_is_a_statement(spark):
     got = sorted(((r.statement_no, r.written, r.amount, r.unresolved) for r in in_common_units(export_statements(df), rates).collect()), key=lambda r: (r[0], r[1] is None, r[1]))
     none = (None, None, "no unit or number")
     assert got == [(1, 12.0, 12e6, None), (1, 15.0, 15e6, None), (2, 3.0, 3.0, None), (2, 4.0, 4.0, None), (2, *none), (2, *none), (3, 5.0, 5.0, None), (3, 7.0, 14.0, None), (4, *none), (5, *none), (6, 8.0, 8.0, None)]
+
+
+@pytest.mark.parametrize(
+    "text, name, factor, currency",
+    [
+        ("USD/share", "USD/share", 1.0, "USD"), ("usd per tonne", "USD/kg", 1e-3, "USD"), ("$ per barrel", "USD/barrel", 1.0, "USD"), ("EUR / MWh", "USD*s2/kg*m2", 1 / 3.6e9, "EUR"), ("kWh/m2", "kg/s2", 3.6e6, None),
+        ("m^2", "m2", 1.0, None), ("m³", "m3", 1.0, None), ("cubic metres", "m3", 1.0, None), ("km squared", "m2", 1e6, None), ("kg m/s^2", "kg*m/s2", 1.0, None), ("short tons per day", "kg/s", 907.18474 / 86400, None), ("m s^-1 · kg", "kg*m/s", 1.0, None),
+    ],
+)
+def test_products_quotients_and_powers(text, name, factor, currency):
+    said = grammar.parse_unit(text)
+    assert grammar.canonical_name(said.unit.dimension) == name and said.unit.currency == currency
+    assert said.unit.factor == pytest.approx(factor)
+
+
+def test_what_is_no_compound():
+    for text in ("per share", "USD per", "m", "GBP/EUR", "USD * thousands", "in 2019", "cubic", "squared"):
+        assert grammar.parse_unit(text) is None, text
+    assert grammar.parse_unit("USD / thousands") == grammar.parse_unit("thousands of USD") and grammar.parse_unit("USD/$") == grammar.parse_unit("USD")
+    said = grammar.parse_unit("USD millions per thousand barrels")
+    assert said.scale == 1e3 and said.unit == grammar.parse_unit("USD/barrel").unit
+
+
+def test_compound_money_converts_by_the_rate_of_its_year(spark):
+    rows = [(1, "a|price|2020", 10.0, "EUR per tonne", None), (2, "a|price|2020", 0.012, "USD/kg", None), (3, "b|price|2020", 5.0, "JPY/kg", None)]
+    operands = spark.createDataFrame(rows, "operand_id long, fact_key string, value double, unit string, label string").withColumn("received_at", F.lit(None).cast("timestamp_ntz"))
+    rates = spark.createDataFrame([("EUR", 2020, 1.2), ("USD", 2020, 1.0)], "currency string, fiscal_year int, usd_per_unit double")
+    amounts = quantities.in_common_units(quantities.operand_statements(operands), rates)
+    got = {r.statement_no: (r.common_unit, None if r.amount is None else round(r.amount, 6)) for r in amounts.collect()}
+    assert got == {1: ("USD/kg", 0.012), 2: ("USD/kg", 0.012), 3: (None, None)}
+    assert {tuple(r) for r in quantities.same_amount_other_number(amounts).collect()} == {(1, 2)}
