@@ -115,15 +115,20 @@ def _pattern(folder: str) -> str:
     raise ValueError(f"no splitting pattern in {folder}")
 
 
-def encode_column(df: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "ids", counts_only: bool = False, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def encode_column(df: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "ids", counts_only: bool = False, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(key, ids) of every row, or (key, number of ids) with counts_only.
 
+    folder holds the vocabulary on every executor; if it isn't given, the session's setting
+    lodestrata.tokenizers names it, else it is TOKENIZERS.
+
     One row out per row in, repeated and null keys included; null and empty texts give an empty
     list (0). Texts are encoded whole. Other columns are left out, so their names never clash.
     """
     kind: T.DataType = T.LongType() if counts_only else T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("value", kind)])
 
+    folder = folder or df.sparkSession.conf.get("lodestrata.tokenizers", TOKENIZERS)
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer, folder)
         for batch in batches:

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from lodestrata.functions.quantities import one_slip
 from lodestrata.llm.names import LEGAL_FORMS
 
 #: Measures of financial reports; others are taken from the words that remain.
@@ -34,26 +35,13 @@ _KNOWN = sorted({w for w in [*PERCENT, *CHANGE, *AVERAGE, *SUM, *FRAME] if len(w
 _MEASURE_WORDS = sorted({w for m in MEASURES for w in re.findall(r"[a-z]+", m)})
 
 
-def slip(word: str, known: str) -> bool:
-    """One letter changed, missing, added, or swapped with its neighbour."""
-    if word == known:
-        return True
-    if abs(len(word) - len(known)) > 1:
-        return False
-    i = 0
-    while i < min(len(word), len(known)) and word[i] == known[i]:
-        i += 1
-    a, b = word[i:], known[i:]
-    return a[1:] == b or a == b[1:] or a[1:] == b[1:] or (len(a) > 1 and len(b) > 1 and a[0] == b[1] and a[1] == b[0] and a[2:] == b[2:])
-
-
 @lru_cache(maxsize=100_000)
 def respelled(word: str) -> str:
     """The known word that a word slipped from; itself if it is known or none is near."""
     if word in _KNOWN or word in _MEASURE_WORDS or len(word) < 3:
         return word
     for vocabulary in (_MEASURE_WORDS, _KNOWN):
-        near = [k for k in vocabulary if len(k) >= 3 and slip(word, k) and (len(word) >= 5 or sorted(word) == sorted(k) or len(k) >= 5)]
+        near = [k for k in vocabulary if len(k) >= 3 and one_slip(word, k) and (len(word) >= 5 or sorted(word) == sorted(k) or len(k) >= 5)]
         if near:
             same = [k for k in near if sorted(k) == sorted(word)]
             return (same or near)[0]

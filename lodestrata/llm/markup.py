@@ -32,6 +32,8 @@ TEX_WORDS = (
 )
 _TAG = TAGS.replace(" ", "|")
 _ENTITY_NAME = "|".join(sorted({k.rstrip(";") for k in html.entities.html5}, key=lambda k: (-len(k), k)))
+#: Entities that browsers read without a semicolon.
+_BARE_NAME = "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
 
 #: Kinds of markup and the pattern of each. Line patterns rest on MULTILINE.
 CONSTRUCTS: dict[str, re.Pattern] = {
@@ -39,7 +41,7 @@ CONSTRUCTS: dict[str, re.Pattern] = {
     for name, pattern in {
         "html comment": r"<!--|-->|<!(?i:doctype)|<!\[CDATA\[|<\?xml",
         "html tag": rf"<\s?/?\s?(?i:{_TAG})(?:\s[^<>]*|/)?\s*>|</?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*\s*/?>|<(?i:{_TAG})(?:\s+[\w:-]+\s*=|\s*$|\s*<)|</\s?(?i:{_TAG})\b|<(?i:{_TAG})\s*/?>?<",
-        "entity": rf"&(?:{_ENTITY_NAME});|&#\d{{1,7}};?|&#[xX][0-9A-Fa-f]{{1,6}};?|&(?:amp|lt|gt|nbsp|quot|apos|ndash|mdash)\b",
+        "entity": rf"&(?:{_ENTITY_NAME});|&#\d{{1,7}};?|&#[xX][0-9A-Fa-f]{{1,6}};?|&(?:{_BARE_NAME}|apos|ndash|mdash)\b",
         "markdown heading": r"^[ ]{0,3}#{1,6}[ \t]+\S|^[ ]{0,3}#{2,6}\w|^\S.*\n[ ]{0,3}(?:={3,}|-{3,})[ \t]*$|^[ ]{0,3}={3,}[ \t]*$",
         "markdown rule": r"^[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$",
         "markdown strong": r"\*\*(?=[^\s\d*])|(?<=[^\s\d*])\*\*|\*\*(?=\S[^*\n]*\*\*)|(?<!\w)__(?=\S)[^_\n]+__(?!\w)",
@@ -89,9 +91,6 @@ _TRIGGERS: dict[str, tuple[str, ...] | re.Pattern] = {
     "tex escape": ("\\",),
     "tex math": re.compile(r"\$[^\s\d]|\\[()\[\]]"),
 }
-#: Java's pattern of the texts that hold any trigger at all; the others never leave the JVM.
-SUSPECT_JAVA = r"[<&*_#`\[\]{}|\\~']|(?:^|\n)[ \t]*(?:[-+>=]|[0-9]{1,3}[.)])|={3}|-->|\$[^\s0-9]"
-
 
 def constructs(text: str | None) -> list[str]:
     """Names of the kinds of markup a text holds, broken markup included."""
@@ -438,10 +437,9 @@ CLEANED = T.StructType([
     T.StructField("table_name", T.StringType()), T.StructField("row_key", T.StringType()), T.StructField("constructs", T.ArrayType(T.StringType())),
     T.StructField("clean_text", T.StringType()), T.StructField("main_text", T.StringType()), T.StructField("blocks", T.ArrayType(_BLOCK_TYPE)),
 ])
-_FOUND = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("row_key", T.StringType()), T.StructField("constructs", T.ArrayType(T.StringType()))])
 
 
-def _arrow(batches: Iterator[pa.RecordBatch], full: bool = True) -> Iterator[pa.RecordBatch]:
+def _arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.struct([("kind", pa.string()), ("level", pa.int32()), ("label", pa.string()), ("text", pa.string())])
     types = [pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(block)]
     for batch in batches:
@@ -453,12 +451,6 @@ def _arrow(batches: Iterator[pa.RecordBatch], full: bool = True) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, kind) for c, kind in zip(columns, types))], names=CLEANED.fieldNames())
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = pa.array([constructs(t.as_py()) for t in batch.column(2)], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), found], names=["table_name", "row_key", "arrived", "constructs"])
-
-
 def markup_rows(df: DataFrame, *, table_name: str, row_key: str, text: str, arrived: str = "received_at") -> DataFrame:
     """(table_name, row_key, text, arrived) of one table."""
     return df.select(F.lit(table_name).alias("table_name"), F.col(row_key).cast("string").alias("row_key"), F.col(text).alias("text"), F.col(arrived).alias("arrived"))
@@ -474,18 +466,3 @@ def clean_markup(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_key", F.when(F.col("row_key").isNotNull(), F.struct("table_name", "row_key")))
     once = latest_delivery(keyed, "_key", ["table_name", "row_key", "text"], "arrived")
     return once.select("table_name", "row_key", "text").mapInArrow(_arrow, CLEANED)
-
-
-def markup_found(rows: DataFrame) -> DataFrame:
-    """(table_name, row_key, constructs) of the rows with markup: the first step of clean_markup alone.
-
-    Deliveries of one key count once, by the latest. Texts stay where they were read; only keys and
-    findings are shuffled.
-    """
-    suspect = F.when(F.col("text").rlike(SUSPECT_JAVA), F.col("text"))
-    schema = T.StructType([*_FOUND.fields[:2], rows.schema["arrived"], _FOUND.fields[2]])
-    seen = rows.select("table_name", "row_key", suspect.alias("text"), "arrived").mapInArrow(_find, schema)
-    order = F.struct(F.col("arrived").isNotNull(), F.col("arrived"), F.size("constructs"))
-    own = F.when(F.col("row_key").isNull(), F.monotonically_increasing_id())
-    once = seen.groupBy("table_name", "row_key", own.alias("own")).agg(F.max_by("constructs", order).alias("constructs"))
-    return once.where(F.size("constructs") > 0).select("table_name", "row_key", "constructs")

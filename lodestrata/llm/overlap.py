@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lodestrata.llm.deliveries import latest_delivery
-from lodestrata.llm.figures import figure, slip
+from lodestrata.functions.quantities import one_slip
+from lodestrata.llm.figures import figure
 from lodestrata.llm.names import split_name
 from lodestrata.session import cut
 
@@ -107,7 +108,7 @@ def alike(a: Sequence[str], b: Sequence[str]) -> bool:
     if longer < SHORT:
         if len(a) == len(b):
             other = [(x, y) for x, y in zip(a, b) if x != y]
-            return len(a) > 1 and len(other) == 1 and len(other[0][0]) > 3 and not _number(other[0][0]) and slip(*other[0])
+            return len(a) > 1 and len(other) == 1 and len(other[0][0]) > 3 and not _number(other[0][0]) and one_slip(*other[0])
         # only words left out of one of them
         return abs(len(a) - len(b)) == outside_spans(a, b, _lost(longer)) <= _lost(longer)
     return outside_spans(a, b, _lost(longer)) <= _lost(longer)

@@ -21,8 +21,6 @@ from lodestrata.session import cut
 CAPACITY = 4_096
 #: Items of one packer, about; a packer's gaps even out over some thousand items.
 PACKER_ITEMS = 50_000
-#: Passes over the containers that packers leave open.
-MERGE_PASSES = 3
 
 
 class SumOfSquares:
@@ -94,23 +92,26 @@ def pack(items: DataFrame, capacity: int = CAPACITY, packer_items: int = PACKER_
     """(item, container) of (item, size): every item in one container, none above the capacity.
 
     Items are distinct strings with sizes from 0 to the capacity. The result depends on the items
-    alone, not on their order or partitions.
+    alone, not on their order or partitions. Containers that packers leave open are packed again by
+    fewer packers, until one packer is left or a pass leaves as many open as before: a packer leaves
+    few, so passes are about the logarithm of the packers.
     """
     total = items.count()
     packers = max(1, -(-total // packer_items))
     placed = cut(_packed(items, packers, capacity, 1))
-    level = 3
+    level, before = 3, total
     while packers > 1:
         # containers with room left are few, at most some per gap and packer
         sizes = placed.join(items, "item").groupBy("box").agg(F.sum("size").alias("size"))
         open_ones = cut(sizes.where(F.col("size") < capacity).select(F.col("box").alias("item"), "size"))
         left = open_ones.count()
+        if left >= before:
+            break
+        before = left
         packers = min(max(1, -(-left // packer_items)), packers - 1)
         again = _packed(open_ones, packers, capacity, level).select(F.col("item").alias("box"), F.col("box").alias("moved"))
         placed = cut(placed.join(again, "box", "left").select("item", F.coalesce("moved", "box").alias("box")))
         level += 2
-        if level > 3 + 2 * MERGE_PASSES:
-            break
     return placed.select("item", F.col("box").alias("container"))
 
 

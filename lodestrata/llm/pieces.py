@@ -187,6 +187,10 @@ def split_oversized(units: DataFrame, profiles: DataFrame, default_profile: str
     if len(limits) > MOST_PROFILES or default_profile not in limits:
         raise ValueError(f"profiles must hold {default_profile!r} and at most {MOST_PROFILES} names")
 
+    for name, (most, shared) in limits.items():
+        if not most or most < 1 or not 0 <= (shared or 0) < most:
+            raise ValueError(f"profile {name!r} needs a positive max_tokens and an overlap_tokens below it")
+
     def setting(i: int) -> Column:
         known = F.create_map(*[F.lit(x) for name, values in limits.items() if name is not None for x in (name, values[i] or 0)])
         return F.coalesce(F.try_element_at(known, F.col("profile")), F.lit(limits[default_profile][i]))
@@ -195,4 +199,4 @@ def split_oversized(units: DataFrame, profiles: DataFrame, default_profile: str
     # a text of n characters has at most n tokens, which spares counting in most
     oversized = limited.where((F.length("text") > F.col("limit")) & (token_count(F.col("text")) > F.col("limit")))
     once = latest_delivery(oversized, "chunk_id", ["text", "limit", "overlap"])
-    return once.select("chunk_id", "text", F.col("limit").cast("int"), F.least(F.col("overlap"), F.col("limit") - 1).cast("int").alias("overlap")).mapInArrow(_cut, PIECES)
+    return once.select("chunk_id", "text", F.col("limit").cast("int"), F.col("overlap").cast("int")).mapInArrow(_cut, PIECES)

@@ -129,9 +129,9 @@ def assign_splits(records: DataFrame, shares: dict[str, float] = SHARES, labels:
     # at most 1 / LARGE_SHARE groups are large, whatever the data
     sizes = counts.where(F.col("label") == "").select("group_no", F.col("n").alias("size"))
     large = sizes.where(F.col("size") > max(1.0, n_all * LARGE_SHARE)).select("group_no")
-    vectors: dict[int, dict[str, int]] = defaultdict(dict)
-    for r in counts.join(large, "group_no", "left_semi").collect():
-        vectors[r.group_no][r.label] = r.n
+    vectors: dict[int, dict[str, int]] = {}
+    for r in counts.join(large, "group_no", "left_semi").groupBy("group_no").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector")).collect():
+        vectors[r.group_no] = r.vector
     placed = stratify(sorted(vectors.items()), need)
 
     spark = records.sparkSession
