@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 Counter = Callable[[str], int]
+#: What a token and the end of a sentence are.
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _SEPARATOR = r"[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*"
 _BLOCK = re.compile(
@@ -31,6 +32,7 @@ _BLOCK = re.compile(
     """,
     re.MULTILINE | re.VERBOSE | re.IGNORECASE,
 )
+#: Fixed value, as above.
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 

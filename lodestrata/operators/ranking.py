@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestrata.functions.text import lexical_tokens, query_tokens
-from lodestrata.session import cut
+from lodestrata.session import cut, parallelism
 
 K1, B, EPSILON, DELTA = 1.5, 0.75, 0.25, 1.0
-#: Most units of score zero that are offered to queries without a scope.
-MOST_FILLERS = 10_000
+#: Ids of units that are sent to each query at once to fill its ranking.
+FILLERS = 1_000
 
 
 def top_k(scored: DataFrame, k: int, digits: int | None = 9) -> DataFrame:
@@ -67,6 +67,32 @@ def _idf(postings: DataFrame, scope: Sequence[str], variant: str) -> DataFrame:
     return raw.select(*scope, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def _first_ids(queries: DataFrame, scores: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id) of at least the k smallest ids that each query hasn't met, as far as there are.
+
+    A query that met m units finds them among the k + m smallest ids. Up to FILLERS of those are
+    sent to it at once; queries that met more have the others joined by place, which sends each no
+    more ids than it met.
+    """
+    met = queries.select("query_id").join(scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id", "left").select("query_id", (F.coalesce("m", F.lit(0)) + k).alias("reach"))
+    first = [r.chunk_id for r in units.select("chunk_id").orderBy("chunk_id").limit(FILLERS).collect()]
+    listed = F.array(*map(F.lit, first)).cast(f"array<{units_type(units, 'chunk_id')}>")
+    near = met.select("query_id", F.explode(F.slice(listed, F.lit(1), F.least("reach", F.lit(FILLERS)).cast("int"))).alias("chunk_id")) if first else met.select("query_id", F.lit(None).cast(units_type(units, "chunk_id")).alias("chunk_id")).limit(0)
+    far = met.where(F.col("reach") > FILLERS)
+    if len(first) < FILLERS or far.isEmpty():
+        return near
+    # places in the order of ids, counted over range partitions
+    ordered = cut(units.select("chunk_id").repartitionByRange(parallelism(units.sparkSession), "chunk_id").sortWithinPartitions("chunk_id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    sizes = {r.part: r.n for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = {}, 0
+    for part in sorted(sizes):
+        starts[part], total = total, total + sizes[part]
+    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
+    placed = ordered.select("chunk_id", (F.try_element_at(start, F.col("part")) + F.col("at")).alias("place"))
+    beyond = far.select("query_id", F.explode(F.sequence(F.lit(FILLERS).cast("long"), F.col("reach").cast("long") - 1)).alias("place")).join(placed, "place").select("query_id", "chunk_id")
+    return near.unionByName(beyond)
+
+
 def bm25(
     units: DataFrame, queries: DataFrame, *, k: int = 5, scope: Sequence[str] = ("document_id",), variant: str = "okapi",
     normalize_query: bool = False, text: str = "text", query_text: str = "query_text", digits: int | None = 9,
@@ -103,12 +129,7 @@ def bm25(
     if scope:
         idle = needy.join(lengths.select(*scope, "chunk_id"), scope)
     else:
-        # a query that met m units finds k others among the k + m smallest ids
-        most = scores.join(needy, "query_id", "left_semi").groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-        first = [r.chunk_id for r in lengths.select("chunk_id").orderBy("chunk_id").limit(min(k + most, MOST_FILLERS + 1)).collect()]
-        if len(first) > MOST_FILLERS:
-            raise ValueError("too many units score at or below zero to rank the others without a scope")
-        idle = needy.select("query_id", F.explode(F.array(*map(F.lit, first)).cast("array<string>")).alias("chunk_id"))
+        idle = _first_ids(needy, scores, lengths.select("chunk_id"), k)
     idle = idle.join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", *scope, "chunk_id", F.lit(0.0).alias("score"))
     whole = scores.unionByName(idle).join(asked.select("query_id", "base"), "query_id")
     return top_k(whole.select("query_id", "chunk_id", (F.col("score") + F.col("base")).alias("score")), k, digits)
@@ -124,40 +145,53 @@ def l2_normalized(vector: Column) -> Column:
 def dense(units: DataFrame, queries: DataFrame, *, k: int = 5, scope: Sequence[str] = (), block_rows: int = 20_000, query_rows: int = 4_000, digits: int | None = 9) -> DataFrame:
     """The k nearest units of each query by exact cosine.
 
-    units: (chunk_id, *scope, embedding), queries: (query_id, *scope, embedding). Within a scope it
-    is an equi-join. Without one, queries and units are cut into blocks by hash and every pair of
-    blocks is one matrix product of bounded size, which sends on k rows a query. Null and zero
-    vectors take no part.
+    units: (chunk_id, *scope, embedding), queries: (query_id, *scope, embedding). Queries and units
+    are cut into blocks of bounded size and every pair of blocks that may meet is one matrix
+    product, which sends on k rows a query. Within a scope only blocks of that scope meet; small
+    scopes share a task, and one that holds many units or queries is cut by hash. Null and zero
+    vectors take no part, nor do null scopes.
     """
     scope = list(scope)
     u = units.select("chunk_id", *scope, l2_normalized(F.col("embedding")).alias("u")).where(F.col("u").isNotNull())
     q = queries.select("query_id", *scope, l2_normalized(F.col("embedding")).alias("q")).where(F.col("q").isNotNull())
-    if scope:
-        score = F.aggregate(F.zip_with("q", "u", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        return top_k(q.join(u, scope).select("query_id", "chunk_id", score.alias("score")), k, digits)
     n_units, n_queries = units.count(), queries.count()
-    u_blocks, q_blocks = max(1, -(-n_units // block_rows)), max(1, -(-n_queries // query_rows))
-    u = u.withColumn("ub", F.pmod(F.xxhash64("chunk_id"), F.lit(u_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("ub", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(u_blocks - 1).cast("long"))))
+    blocks = lambda n, rows: F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
+    if scope:
+        # scopes that both sides have, the blocks of each, and the task that small ones share
+        sizes = u.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).join(q.groupBy(*scope).agg(F.count(F.lit(1)).alias("m")), scope)
+        tasks = max(1, -(-n_units // block_rows), -(-n_queries // query_rows))
+        plan = sizes.select(*scope, F.xxhash64(*scope).alias("part"), F.pmod(F.xxhash64(*scope), F.lit(tasks)).alias("task"), blocks(F.col("n"), block_rows).alias("us"), blocks(F.col("m"), query_rows).alias("qs"))
+        u, q = u.join(plan, scope), q.join(plan, scope)
+    else:
+        fixed = [F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("task"), blocks(F.lit(n_units), block_rows).alias("us"), blocks(F.lit(n_queries), query_rows).alias("qs")]
+        u, q = u.select("*", *fixed), q.select("*", *fixed)
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # columns of one frame on both sides need names of their own
+    named = lambda *names: [F.col(c).alias(c) for c in names]
+    u = u.select("chunk_id", "u", *named("part", "task"), own("chunk_id", "us").alias("ub"), each("qs").alias("qb"))
+    q = q.select("query_id", "q", *named("part", "task"), own("query_id", "qs").alias("qb"), each("us").alias("ub"))
 
     def product(queries_: pd.DataFrame, units_: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries_) or not len(units_):
-            return pd.DataFrame({"query_id": queries_["query_id"][:0], "chunk_id": units_["chunk_id"][:0], "score": np.zeros(0)})
-        ids = units_["chunk_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        table, ids = np.stack(units_["u"].to_numpy()[order]), ids[order]
-        kept = min(k, len(ids))
-        found = []
-        for start in range(0, len(queries_), 256):
-            part = queries_.iloc[start : start + 256]
-            s = np.stack(part["q"].to_numpy()) @ table.T
-            best = np.argsort(-np.round(s, digits) if digits is not None else -s, axis=1, kind="stable")[:, :kept]
-            found.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), kept), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
-        return pd.concat(found, ignore_index=True)
+        found = [pd.DataFrame({"query_id": queries_["query_id"][:0], "chunk_id": units_["chunk_id"][:0], "score": np.zeros(0)})]
+        held = dict(tuple(units_.groupby("part"))) if len(units_) else {}
+        for part, asked in queries_.groupby("part") if len(queries_) else ():
+            if part not in held:
+                continue
+            ids = held[part]["chunk_id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            table, ids = np.stack(held[part]["u"].to_numpy()[order]), ids[order]
+            kept = min(k, len(ids))
+            for start in range(0, len(asked), 256):
+                some = asked.iloc[start : start + 256]
+                s = np.stack(some["q"].to_numpy()) @ table.T
+                best = np.argsort(-np.round(s, digits) if digits is not None else -s, axis=1, kind="stable")[:, :kept]
+                found.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), kept), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
+        return pd.concat(found[1:] or found, ignore_index=True)
 
     schema = f"query_id {units_type(queries, 'query_id')}, chunk_id {units_type(units, 'chunk_id')}, score double"
-    best = q.groupBy("qb", "ub").cogroup(u.groupBy("qb", "ub")).applyInPandas(product, schema)
-    return top_k(best, k, digits)
+    groups = ["task", "qb", "ub"]
+    return top_k(q.groupBy(*groups).cogroup(u.groupBy(*groups)).applyInPandas(product, schema), k, digits)
 
 
 def units_type(df: DataFrame, column: str) -> str:
@@ -198,10 +232,10 @@ def invalid_rankings(ranking: DataFrame) -> DataFrame:
     return seen.where((F.col("n") != F.col("last")) | (F.col("first") != 1) | (F.col("n") != F.col("ranks")) | (F.col("n") != F.col("chunks")))
 
 
-def hybrid(units: DataFrame, queries: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, *, scope: Sequence[str] = ("document_id",), k: int = 5, candidates: int = 20, rrf_k: int = 60, variant: str = "plus", normalize_query: bool = True, rows_per_parent: int | None = 2) -> DataFrame:
-    """BM25 and cosine candidates, fused, made diverse and cut to k."""
+def hybrid(units: DataFrame, queries: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, *, scope: Sequence[str] = ("document_id",), k: int = 5, candidates: int = 20, rrf_k: int = 60, variant: str = "plus", normalize_query: bool = True, rows_per_parent: int | None = 2, postings: DataFrame | None = None) -> DataFrame:
+    """BM25 and cosine candidates, fused, made diverse and cut to k. With postings the units need no text."""
     depth = max(k, candidates)
-    lexical = bm25(units, queries, k=depth, scope=scope, variant=variant, normalize_query=normalize_query)
+    lexical = bm25(units if postings is None else postings, queries, k=depth, scope=scope, variant=variant, normalize_query=normalize_query)
     vectors = units.select("chunk_id", *scope).join(unit_vectors, "chunk_id")
     near = dense(vectors, queries.select("query_id", *scope).join(query_vectors, "query_id"), k=depth, scope=scope)
     fused = rrf(lexical, near, k=depth, rrf_k=rrf_k)
@@ -214,10 +248,13 @@ def hybrid(units: DataFrame, queries: DataFrame, unit_vectors: DataFrame, query_
 def hashed_vectors(texts: DataFrame, key: str, text: str, dimensions: int = 32) -> DataFrame:
     """(key, embedding) without a model: signed counts of tokens by hash; a stand-in for an encoder.
 
-    Sums are taken before the shuffle. Texts without tokens have no vector.
+    Texts may also be the postings of bm25_postings(), whose words are cut already. Sums are taken
+    before the shuffle. Texts without tokens have no vector.
     """
-    h = texts.select(key, F.explode(lexical_tokens(F.col(text))).alias("t")).select(key, F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long").alias("h"))
-    sign = F.when((F.col("h") / dimensions).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
+    cut_already = {"term", "tf"} <= set(texts.columns)
+    terms = texts.select(key, F.col("term").alias("t"), F.col("tf").cast("double").alias("n")) if cut_already else texts.select(key, F.explode(lexical_tokens(F.col(text))).alias("t"), F.lit(1.0).alias("n"))
+    h = terms.select(key, "n", F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long").alias("h"))
+    sign = F.when((F.col("h") / dimensions).cast("long") % 2 == 0, F.col("n")).otherwise(-F.col("n"))
     signed = h.select(key, (F.col("h") % dimensions).cast("int").alias("i"), sign.alias("s"))
     sums = signed.groupBy(key).agg(*[F.sum(F.when(F.col("i") == i, F.col("s")).otherwise(0.0)).alias(f"v{i}") for i in range(dimensions)])
     return sums.select(key, F.array(*[f"v{i}" for i in range(dimensions)]).alias("embedding"))
@@ -226,10 +263,25 @@ def hashed_vectors(texts: DataFrame, key: str, text: str, dimensions: int = 32)
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def encode_missing(texts: DataFrame, cached: DataFrame | None, encoder: Encoder, *, model: str, revision: str, batch: int = 32) -> DataFrame:
+def checked_vectors(encoder: Encoder, texts: list[str], dimension: int | None = None) -> np.ndarray:
+    """Unit vectors of texts, one each, as the contract of an encoder wants them.
+
+    A wrong number of vectors, another dimension, zero vectors and what isn't finite raise.
+    """
+    vectors = np.asarray(encoder(texts), np.float32)
+    if vectors.ndim != 2 or len(vectors) != len(texts) or (dimension is not None and vectors.shape[1] != dimension):
+        raise ValueError(f"an encoder gave {vectors.shape} for {len(texts)} texts of dimension {dimension}")
+    norms = np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    if not np.isfinite(norms).all() or (norms == 0).any():
+        raise ValueError("an encoder gave a vector that is zero or isn't finite")
+    return (vectors / norms).astype(np.float32)
+
+
+def encode_missing(texts: DataFrame, cached: DataFrame | None, encoder: Encoder, *, model: str, revision: str, batch: int = 32, dimension: int | None = None) -> DataFrame:
     """(chunk_id, text_sha256, model, revision, embedding) of the texts that the cache doesn't hold.
 
-    texts: (chunk_id, text). A cached row counts only with the same model, revision and text.
+    texts: (chunk_id, text). A cached row counts only with the same model, revision and text. The
+    encoder runs in the executors' Python; its vectors are checked and brought to length 1.
     """
     wanted = texts.select("chunk_id", "text", F.sha2("text", 256).alias("text_sha256"), F.lit(model).alias("model"), F.lit(revision).alias("revision"))
     if cached is not None:
@@ -237,7 +289,7 @@ def encode_missing(texts: DataFrame, cached: DataFrame | None, encoder: Encoder,
 
     def encoded(frames):  # noqa: ANN001, ANN202
         for pdf in frames:
-            vectors = [v for i in range(0, len(pdf), batch) for v in np.asarray(encoder(pdf["text"].iloc[i : i + batch].tolist()), np.float32)]
+            vectors = [v for i in range(0, len(pdf), batch) for v in checked_vectors(encoder, pdf["text"].iloc[i : i + batch].tolist(), dimension)]
             yield pdf.drop(columns="text").assign(embedding=[v.tolist() for v in vectors])
 
     return wanted.where(F.col("text").isNotNull()).select("chunk_id", "text_sha256", "model", "revision", "text").mapInPandas(encoded, "chunk_id string, text_sha256 string, model string, revision string, embedding array<float>")

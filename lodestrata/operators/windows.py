@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 SIZE, OVERLAP = 2_750, 550
 
 
-def latest(df: DataFrame, key: str, arrived: str = "received_at") -> DataFrame:
-    """One row per key: the latest delivery, ties broken by a hash of the row; null keys are left out."""
+def latest(df: DataFrame, key: str, arrived: str = "received_at", keep: Sequence[str] | None = None) -> DataFrame:
+    """One row per key: the latest delivery, ties broken by a hash of the row; null keys are left out.
+
+    With keep only those columns beside the key are shuffled; the choice is the same.
+    """
     others = [c for c in df.columns if c != key]
     hashed = F.xxhash64(*[F.to_json(c) if df.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c) for c in others])
     order = F.struct(F.col(arrived).isNotNull(), F.col(arrived), hashed)
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row")).select(key, "_row.*")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*(keep or others)), order).alias("_row")).select(key, "_row.*")
 
 
 def char_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

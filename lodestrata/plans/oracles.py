@@ -9,7 +9,7 @@ _U = "u AS (SELECT * FROM units WHERE chunk_id IS NOT NULL QUALIFY row_number()
 _EL = "el AS (SELECT * FROM elements WHERE element_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY received_at DESC NULLS LAST) = 1)"
 _EX = (
     "ex AS (SELECT record_no AS query_id, dataset, split, example_id, question.document_id AS document_id, question.text AS query_text, reference_answer.text AS answer, "
-    "reference_answer.program AS program, question.metadata['source_file'] AS source_file, supporting_facts FROM examples WHERE record_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_no ORDER BY received_at DESC NULLS LAST) = 1)"
+    "reference_answer.program AS program, reference_answer.normalized_program AS normalized_program, reference_answer.explanation AS explanation, len(reference_answer.steps) AS n_steps, question.metadata['source_file'] AS source_file, supporting_facts FROM examples WHERE record_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_no ORDER BY received_at DESC NULLS LAST) = 1)"
 )
 _FACTS = "facts AS (SELECT query_id, document_id, position, trim(f.element_id) AS element_id, f.source_key AS source_key FROM (SELECT query_id, document_id, unnest(range(len(supporting_facts))) AS position, unnest(supporting_facts) AS f FROM ex))"
 _RE = "re AS (SELECT * FROM rag_export WHERE record_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_no ORDER BY received_at DESC NULLS LAST) = 1)"
@@ -151,6 +151,43 @@ def _gives_away(context: str, answer: str) -> str:
     numbers = f"list_filter(list_transform(regexp_extract_all({spaced}, '(?:^|[^A-Za-z0-9_.])({_SHOWN_NUMBER})(?:[^A-Za-z0-9_]|$)', 1), lambda x: try_cast(replace(x, ',', '') AS DECIMAL(38,10))), lambda x: x IS NOT NULL)"
     return f"CASE WHEN regexp_matches({bare}, '^[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?$') THEN list_contains({numbers}, try_cast(replace({bare}, ',', '') AS DECIMAL(38,10))) ELSE contains(replace(lower({context}), 'ß', 'ss'), replace(lower({bare}), 'ß', 'ss')) END"
 
+def _unique(values: str) -> str:
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i AND coalesce(x, '') <> '')"
+
+
+def _unit_steps(source: str, out: str) -> str:
+    """Steps from source (query_id, answer, question, evidence, program, ...) to out with u_text, u_units and u_status."""
+    word = "percent|percentage|basis points?|thousand|million|billion"
+    number = "[-+]?(?:[0-9][0-9,]*(?:\\.[0-9]+)?|\\.[0-9]+)"
+    place = f"(?:^|[^A-Za-z0-9_.$€£]|([$€£])\\s{{0,4}})({number})(\\s*%|\\s+(?:thousand|million|billion|basis\\s+points?)\\b|[^A-Za-z0-9_]|$)"
+    explicit = f"(?i)[$€£%]|\\b(?:{word})\\b"
+    group = lambda i: f"regexp_extract_all(spaced, '(?i){place}', {i})"
+    return f"""
+{out}0 AS (SELECT *, rtrim(regexp_replace(coalesce(answer, ''), '^\\s+|\\s+$', '', 'g'), '.') AS bare, coalesce(question, '') AS q, coalesce(evidence, '') AS e FROM {source}),
+{out}1 AS (SELECT *, regexp_replace(e, '([^0-9,.A-Za-z_+-])', '\\1\\1', 'g') AS spaced, try_cast(CASE WHEN regexp_matches(bare, '^{number}$') THEN replace(bare, ',', '') END AS DECIMAL(38,10)) AS wanted FROM {out}0),
+{out}2 AS (SELECT *, list_distinct(list_transform(list_filter(list_zip({group(2)}, {group(1)}, {group(3)}), lambda z: try_cast(replace(z[1], ',', '') AS DECIMAL(38,10)) = wanted), lambda z: [z[2], CASE WHEN regexp_matches(z[3], '%|[a-zA-Z]') THEN lower(regexp_replace(trim(z[3]), '\\s+', ' ', 'g')) ELSE '' END])) AS kinds FROM {out}1),
+{out}3 AS (SELECT *, CASE WHEN len(kinds) = 1 THEN kinds[1] ELSE ['', ''] END AS beside FROM {out}2),
+{out}4 AS (SELECT *, [CASE WHEN regexp_matches(q, '(?i)\\bbasis points?\\b') THEN 'basis points' WHEN regexp_matches(q, '(?i)\\b(?:percent|percentage)\\b') THEN '%' END, lower(regexp_extract(q, '(?i)\\b(thousand|million|billion)\\b', 1)), beside[2]] AS said,
+  CASE WHEN regexp_matches(q, '(?i)\\b(?:dollars?|usd)\\b') THEN '$' WHEN beside[1] <> '' THEN beside[1] WHEN contains(e, '$') AND regexp_matches(coalesce(program, ''), '(?i)^\\s*(?:add|subtract)\\s*\\(') THEN '$' ELSE '' END AS sign FROM {out}3),
+{out}5 AS (SELECT *, {_unique('said')} AS behind, [CASE WHEN contains(bare, '$') THEN '$' END, CASE WHEN contains(bare, '€') THEN '€' END, CASE WHEN contains(bare, '£') THEN '£' END, CASE WHEN contains(bare, '%') THEN '%' END] || list_transform(regexp_extract_all(bare, '(?i)\\b(?:{word})\\b'), lambda x: lower(x)) AS labels FROM {out}4),
+{out}6 AS (SELECT *, [sign] || behind AS told FROM {out}5),
+{out} AS (SELECT *, CASE WHEN regexp_matches(bare, '{explicit}') THEN 'preserved' WHEN NOT regexp_matches(bare, '^[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?$') THEN 'not_applicable' WHEN sign <> '' OR len(behind) > 0 THEN 'inferred' WHEN regexp_matches(e, '{explicit}') THEN 'ambiguous' ELSE 'not_applicable' END AS u_status,
+  CASE u_status WHEN 'ambiguous' THEN NULL WHEN 'inferred' THEN sign || bare || coalesce(array_to_string(list_transform(behind, lambda x: CASE WHEN x = '%' THEN x ELSE ' ' || x END), ''), '') ELSE bare END AS u_text,
+  CASE u_status WHEN 'preserved' THEN {_unique('labels')} WHEN 'inferred' THEN {_unique('told')} ELSE [] END AS u_units FROM {out}6)"""
+
+
+_AUGMENTED = """
+gold AS (SELECT DISTINCT query_id, element_id FROM facts),
+need AS (SELECT query_id, count(*) AS n, count(chunk_id) AS held, list_sort(list_distinct(list(chunk_id) FILTER (chunk_id IS NOT NULL))) AS required FROM gold LEFT JOIN (SELECT element_id, max(chunk_id) AS chunk_id FROM lineage GROUP BY element_id) USING (element_id) GROUP BY query_id HAVING count(*) = count(chunk_id) AND count(*) <= 5),
+lists AS (SELECT n.query_id, required, coalesce(ranked, []) AS ranked FROM need n LEFT JOIN (SELECT query_id, list(chunk_id ORDER BY rank) AS ranked FROM rk WHERE rank <= 5 GROUP BY query_id) r ON n.query_id = r.query_id),
+missing AS (SELECT *, list_filter(required, lambda c: NOT list_contains(ranked, c)) AS absent, list_reverse(list_filter(ranked, lambda c: NOT list_contains(required, c))) AS spare FROM lists),
+kept AS (SELECT *, list_filter(ranked, lambda c: NOT list_contains(spare[:greatest(0, len(ranked) + len(absent) - 5)], c)) AS stay FROM missing),
+filled AS (SELECT query_id, absent, list_reduce([stay] || list_transform(absent, lambda c: [c]), lambda acc, c: CASE WHEN TRUE THEN
+  acc[:(('0x' || substr(sha256(unhex('000000000000000f') || encode('oracle-position') || unhex(printf('%016x', strlen(query_id::VARCHAR))) || encode(query_id::VARCHAR) || unhex(printf('%016x', strlen(c[1]))) || encode(c[1])), 1, 24))::HUGEINT % (len(acc) + 1))::INT] || c ||
+  acc[(('0x' || substr(sha256(unhex('000000000000000f') || encode('oracle-position') || unhex(printf('%016x', strlen(query_id::VARCHAR))) || encode(query_id::VARCHAR) || unhex(printf('%016x', strlen(c[1]))) || encode(c[1])), 1, 24))::HUGEINT % (len(acc) + 1))::INT + 1:] END) AS chunks FROM kept),
+aug AS (SELECT query_id, unnest(range(1, len(chunks) + 1))::INT AS rank, unnest(chunks) AS chunk_id, absent FROM filled),
+augmented AS (SELECT query_id, rank, chunk_id, list_contains(absent, chunk_id) AS injected FROM aug)"""
+
 
 _CHECKS = ("overall", "content", "refusal", "numeric", "units", "citations")
 
@@ -306,5 +343,35 @@ rec AS (SELECT s.*, chunks, kept, (SELECT count(*) FROM it WHERE it.query_id = s
 SELECT query_id, dataset, source_split, {_ASSIGNED} AS split, group_id AS document_group_id, document_id, FALSE AS answerable, 'unsupported' AS category, 'retrieval_insufficient' AS context_mode, FALSE AS calculation_supervised, 'not_applicable' AS unit_status, NULL::VARCHAR AS reasoning_program,
   kept < total AS context_trimmed, ({_count(f"'{INSTRUCTION}'")} + {_count('said')} + {_count(f"'{UNSUPPORTED}'")})::INT AS sequence_token_count, '' AS expected_values, '' AS expected_units, '' AS gold_source_element_ids, '' AS gold_source_numbers, chunks AS source_chunk_ids, '' AS oracle_injected_chunk_ids, '' AS oracle_injected_source_numbers,
   md5('system:{INSTRUCTION}|user:' || said || '|assistant:{UNSUPPORTED}') AS messages_md5 FROM g""".replace("\ng AS (SELECT DISTINCT query_id, element_id FROM facts)", "\nwanted AS (SELECT DISTINCT query_id, element_id FROM facts)").replace("FROM g LEFT JOIN (SELECT DISTINCT", "FROM wanted g LEFT JOIN (SELECT DISTINCT").replace("FROM g JOIN lineage", "FROM wanted g JOIN lineage"),
+    "oracle_augment": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(), _AUGMENTED.strip()) + "SELECT query_id, rank, chunk_id, injected FROM augmented",
+    "unit_inference": _with(
+        _U, _EX, _EL, _FACTS, "ev AS (SELECT query_id, string_agg(source_text, chr(10) ORDER BY position, source_text) AS evidence FROM (SELECT DISTINCT query_id, position, source_text FROM facts JOIN (SELECT element_id, source_text FROM el) USING (element_id)) GROUP BY query_id)",
+        "asked AS (SELECT query_id, answer, query_text AS question, evidence, program FROM ex LEFT JOIN ev USING (query_id))", _unit_steps("asked", "un").strip(),
+    ) + "SELECT query_id, u_text AS answer_text, u_units AS answer_units, u_status AS unit_status FROM un",
+    "training_records": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(), _AUGMENTED.strip())
+    + f""", touching AS (SELECT DISTINCT query_id, chunk_id FROM gold JOIN lineage USING (element_id)),
+it AS (SELECT a.query_id, a.rank, a.chunk_id, a.injected, t.chunk_id IS NOT NULL AS is_gold, u.text, u.retrieval_unit_kind AS kind, {_PAGE} AS page,
+  {_count("'[Source 1 | page ' || coalesce(" + _PAGE + ", '?') || ' | chunk_id ' || a.chunk_id || ']' || chr(10) || coalesce(u.text, '')")} AS cost
+  FROM augmented a JOIN u ON u.chunk_id = a.chunk_id LEFT JOIN touching t ON t.query_id = a.query_id AND t.chunk_id = a.chunk_id),
+per AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) FILTER (is_gold) AS evidence, coalesce(sum(cost) FILTER (is_gold), 0) AS gold_cost, count(*) FILTER (is_gold) AS n_gold, count(*) AS total FROM it GROUP BY query_id),
+ids AS (SELECT query_id, list_sort(list(element_id)) AS gold_ids FROM gold GROUP BY query_id),
+asked AS (SELECT x.query_id, dataset, split AS source_split, document_id, source_file, query_text AS question, answer, explanation, program AS raw_program, n_steps, evidence, gold_cost, n_gold, total, gold_ids,
+  nullif(array_to_string(list_filter(list_transform(string_split_regex(CASE WHEN coalesce(normalized_program, '') <> '' THEN normalized_program ELSE program END, '\\r\\n|\\r|\\n'), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> ''), chr(10)), '') AS program
+  FROM ex x JOIN per USING (query_id) JOIN ids USING (query_id) WHERE n_gold > 0 AND answer IS NOT NULL AND trim(query_text, ' ') <> ''),
+{_unit_steps('asked', 'un').strip()},
+told AS (SELECT *, regexp_replace(nullif(regexp_replace(explanation, '^\\s+|\\s+$', '', 'g'), ''), '\\.+$', '') AS why FROM un WHERE u_status <> 'ambiguous'),
+spoken AS (SELECT *, CASE WHEN program IS NOT NULL THEN 'Calculation:' || chr(10) || program || chr(10) || 'The answer is ' || u_text WHEN why IS NULL THEN 'The answer is ' || u_text WHEN contains(replace(lower(why), 'ß', 'ss'), replace(lower(u_text), 'ß', 'ss')) THEN why ELSE why || '. The answer is ' || u_text END AS sentence FROM told),
+roomy AS (SELECT *, 4096 - {_count(f"'{INSTRUCTION}'")} - {_count("'Retrieved context: Question: ' || trim(question, ' ')")} - gold_cost - {_count("sentence || '. '")} - 4 * n_gold AS room FROM spoken),
+run AS (SELECT it.*, room, sum(CASE WHEN is_gold THEN 0 ELSE cost END) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM it JOIN (SELECT query_id, room FROM roomy WHERE room >= 0) USING (query_id)),
+stays AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM run WHERE is_gold OR spent <= room),
+made AS (SELECT query_id, count(*) AS kept, bool_or(injected) AS oracle, bool_or(is_gold AND coalesce(kind, '') = 'table_row') AS tabular, string_agg(chunk_id, ',' ORDER BY n) AS chunks, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (is_gold), '') AS gold_numbers,
+  coalesce(string_agg(chunk_id, ',' ORDER BY n) FILTER (injected), '') AS put, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (injected), '') AS put_numbers, string_agg('[Source ' || n || ']', ' ' ORDER BY n) FILTER (is_gold) AS cited,
+  string_agg('[Source ' || n || ' | page ' || coalesce(page, '?') || ' | chunk_id ' || chunk_id || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY n) AS context FROM stays GROUP BY query_id),
+rec AS (SELECT r.*, m.* EXCLUDE (query_id), 'Retrieved context:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || trim(question, ' ') AS asks, sentence || '. ' || cited AS says FROM roomy r JOIN made m USING (query_id)),
+{_GROUPED.format('rec').strip()}
+SELECT query_id, dataset, source_split, {_ASSIGNED} AS split, group_id AS document_group_id, document_id, TRUE AS answerable, CASE WHEN coalesce(raw_program, '') <> '' OR coalesce(n_steps, 0) > 0 THEN 'reasoning' WHEN tabular THEN 'table_lookup' ELSE 'simple_lookup' END AS category,
+  CASE WHEN oracle THEN 'oracle_augmented' ELSE 'retrieved' END AS context_mode, program IS NOT NULL AS calculation_supervised, u_status AS unit_status, program AS reasoning_program, kept < total AS context_trimmed,
+  ({_count(f"'{INSTRUCTION}'")} + {_count('asks')} + {_count('says')})::INT AS sequence_token_count, answer AS expected_values, coalesce(array_to_string(u_units, ','), '') AS expected_units, array_to_string(gold_ids, ',') AS gold_source_element_ids, gold_numbers AS gold_source_numbers,
+  chunks AS source_chunk_ids, put AS oracle_injected_chunk_ids, put_numbers AS oracle_injected_source_numbers, md5('system:{INSTRUCTION}|user:' || asks || '|assistant:' || says) AS messages_md5 FROM g""",
     "json_props": "SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type",
 }

@@ -6,7 +6,9 @@ Deliveries of one key count once, by the latest (operators.windows.latest).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,8 +25,23 @@ DIMENSIONS = 32
 # --- inputs --------------------------------------------------------------------------------------
 
 
-def _units(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(table(spark, folder, "units"), "chunk_id")
+#: Columns of units that say where they come from; texts stay where they are read.
+_LINEAGE = ("document_id", "source_element_ids")
+#: What the running query has computed already, so that texts are read and cut into words once.
+_HELD: ContextVar[dict | None] = ContextVar("held", default=None)
+
+
+def _units(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    return latest(table(spark, folder, "units"), "chunk_id", keep=keep or None)
+
+
+def _postings(spark: SparkSession, folder: str) -> DataFrame:
+    held = _HELD.get()
+    if held is None:
+        held = {}
+    if "postings" not in held:
+        held["postings"] = ranking.bm25_postings(_units(spark, folder, "document_id", "text"), ["document_id"])
+    return held["postings"]
 
 
 def _elements(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,13 +76,12 @@ def _vectors(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, folder: str, k: int = 5, variant: str = "okapi", normalize_query: bool = False) -> DataFrame:
-    units = _units(spark, folder).select("chunk_id", "document_id", "text")
-    return ranking.bm25(units, _questions(spark, folder), k=k, variant=variant, normalize_query=normalize_query)
+    return ranking.bm25(_postings(spark, folder), _questions(spark, folder), k=k, variant=variant, normalize_query=normalize_query)
 
 
 def _dense(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
-    units, questions = _units(spark, folder), _questions(spark, folder)
-    u = units.select("chunk_id", "document_id").join(_vectors(units, "chunk_id", "text"), "chunk_id")
+    postings, questions = _postings(spark, folder), _questions(spark, folder)
+    u = _units(spark, folder, "document_id").join(_vectors(postings, "chunk_id", "text"), "chunk_id")
     q = questions.select("query_id", "document_id").join(_vectors(questions, "query_id", "query_text"), "query_id")
     return ranking.dense(u, q, k=k, scope=["document_id"])
 
@@ -91,16 +107,16 @@ def query_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return _units(spark, folder).select("chunk_id", text.token_count(F.col("text")).cast("long").alias("n_tokens"), F.length("text").cast("long").alias("n_chars"))
+    return _units(spark, folder, "text").select("chunk_id", text.token_count(F.col("text")).cast("long").alias("n_tokens"), F.length("text").cast("long").alias("n_chars"))
 
 
 def content_ids(spark: SparkSession, folder: str) -> DataFrame:
-    u = _units(spark, folder).where("text IS NOT NULL")
+    u = _units(spark, folder, "document_id", "page_start", "chunk_index", "text").where("text IS NOT NULL")
     return u.select("chunk_id", ids.nul_digest(F.col("document_id"), F.col("page_start"), F.col("chunk_index"), F.col("text")).alias("digest"))
 
 
 def bm25_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    stats = ranking.bm25_statistics(ranking.bm25_postings(_units(spark, folder), ["document_id"]), ["document_id"])
+    stats = ranking.bm25_statistics(_postings(spark, folder), ["document_id"])
     return stats.select("document_id", "n_units", F.round("avg_length", 6).alias("avg_length"), "n_terms")
 
 
@@ -137,14 +153,14 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parent_diverse_topk(spark: SparkSession, folder: str) -> DataFrame:
-    lineage = _units(spark, folder).select("chunk_id", "document_id", "retrieval_unit_kind", "parent_source_element_ids", "parent_chunk_id")
+    lineage = _units(spark, folder, "document_id", "retrieval_unit_kind", "parent_source_element_ids", "parent_chunk_id")
     found = ranking.diversify(_bm25(spark, folder, 20).join(lineage, "chunk_id"), k=5, rows_per_parent=1)
     return found.select("query_id", "chunk_id", "rank")
 
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    units, questions = _units(spark, folder), _questions(spark, folder)
-    found = ranking.hybrid(units, questions, _vectors(units, "chunk_id", "text"), _vectors(questions, "query_id", "query_text"))
+    units, questions, postings = _units(spark, folder, "document_id", "retrieval_unit_kind", "parent_source_element_ids", "parent_chunk_id"), _questions(spark, folder), _postings(spark, folder)
+    found = ranking.hybrid(units, questions, _vectors(postings, "chunk_id", "text"), _vectors(questions, "query_id", "query_text"), postings=postings)
     return _shown(found, "bm25_rank", "dense_rank")
 
 
@@ -156,7 +172,7 @@ def ranking_validity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _evaluations(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
-    evals = evaluation.per_query(found, _facts(spark, folder), linkage.lineage(_units(spark, folder)))
+    evals = evaluation.per_query(found, _facts(spark, folder), linkage.lineage(_units(spark, folder, *_LINEAGE)))
     return evals.join(_examples(spark, folder).select("query_id", "dataset"), "query_id")
 
 
@@ -181,7 +197,7 @@ def metric_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 def input_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "source_documents").select("document_id", F.try_element_at(F.col("metadata"), F.lit("dataset")).alias("dataset")).where("dataset IS NOT NULL").distinct()
-    units = _units(spark, folder).select(F.split("document_id", ":")[0].alias("dataset"))
+    units = _units(spark, folder, "document_id").select(F.split("document_id", ":")[0].alias("dataset"))
     return evaluation.input_counts(documents, units, _examples(spark, folder).select("dataset"))
 
 
@@ -225,7 +241,7 @@ def row_units_of_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parent_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    u = _units(spark, folder).withColumn("parent_chunk_id", F.nullif(F.trim("parent_chunk_id"), F.lit("")))
+    u = _units(spark, folder, "text", "parent_chunk_id").withColumn("parent_chunk_id", F.nullif(F.trim("parent_chunk_id"), F.lit("")))
     return tables.parents_of(u, u).select("chunk_id", "parent_chunk_id", F.md5("parent_text").alias("parent_md5"))
 
 
@@ -248,13 +264,13 @@ def evidence_match(spark: SparkSession, folder: str) -> DataFrame:
     """The unit of its document that holds or covers each gold element's text best."""
     facts = _facts(spark, folder).join(_elements(spark, folder).select("element_id", F.col("source_text").alias("evidence")), "element_id")
     facts = facts.select(F.concat_ws("#", "query_id", "element_id").alias("fact_id"), "document_id", "evidence").distinct()
-    m = linkage.match_evidence(facts, _units(spark, folder))
+    m = linkage.match_evidence(facts, _units(spark, folder, "document_id", "chunk_index", "text"))
     return m.select("fact_id", "chunk_id", "chunk_index", F.round("score", 6).alias("score"))
 
 
 def gold_lineage_map(spark: SparkSession, folder: str) -> DataFrame:
     facts = _facts(spark, folder).select(F.concat_ws("#", "query_id", "element_id").alias("fact_id"), "document_id", "element_id").distinct()
-    return linkage.map_gold(facts, _units(spark, folder), _elements(spark, folder), complete=False).select("fact_id", "chunk_id", "via")
+    return linkage.map_gold(facts, _units(spark, folder, "document_id", "source_element_ids", "text"), _elements(spark, folder), complete=False).select("fact_id", "chunk_id", "via")
 
 
 def gold_context(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,12 +281,12 @@ def gold_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gold_removed_topk(spark: SparkSession, folder: str) -> DataFrame:
-    units = _units(spark, folder)
+    units = _units(spark, folder, *_LINEAGE)
     return export.without_gold(_bm25(spark, folder, 20), linkage.lineage(units), _facts(spark, folder), 5).select("query_id", "chunk_id", "rank")
 
 
 def gold_sufficiency(spark: SparkSession, folder: str) -> DataFrame:
-    return export.contains_all_gold(_bm25(spark, folder), linkage.lineage(_units(spark, folder)), _facts(spark, folder))
+    return export.contains_all_gold(_bm25(spark, folder), linkage.lineage(_units(spark, folder, *_LINEAGE)), _facts(spark, folder))
 
 
 # --- samples, splits, integrity ------------------------------------------------------------------
@@ -340,19 +356,19 @@ def export_histograms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return integrity.fingerprint(_units(spark, folder), ["chunk_id", "document_id", "text"])
+    return integrity.fingerprint(_units(spark, folder, "document_id", "text"), ["chunk_id", "document_id", "text"])
 
 
 # --- prompts, scores, export ---------------------------------------------------------------------
 
 
 def grounded_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    p = prompts.grounded_prompts(_questions(spark, folder), _bm25(spark, folder, 3), _units(spark, folder))
+    p = prompts.grounded_prompts(_questions(spark, folder), _bm25(spark, folder, 3), _units(spark, folder, "text", "page_start", "page_end"))
     return p.select("query_id", F.md5("user").alias("user_md5"), "n_sources")
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts.citations(_bm25(spark, folder, 3), _units(spark, folder))
+    return prompts.citations(_bm25(spark, folder, 3), _units(spark, folder, "page_start", "page_end"))
 
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -379,7 +395,7 @@ def answer_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def refusal_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the ranked context of a question gives its answer away."""
-    shown = _bm25(spark, folder, 3).join(_units(spark, folder).select("chunk_id", "text"), "chunk_id")
+    shown = _bm25(spark, folder, 3).join(_units(spark, folder, "text"), "chunk_id")
     context = shown.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("context"))
     joined = context.join(_examples(spark, folder).select("query_id", "answer"), "query_id").where("answer IS NOT NULL")
     return joined.select("query_id", export.context_contains_answer(F.col("context"), F.col("answer")).alias("given_away"))
@@ -396,12 +412,12 @@ def unit_inference(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def oracle_augment(spark: SparkSession, folder: str) -> DataFrame:
-    return export.oracle_augment(_bm25(spark, folder), _facts(spark, folder), linkage.lineage(_units(spark, folder)))
+    return export.oracle_augment(_bm25(spark, folder), _facts(spark, folder), linkage.lineage(_units(spark, folder, *_LINEAGE)))
 
 
 def budget_trim(spark: SparkSession, folder: str) -> DataFrame:
-    units = _units(spark, folder)
-    return export.budget_trim(_bm25(spark, folder), units, 600, _facts(spark, folder), linkage.lineage(units)).select("query_id", "chunk_id", "rank", "is_gold", "overflow")
+    units = _units(spark, folder, "text")
+    return export.budget_trim(_bm25(spark, folder), units, 600, _facts(spark, folder), linkage.lineage(_units(spark, folder, *_LINEAGE))).select("query_id", "chunk_id", "rank", "is_gold", "overflow")
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -410,8 +426,8 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    units = _units(spark, folder)
-    return export.training_records(_asked(spark, folder), oracle_augment(spark, folder), units, linkage.lineage(units), _facts(spark, folder))
+    units = _units(spark, folder, "text", "page_start", "page_end", "retrieval_unit_kind")
+    return export.training_records(_asked(spark, folder), oracle_augment(spark, folder), units, linkage.lineage(_units(spark, folder, *_LINEAGE)), _facts(spark, folder))
 
 
 def _shown_records(records: DataFrame) -> DataFrame:
@@ -430,9 +446,9 @@ def training_record_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _refusals(spark: SparkSession, folder: str) -> DataFrame:
-    units, facts = _units(spark, folder), _facts(spark, folder)
+    units, facts = _units(spark, folder, "text", "page_start", "page_end"), _facts(spark, folder)
     deep = cut(_bm25(spark, folder, 20))
-    return export.refusal_records(_asked(spark, folder), export.refusal_contexts(deep.where("rank <= 5"), deep, linkage.lineage(units), facts, 5), units)
+    return export.refusal_records(_asked(spark, folder), export.refusal_contexts(deep.where("rank <= 5"), deep, linkage.lineage(_units(spark, folder, *_LINEAGE)), facts, 5), units)
 
 
 def refusal_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -471,8 +487,21 @@ def json_props(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.max("k").alias("most"))
 
 
+def _held(query: Query) -> Query:
+    """The query with a memory of its own for what its parts share."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        before = _HELD.set({})
+        try:
+            return query(spark, folder)
+        finally:
+            _HELD.reset(before)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__.rstrip("_"): f
+    f.__name__.rstrip("_"): _held(f)
     for f in (
         char_windows_, lexical_terms, query_normalize, token_counts, content_ids, bm25_statistics, bm25_okapi_topk, bm25_plus_topk, l2_normalize, dense_cosine_topk, dense_scoped_topk,
         rrf_fusion, parent_diverse_topk, hybrid_search, ranking_validity, retrieval_per_query, retrieval_metrics, metric_deltas, input_counts, table_row_units, pipe_row_units,

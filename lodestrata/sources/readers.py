@@ -90,11 +90,22 @@ def manifest(path: str, dataset: str | None = None) -> dict:
 
 
 def settings(path: str) -> dict:
-    """A data set's settings from TOML: name, a 40-digit revision and files per split."""
+    """A data set's settings from TOML: name, a 40-digit revision and files per split.
+
+    files names a relative path for each of at least one split; what doesn't fit raises.
+    """
     found = tomllib.loads(Path(path).read_text(encoding="utf-8"))
     revision = str(found.get("revision", ""))
     if len(revision) != 40 or any(c not in "0123456789abcdef" for c in revision):
         raise ValueError("revision must be 40 hex digits")
+    if "name" in found and not str(found["name"]).strip():
+        raise ValueError("name is blank")
+    files = found.get("files", {})
+    if not files or set(files) - {"train", "validation", "test"}:
+        raise ValueError("files must name train, validation or test")
+    for split, file in files.items():
+        if not isinstance(file, str) or not file.strip() or Path(file).is_absolute() or ".." in Path(file).parts:
+            raise ValueError(f"the file of {split} must be a path below the source folder")
     return found
 
 

@@ -17,17 +17,31 @@ def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1_000
 
 
 def units_sink(pages: DataFrame, target: str, checkpoint: str, limits: Limits = Limits(), available_now: bool = True) -> StreamingQuery:
-    """Cut each micro-batch into units and write it under its batch number, so a retried batch replaces itself.
+    """Cut each micro-batch's documents into units and write them under its batch number.
 
-    Units are numbered within the pages of their batch, so all pages of a document should land together.
+    Pages are kept in target/pages by batch, so a document whose pages land apart is cut anew as a
+    whole, numbered from its first page; current_units() takes the last batch of each document. A
+    retried batch replaces what it wrote.
     """
     def write(batch: DataFrame, number: int) -> None:
-        markdown_units(batch, limits).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{target}/pages/batch={number}")
+        held = spark.read.option("basePath", f"{target}/pages").parquet(f"{target}/pages").where(F.col("batch") <= number)
+        landed = held.where(F.col("batch") == number).select("document_id").distinct()
+        whole = held.drop("batch").join(landed, "document_id", "left_semi")
+        markdown_units(whole, limits).write.mode("overwrite").parquet(f"{target}/units/batch={number}")
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def current_units(spark: SparkSession, target: str) -> DataFrame:
+    """Units that units_sink() has written, of each document those of its last batch."""
+    units = spark.read.option("basePath", f"{target}/units").parquet(f"{target}/units")
+    last = units.groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return units.join(last, ["document_id", "batch"], "left_semi").drop("batch")
+
+
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window_start, event_type, n, total) of a stream (ts, event_type, value); late events up to a limit count."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -116,9 +116,14 @@ def test_streams(spark, tmp_path):
     page = {"document_id": "d", "page_number": 1, "markdown": "# A\n\nwords", "received_at": "2024-01-01T00:00:00"}
     (land / "1.json").write_text(json.dumps(page) + "\n" + json.dumps(page | {"page_number": 2, "markdown": "more"}))
     (land / "2.json").write_text(json.dumps(page))
-    q = ingest.units_sink(ingest.page_stream(spark, str(land)), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["# A\n\nwords", "more"]
+    def land_all():
+        ingest.units_sink(ingest.page_stream(spark, str(land)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        return sorted((r.chunk_index, r.text) for r in ingest.current_units(spark, str(tmp_path / "out")).collect())
+
+    assert [t for _, t in land_all()] == ["# A\n\nwords", "more"]
+    (land / "3.json").write_text(json.dumps(page | {"page_number": 3, "markdown": "# B\n\nlate"}))
+    late = land_all()
+    assert [i for i, _ in late] == list(range(len(late))) and [t for _, t in late][-1] == "# B\n\nlate" and len(late) >= 3
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 2.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [(r.n, r.total) for r in ingest.windowed_counts(events).collect()] == [(2, 3.0)]
 

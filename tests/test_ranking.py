@@ -105,3 +105,37 @@ def test_cache_encodes_only_what_is_missing(spark):
     cache = first.where("chunk_id = 'a'")
     assert {r.chunk_id for r in ranking.encode_missing(texts, cache, encode, model="m", revision="1").collect()} == {"b"}
     assert ranking.encode_missing(texts, cache, encode, model="m", revision="2").count() == 2
+    for wrong in (np.zeros((1, 2)), np.full((1, 2), np.nan), np.ones((2, 2)), np.ones((1, 3))):
+        with pytest.raises(ValueError, match="encoder"):
+            ranking.checked_vectors(lambda ts: wrong, ["a"], 2)
+
+
+def test_scoped_vectors_equal_brute_force(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    units = [(f"u{i:03}", "hot" if i % 3 else f"d{i % 7}", rnd.normal(size=4).tolist()) for i in range(200)] + [("z", "hot", [0.0] * 4), ("n", None, [1.0] * 4)]
+    queries = [(i, "hot" if i % 2 else f"d{i % 7}", rnd.normal(size=4).tolist()) for i in range(60)] + [(99, "none", [1.0] * 4)]
+    u = spark.createDataFrame(units, "chunk_id string, document_id string, embedding array<double>")
+    q = spark.createDataFrame(queries, "query_id long, document_id string, embedding array<double>")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {}
+    for i, d, v in queries:
+        scored = sorted((-round(float(unit(v) @ unit(w)), 9), c) for c, e, w in units if e == d and c != "z")[:3]
+        if scored:
+            want[i] = [c for _, c in scored]
+    got = {}
+    for r in ranking.dense(u, q, k=3, scope=["document_id"], block_rows=20, query_rows=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == want
+
+
+def test_fillers_without_a_scope(spark, monkeypatch):
+    """Queries that met more units than are sent at once still fill their ranking with the first ids."""
+    monkeypatch.setattr(ranking, "FILLERS", 3)
+    units = spark.createDataFrame([(f"u{i:02}", "common") for i in range(12)] + [(f"v{i:02}", "rare") for i in range(3)], "chunk_id string, text string")
+    scores = spark.createDataFrame([(1, f"u{i:02}") for i in range(9)] + [(2, "u01")], "query_id long, chunk_id string")
+    got = ranking._first_ids(spark.createDataFrame([(1,), (2,), (3,)], "query_id long"), scores, units, 2)
+    left = {(r.query_id, r.chunk_id) for r in got.collect()} - {(r.query_id, r.chunk_id) for r in scores.collect()}
+    per = {i: sorted(c for q, c in left if q == i)[:2] for i in (1, 2, 3)}
+    assert per == {1: ["u09", "u10"], 2: ["u00", "u02"], 3: ["u00", "u01"]}
