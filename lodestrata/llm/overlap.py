@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -96,8 +97,8 @@ def outside_spans(a: Sequence[str], b: Sequence[str], most: int) -> int:
     return most + 1
 
 
-def alike(a: Sequence[str], b: Sequence[str]) -> bool:
-    """Whether the spans that two texts share cover both of them, by the rules above."""
+def alike(a: Sequence[str], b: Sequence[str], short: int = SHORT) -> bool:
+    """Whether the spans that two texts share cover both of them, by the rules above; short is the number of words below which no word may stand for another."""
     if a == b:
         return bool(a)
     longer = max(len(a), len(b))
@@ -105,7 +106,7 @@ def alike(a: Sequence[str], b: Sequence[str]) -> bool:
     lost = _lost_numbers(max(map(len, numbers)))
     if numbers[0] != numbers[1] and (not lost or outside_spans(*numbers, lost) > lost):
         return False
-    if longer < SHORT:
+    if longer < short:
         if len(a) == len(b):
             other = [(x, y) for x, y in zip(a, b) if x != y]
             return len(a) > 1 and len(other) == 1 and len(other[0][0]) > 3 and not _number(other[0][0]) and one_slip(*other[0])
@@ -117,14 +118,14 @@ def alike(a: Sequence[str], b: Sequence[str]) -> bool:
 _LINK = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], short: int) -> Iterator[pa.RecordBatch]:
     """(x, y) of the (x, y, a, b) whose joined words a and b are alike."""
     for batch in batches:
-        keep = pa.array([alike(a.split(" "), b.split(" ")) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_())
+        keep = pa.array([alike(a.split(" "), b.split(" "), short) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_())
         yield batch.select(["x", "y"]).filter(keep)
 
 
-def text_links(texts: DataFrame) -> DataFrame:
+def text_links(texts: DataFrame, short: int = SHORT) -> DataFrame:
     """(x, y): texts x of the train side and different texts y of the other that are alike.
 
     texts: distinct (text_key, line, in_train, in_eval); line is the words, joined by blanks. Texts
@@ -170,7 +171,7 @@ def text_links(texts: DataFrame) -> DataFrame:
 
     pairs = meeting(by_word).unionByName(meeting(by_run)).distinct()
     line = lambda key, name: held.select(F.col("text_key").alias(key), F.col("line").alias(name))
-    return pairs.join(line("x", "a"), "x").join(line("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(_judged, _LINK)
+    return pairs.join(line("x", "a"), "x").join(line("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(partial(_judged, short=short), _LINK)
 
 
 def split_sides(df: DataFrame, key: Column, split: Column) -> DataFrame:
@@ -211,14 +212,25 @@ def same_figure_pairs(examples: DataFrame) -> DataFrame:
     """(left_key, right_key) of examples across splits whose questions ask for the same figure.
 
     Each question is reduced to its figure (kind, measure, entity, years); two records overlap when
-    the reduced texts do in whole. Keys are record_no as strings, the smaller string first.
+    the reduced texts do in whole. Questions that don't reduce to one overlap when their words are
+    the same but for a slip or for words left out. Keys are record_no as strings, the smaller string first.
     Deliveries of one record_no count once, its splits are those of any delivery. Null questions
-    and questions for no figure match nothing.
+    and questions without words match nothing.
     """
     sides = split_sides(examples, F.col("record_no").cast("string"), F.col("split"))
     questions = latest_delivery(examples.select("record_no", F.col("question.text").alias("text"), "received_at"), "record_no", ["text"])
-    figures = questions.select(F.col("record_no").cast("string").alias("key"), "text").mapInArrow(_figure_batches, _FIGURE)
-    return _pairs_by_value(whole_names(cut(figures)).join(sides, "key")).distinct()
+    figures = cut(questions.select(F.col("record_no").cast("string").alias("key"), "text").mapInArrow(_figure_batches, _FIGURE))
+    reduced = _pairs_by_value(whole_names(figures).join(sides, "key"))
+    # what doesn't reduce is compared as it stands
+    open_ones = questions.select(F.col("record_no").cast("string").alias("key"), F.array_join(words_of(F.col("text")), " ").alias("line")).where("line <> ''").join(figures.where("asked IS NULL").select("key"), "key", "left_semi").join(sides, "key")
+    open_ones = cut(open_ones.withColumn("text_key", F.unhex(F.md5("line"))))
+    if open_ones.isEmpty():
+        return reduced.distinct()
+    texts = open_ones.groupBy("text_key").agg(F.any_value("line").alias("line"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
+    links = text_links(texts, short=1 << 30).unionByName(texts.where("in_train AND in_eval").select(F.col("text_key").alias("x"), F.col("text_key").alias("y")))
+    train, held = open_ones.where("in_train").select(F.col("key").alias("t"), F.col("text_key").alias("x")), open_ones.where("in_eval").select(F.col("key").alias("e"), F.col("text_key").alias("y"))
+    as_written = links.join(train, "x").join(held, "y").where(F.col("t") != F.col("e")).select(F.least("t", "e").alias("left_key"), F.greatest("t", "e").alias("right_key"))
+    return reduced.unionByName(as_written).distinct()
 
 
 def document_pairs(documents: DataFrame, elements: DataFrame) -> DataFrame:

@@ -145,6 +145,9 @@ def test_questions_across_splits(spark):
     rows = [q(9, "train", "what was the goodwill of Acmex in 2015?"), q(10, "TEST", "how much goodwill did Acmex report for 2015?"), q(11, "Training", "how much goodwill did Acmex report for FY15?"), q(12, None, "how much goodwill did Acmex report for 2015?"), q(13, "val", None), q(9, "train", "what was the goodwill of Acmex in 2015?")]
     df = spark.createDataFrame(rows, "record_no long, split string, text string").select("record_no", "split", F.struct("text").alias("question"), F.lit(None).cast("timestamp_ntz").alias("received_at"), F.lit(1).alias("key"))
     assert {tuple(r) for r in overlap.same_figure_pairs(df).collect()} == {("10", "9"), ("10", "11")}
+    others = [(1, "train", "Quel est le siège social de la société Orbex et depuis quand ?"), (2, "test", "quel est le siege social de la société Orbex et depuis quand"), (3, "val", "Quel est le capital social de la société Orbex et depuis quand ?"), (4, "val", "Quel est le siège social de la société Orbex et depuis quand ?")]
+    more = spark.createDataFrame(others, "record_no long, split string, text string").select("record_no", "split", F.struct("text").alias("question"), F.lit(None).cast("timestamp_ntz").alias("received_at"), F.lit(1).alias("key"))
+    assert {tuple(r) for r in overlap.same_figure_pairs(more).collect()} == {("1", "2"), ("1", "4")}
 
 
 # --- groups and splits ---------------------------------------------------------------------------
