@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -101,18 +101,30 @@ def alike(a: Sequence[str], b: Sequence[str], short: int = SHORT) -> bool:
     """Whether the spans that two texts share cover both of them, by the rules above; short is the number of words below which no word may stand for another."""
     if a == b:
         return bool(a)
-    longer = max(len(a), len(b))
-    numbers = [[w for w in x if _number(w)] for x in (a, b)]
-    lost = _lost_numbers(max(map(len, numbers)))
-    if numbers[0] != numbers[1] and (not lost or outside_spans(*numbers, lost) > lost):
-        return False
+    n, m = len(a), len(b)
+    longer, start, end = max(n, m), 0, 0
+    # what both begin and end with are spans
+    while start < min(n, m) and a[start] == b[start]:
+        start += 1
+    while end < min(n, m) - start and a[n - 1 - end] == b[m - 1 - end]:
+        end += 1
+    x, y = a[start : n - end], b[start : m - end]
+    if any(map(_number, x)) or any(map(_number, y)):
+        numbers = [[w for w in words if _number(w)] for words in (a, b)]
+        lost = _lost_numbers(max(map(len, numbers)))
+        if numbers[0] != numbers[1] and (not lost or outside_spans(*numbers, lost) > lost):
+            return False
     if longer < short:
-        if len(a) == len(b):
-            other = [(x, y) for x, y in zip(a, b) if x != y]
-            return len(a) > 1 and len(other) == 1 and len(other[0][0]) > 3 and not _number(other[0][0]) and one_slip(*other[0])
+        if n == m:
+            return n > 1 and len(x) == 1 and len(x[0]) > 3 and not _number(x[0]) and one_slip(x[0], y[0])
         # only words left out of one of them
-        return abs(len(a) - len(b)) == outside_spans(a, b, _lost(longer)) <= _lost(longer)
-    return outside_spans(a, b, _lost(longer)) <= _lost(longer)
+        return abs(n - m) == outside_spans(x, y, _lost(longer)) <= _lost(longer)
+    return max(len(x), len(y)) <= _lost(longer) or outside_spans(x, y, _lost(longer)) <= _lost(longer)
+
+
+@lru_cache(maxsize=100_000)
+def _split(line: str) -> list[str]:
+    return line.split(" ")
 
 
 _LINK = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
@@ -121,7 +133,7 @@ _LINK = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.B
 def _judged(batches: Iterator[pa.RecordBatch], short: int) -> Iterator[pa.RecordBatch]:
     """(x, y) of the (x, y, a, b) whose joined words a and b are alike."""
     for batch in batches:
-        keep = pa.array([alike(a.split(" "), b.split(" "), short) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_())
+        keep = pa.array([alike(_split(a), _split(b), short) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_())
         yield batch.select(["x", "y"]).filter(keep)
 
 
@@ -140,38 +152,41 @@ def text_links(texts: DataFrame, short: int = SHORT) -> DataFrame:
 
     mark = lambda w: F.xxhash64(w)
     marks = F.transform(F.array_distinct(words), mark)
-    held = held.select("text_key", "line", "lead", "numbers", "in_train", "in_eval", n.alias("n"), room.alias("room"), marks.alias("marks"))
+    # a short name of each text; two of one name would only be compared once more
+    held = held.select("text_key", "line", F.xxhash64("line").alias("id"), "lead", "numbers", "in_train", "in_eval", n.alias("n"), room.alias("room"), marks.alias("marks"))
 
     # texts of equal numbers, where both sides have some
     sides = held.groupBy("lead").agg(F.max("in_train").alias("t"), F.max("in_eval").alias("e"), F.count(F.lit(1)).alias("k"))
     met = held.join(sides.where("t AND e AND k > 1").select("lead"), "lead", "left_semi")
-    starts = cut(met.select("lead", "text_key", "in_train", "in_eval", "n", "room", F.explode("marks").alias("mark")))
+    met = cut(met.select("lead", "id", "in_train", "in_eval", F.col("n").cast("int").alias("n"), "room", "marks"))
+    starts = met.select("lead", "id", "in_train", "in_eval", "n", "room", F.explode("marks").alias("mark"))
     df = starts.groupBy("lead", "mark").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e"))
     ranked = starts.join(df, ["lead", "mark"])
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("mark", F.lit(64)).cast("int"))
     half = F.pmod(F.shiftright("mark", 6), F.lit(2))
     # a word that one side lacks meets none there, but it takes its place among the rarest
     place = F.struct("df", "mark", (F.col("t") & F.col("e")).alias("both"))
-    per_text = ranked.groupBy("lead", "text_key", "in_train", "in_eval", "n", "room").agg(F.sort_array(F.collect_list(place)).alias("places"), *[F.bit_or(F.when(half == i, bit).otherwise(0)).alias(c) for i, c in enumerate("uv")])
+    per_text = ranked.groupBy("lead", "id", "in_train", "in_eval", "n", "room").agg(F.sort_array(F.collect_list(place)).alias("places"), *[F.bit_or(F.when(half == i, bit).otherwise(0)).alias(c) for i, c in enumerate("uv")])
     first = F.explode(F.filter(F.slice("places", F.lit(1), F.col("room") + 1), lambda p: p["both"]))
-    by_word = per_text.select("lead", "text_key", "in_train", "in_eval", "n", "u", "v", first.alias("p")).withColumn("part", F.xxhash64("lead", "p.mark"))
+    by_word = per_text.select("lead", "id", "in_train", "in_eval", "n", "u", "v", first.alias("p")).withColumn("part", F.xxhash64("lead", "p.mark"))
 
     # texts of many numbers may lack a few of them: those that share numbers in a row
     many = held.where(F.size("numbers") >= MANY - 1)
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("numbers") - (RUN - 1)), lambda i: F.xxhash64(F.array_join(F.slice("numbers", i, RUN), " "))))
     flagged = lambda i: F.aggregate("marks", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.when(F.pmod(F.shiftright(h, 6), F.lit(2)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))).otherwise(0)))
-    by_run = many.select("text_key", "in_train", "in_eval", "n", flagged(0).alias("u"), flagged(1).alias("v"), F.explode(runs).alias("part"))
+    by_run = many.select("id", "in_train", "in_eval", "n", flagged(0).alias("u"), flagged(1).alias("v"), F.explode(runs).alias("part"))
 
     def meeting(rows: DataFrame) -> DataFrame:
-        side = lambda flag, names: rows.where(flag).select("part", *[F.col(c).alias(o) for c, o in zip(("text_key", "n", "u", "v"), names)])
+        side = lambda flag, names: rows.where(flag).select("part", *[F.col(c).alias(o) for c, o in zip(("id", "n", "u", "v"), names)])
         lost = F.greatest(F.lit(1), F.floor((1 - COVERAGE) * F.greatest("n", "m") + 1e-9))
         # a word outside of the spans changes at most two bits of the words' signatures
         bits = F.bit_count(F.col("u").bitwiseXOR(F.col("p"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("q")))
-        return side("in_train", "xnuv").join(side("in_eval", "ympq"), "part").where((F.col("x") != F.col("y")) & (F.abs(F.col("n") - F.col("m")) <= lost) & (bits <= 2 * lost)).select("x", "y")
+        return side("in_train", "xnuv").join(side("in_eval", "ympq"), "part").where((F.abs(F.col("n") - F.col("m")) <= lost) & (bits <= 2 * lost)).select("x", "y")
 
     pairs = meeting(by_word).unionByName(meeting(by_run)).distinct()
-    line = lambda key, name: held.select(F.col("text_key").alias(key), F.col("line").alias(name))
-    return pairs.join(line("x", "a"), "x").join(line("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(partial(_judged, short=short), _LINK)
+    line = lambda i, key, name: held.select(F.col("id").alias(i), F.col("text_key").alias(key), F.col("line").alias(name))
+    both = pairs.join(line("x", "kx", "a"), "x").join(line("y", "ky", "b"), "y").where("kx <> ky")
+    return both.select(F.col("kx").alias("x"), F.col("ky").alias("y"), "a", "b").mapInArrow(partial(_judged, short=short), _LINK)
 
 
 def split_sides(df: DataFrame, key: Column, split: Column) -> DataFrame:
