@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import lru_cache, partial
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -122,19 +122,17 @@ def alike(a: Sequence[str], b: Sequence[str], short: int = SHORT) -> bool:
     return max(len(x), len(y)) <= _lost(longer) or outside_spans(x, y, _lost(longer)) <= _lost(longer)
 
 
-@lru_cache(maxsize=100_000)
-def _split(line: str) -> list[str]:
-    return line.split(" ")
-
-
 _LINK = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
 
 
 def _judged(batches: Iterator[pa.RecordBatch], short: int) -> Iterator[pa.RecordBatch]:
     """(x, y) of the (x, y, a, b) whose joined words a and b are alike."""
     for batch in batches:
-        keep = pa.array([alike(_split(a), _split(b), short) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_())
-        yield batch.select(["x", "y"]).filter(keep)
+        # a text meets many others, so each is cut into words once
+        sides = [batch.column(c).dictionary_encode() for c in ("a", "b")]
+        words = [[line.split(" ") for line in side.dictionary.to_pylist()] for side in sides]
+        keep = [alike(words[0][i], words[1][j], short) for i, j in zip(*(side.indices.to_pylist() for side in sides))]
+        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
 def text_links(texts: DataFrame, short: int = SHORT) -> DataFrame:

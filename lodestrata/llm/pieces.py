@@ -131,8 +131,8 @@ def split_text(text: str | None, max_tokens: int, overlap_tokens: int = 0) -> li
         return []
     spans = _packed(t, 0, len(t.text), 0, max_tokens if len(t.starts) <= max_tokens else max_tokens - overlap_tokens)
     spans = [s for s in spans if t.count(s[0], s[1])]
-    # the first piece carries no overlap, so it has room for what is too short to be shared
-    while len(spans) > 1 and t.count(*spans[0][:2]) < overlap_tokens:
+    # the first piece carries no overlap, so it has room for more, and for what is too short to be shared
+    while len(spans) > 1 and (t.count(spans[0][0], spans[1][1]) <= max_tokens or t.count(*spans[0][:2]) < overlap_tokens):
         spans[:2] = [(spans[0][0], spans[1][1], spans[0][2])]
     pieces = []
     for i, (a, b, kind) in enumerate(spans):
