@@ -39,7 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     prepare.add_argument("--overlap", type=int, default=pipelines.OVERLAP)
     prepare.add_argument("--minimum", type=float, default=0.6, help="least share of a passage's words that its window holds")
 
-    validate = commands.add_parser("validate", help="name what is wrong with a prepared data set of long documents")
+    validate = commands.add_parser("validate", help="name what is wrong with a prepared data set")
     validate.add_argument("target")
 
     chat = commands.add_parser("export-chat", help="plain chat records with gold context")
@@ -136,7 +136,8 @@ def main(argv: list[str] | None = None) -> int:
             result.show(20, truncate=80)
         return 0
     if o.command == "validate":
-        wrong = pipelines.validate_docfinqa(spark, o.target)
+        long = readers.manifest(f"{o.target}/manifest.json").get("dataset") == "docfinqa"
+        wrong = (pipelines.validate_docfinqa if long else pipelines.validate_finqa)(spark, o.target)
         rows = wrong.groupBy("check_name", "split").agg(F.count(F.lit(1)).alias("n")).collect()
         print(json.dumps([r.asDict() for r in rows], indent=2))
         return 1 if rows else 0

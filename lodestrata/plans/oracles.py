@@ -112,26 +112,29 @@ _LINKED = f"""linked AS (
   LEFT JOIN (SELECT {_LINK.format('query_text')} AS q, {_LINK.format('answer')} AS a, count(*) AS n, count(DISTINCT concat_ws('|', document_id, program)) AS s, min(query_id) AS id FROM ex GROUP BY ALL) e
     ON e.q = {_LINK.format('re.question')} AND e.a = {_LINK.format('re.expected_values[1]')}
   LEFT JOIN (SELECT DISTINCT {_LINK.format('query_text')} AS q FROM ex) a ON a.q = {_LINK.format('re.question')})"""
-_ANSWERED = f"""answered AS (
+def _answered(right: str = "record_no % 2 = 0", n: str = "") -> str:
+    return f"""answered{n} AS (
   SELECT record_no, category, context_mode, coalesce(answerable, FALSE) AS able, answerable, expected_values, expected_units,
     CASE WHEN NOT answerable AND record_no % 3 <> 0 THEN '{UNSUPPORTED}'
-      ELSE 'From 1 + 2 = 3 and the notes, the answer is ' || coalesce(expected_values[1], 'unknown') || CASE WHEN record_no % 2 = 0 THEN ' [Source 1].' ELSE ' [Source 7].' END END AS answer
+      ELSE 'From 1 + 2 = 3 and the notes, the answer is ' || coalesce(expected_values[1], 'unknown') || CASE WHEN {right} THEN ' [Source 1].' ELSE ' [Source 7].' END END AS answer
   FROM re),
-parsed AS (
+parsed{n} AS (
   SELECT *, lower(trim(regexp_replace(answer, '\\s+', ' ', 'g'))) AS plain,
     list_filter(list_transform(regexp_extract_all(CASE WHEN answer = '{UNSUPPORTED}' THEN answer ELSE coalesce(expected_values[1], 'unknown') || '.' END, '(?:^|[^\\pL\\pN_.])([-+]?(?:[0-9][0-9,]*(?:\\.[0-9]+)?|\\.[0-9]+))(?:[^\\pL\\pN_]|$)', 1), lambda x: try_cast(replace(x, ',', '') AS DECIMAL(38,10))), lambda x: x IS NOT NULL) AS numbers,
     list_filter(list_transform(coalesce(expected_values, []), lambda x: try_cast(replace(x, ',', '') AS DECIMAL(38,10))), lambda x: x IS NOT NULL) AS wanted
-  FROM answered),
-flagged AS (
+  FROM answered{n}),
+flagged{n} AS (
   SELECT record_no, category, context_mode, able,
     CASE WHEN able THEN answer <> '{UNSUPPORTED}' ELSE answer = '{UNSUPPORTED}' END AS refusal,
     CASE WHEN len(wanted) > 0 THEN len(list_filter(wanted, lambda w: list_contains(numbers, w))) = len(wanted) END AS numeric,
     CASE WHEN len(expected_units) > 0 THEN len(list_filter(expected_units, lambda x: contains(plain, lower(trim(x))))) = len(expected_units) END AS units,
-    CASE WHEN answerable THEN record_no % 2 = 0 AND answer <> '{UNSUPPORTED}' END AS citations
-  FROM parsed),
-scored AS (
+    CASE WHEN answerable THEN ({right}) AND answer <> '{UNSUPPORTED}' END AS citations
+  FROM parsed{n}),
+scored{n} AS (
   SELECT *, content AND refusal AND coalesce(numeric, TRUE) AND coalesce(units, TRUE) AND coalesce(citations, TRUE) AS overall
-  FROM (SELECT *, CASE WHEN able THEN coalesce(numeric, TRUE) ELSE refusal END AS content FROM flagged))"""
+  FROM (SELECT *, CASE WHEN able THEN coalesce(numeric, TRUE) ELSE refusal END AS content FROM flagged{n}))"""
+
+
 _SHOWN_NUMBER = "[-+]?(?:[0-9][0-9,]*(?:\\.[0-9]+)?|\\.[0-9]+)"
 _GUARD = "shown AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM rk JOIN u USING (chunk_id) GROUP BY query_id)"
 
@@ -223,7 +226,9 @@ SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY ran
   FROM rk a FULL JOIN dk b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id) QUALIFY r <= 20),
 kept AS (SELECT f.*, retrieval_unit_kind, row_number() OVER (PARTITION BY query_id, {_PARENT}, retrieval_unit_kind = 'table_row' ORDER BY r) AS turn FROM fused f JOIN u USING (chunk_id))
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, round(s, 6) AS score, bm25_rank, dense_rank FROM kept WHERE retrieval_unit_kind IS DISTINCT FROM 'table_row' OR turn <= 2 QUALIFY rank <= 5""",
-    "ranking_validity": "SELECT NULL::BIGINT AS query_id, 0 AS n, 0 AS last, 0 AS first, 0 AS ranks, 0 AS chunks WHERE FALSE",
+    "ranking_validity": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(20))
+    + """SELECT query_id, count(*) AS n, max(rank)::INT AS last, min(rank)::INT AS first, count(DISTINCT rank) AS ranks, count(DISTINCT chunk_id) AS chunks FROM rk
+WHERE (query_id, chunk_id) NOT IN (SELECT (facts.query_id, lineage.chunk_id) FROM facts JOIN lineage USING (element_id)) GROUP BY query_id HAVING count(*) <> max(rank) OR min(rank) <> 1 OR count(*) <> count(DISTINCT rank) OR count(*) <> count(DISTINCT chunk_id)""",
     "retrieval_per_query": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(), _evaluated("rk", "ev")) + "SELECT query_id, first_relevant_rank, n_gold, " + ", ".join(f"round({c}, 6) AS {c}" for c in _METRICS[:-1]) + " FROM ev",
     "retrieval_metrics": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(), _evaluated("rk", "ev"), _rolled("ev", "m")) + "SELECT scope, n_queries, " + ", ".join(f"round({c}, 6) AS {c}" for c in _METRICS) + " FROM m",
     "metric_deltas": _with(_U, _EX, _FACTS, _LINEAGE, _bm25(), _dense(), _evaluated("rk", "ea"), _evaluated("dk", "eb"), _rolled("ea", "ma"), _rolled("eb", "mb"))
@@ -274,7 +279,8 @@ UNION SELECT 'example without document', record_no::VARCHAR, d FROM f WHERE d NO
 UNION SELECT 'fact without element', record_no::VARCHAR, e FROM f WHERE e NOT IN (SELECT element_id FROM elements WHERE element_id IS NOT NULL)""",
     "split_overlap": _with(_RE)
     + ", s AS (SELECT DISTINCT document_id, lower(trim(split)) AS split FROM re WHERE document_id IS NOT NULL AND split IS NOT NULL) SELECT document_id, a.split AS left_split, b.split AS right_split FROM s a JOIN s b USING (document_id) WHERE a.split < b.split",
-    "offset_violations": "SELECT NULL::BIGINT AS doc_id, 0 AS chunk_index, '' AS reason WHERE FALSE",
+    "offset_violations": f"""SELECT doc_id, chunk_index, CASE WHEN length(piece) <> char_end - char_start THEN 'length' ELSE 'text' END AS reason FROM ({_WINDOWS}) JOIN (SELECT doc_id, trim(text, ' ') AS whole FROM documents) USING (doc_id)
+WHERE length(piece) <> char_end - char_start OR piece <> substr(whole, char_start + 1, char_end - char_start)""",
     "preparation_statistics": _with(_EX, _RE, _LINKED)
     + """SELECT dataset AS split, count(*) AS total, count(CASE WHEN link_status IN ('exact', 'equivalent') THEN 1 END) AS normalized, 0::BIGINT AS unlinked, count(CASE WHEN link_status = 'ambiguous' THEN 1 END) AS ambiguous,
 count(CASE WHEN link_status = 'answer_mismatch' THEN 1 END) AS answer_mismatch, 0::BIGINT AS evidence_incomplete, 0::BIGINT AS duplicates, count(*) - count(CASE WHEN link_status IN ('exact', 'equivalent') THEN 1 END) AS skipped FROM linked GROUP BY dataset""",
@@ -287,11 +293,13 @@ count(CASE WHEN link_status = 'answer_mismatch' THEN 1 END) AS answer_mismatch,
     + f""", c AS (SELECT query_id, count(*) AS n, string_agg('[Source ' || rank || ' | page ' || coalesce({_PAGE}, '?') || ' | chunk_id ' || chunk_id || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM rk JOIN u USING (chunk_id) GROUP BY query_id)
 SELECT query_id, md5('Retrieved context:' || chr(10) || chr(10) || coalesce(context, '{NO_CONTEXT}') || chr(10) || chr(10) || 'Question:' || chr(10) || trim(query_text, ' ')) AS user_md5, coalesce(n, 0) AS n_sources FROM ex LEFT JOIN c USING (query_id)""",
     "citations": _with(_U, _EX, _bm25(3)) + f"SELECT query_id, rank AS source_number, chunk_id, {_PAGE} AS page_label FROM rk JOIN u USING (chunk_id)",
-    "answer_assessment": _with(_RE, _ANSWERED) + f"SELECT record_no, {', '.join(_CHECKS)} FROM scored",
-    "answer_metrics": _with(_RE, _ANSWERED)
+    "answer_assessment": _with(_RE, _answered()) + f"SELECT record_no, {', '.join(_CHECKS)} FROM scored",
+    "answer_metrics": _with(_RE, _answered())
     + "SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(context_mode) = 0 THEN 'context_mode' ELSE 'all' END AS scope, CASE WHEN grouping(category) = 0 THEN category WHEN grouping(context_mode) = 0 THEN context_mode ELSE 'all' END AS value, "
     + ", ".join(f"count(CASE WHEN {c} THEN 1 END) AS {c}_correct, count({c}) AS {c}_count" for c in _CHECKS)
     + " FROM scored GROUP BY GROUPING SETS ((category), (context_mode), ())",
+    "answer_differences": _with(_RE, _answered(), _answered("TRUE", "2"), *[f"rolled{n} AS (SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(context_mode) = 0 THEN 'context_mode' ELSE 'all' END AS scope, CASE WHEN grouping(category) = 0 THEN category WHEN grouping(context_mode) = 0 THEN context_mode ELSE 'all' END AS value, " + ", ".join(f"count(CASE WHEN {c} THEN 1 END) / nullif(count({c}), 0) AS {c}" for c in _CHECKS) + f" FROM scored{n} GROUP BY GROUPING SETS ((category), (context_mode), ()))" for n in ("", "2")])
+    + " UNION ALL ".join(f"SELECT a.scope, a.value, '{c}' AS check_name, round(a.{c}, 6) AS base, round(b.{c}, 6) AS other, round(b.{c} - a.{c}, 6) AS delta FROM rolled a JOIN rolled2 b USING (scope, value)" for c in _CHECKS),
     "budget_trim": _with(_U, _EX, _FACTS, _LINEAGE, _bm25())
     + """, g AS (SELECT DISTINCT facts.query_id, lineage.chunk_id FROM facts JOIN lineage USING (element_id)),
 c AS (SELECT rk.query_id, rk.chunk_id, rk.rank, len(regexp_extract_all(u.text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\pZ\\x0b\\x85]')) AS n, g.chunk_id IS NOT NULL AS is_gold FROM rk JOIN u USING (chunk_id) LEFT JOIN g ON g.query_id = rk.query_id AND g.chunk_id = rk.chunk_id),
@@ -373,5 +381,6 @@ SELECT query_id, dataset, source_split, {_ASSIGNED} AS split, group_id AS docume
   CASE WHEN oracle THEN 'oracle_augmented' ELSE 'retrieved' END AS context_mode, program IS NOT NULL AS calculation_supervised, u_status AS unit_status, program AS reasoning_program, kept < total AS context_trimmed,
   ({_count(f"'{INSTRUCTION}'")} + {_count('asks')} + {_count('says')})::INT AS sequence_token_count, answer AS expected_values, coalesce(array_to_string(u_units, ','), '') AS expected_units, array_to_string(gold_ids, ',') AS gold_source_element_ids, gold_numbers AS gold_source_numbers,
   chunks AS source_chunk_ids, put AS oracle_injected_chunk_ids, put_numbers AS oracle_injected_source_numbers, md5('system:{INSTRUCTION}|user:' || asks || '|assistant:' || says) AS messages_md5 FROM g""",
+    "windowed_event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "json_props": "SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type",
 }

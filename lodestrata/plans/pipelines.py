@@ -27,9 +27,13 @@ def _check_splits(splits: Sequence[str]) -> list[str]:
 
 
 def prepare_finqa(spark: SparkSession, source: str, files: dict[str, str], target: str, revision: str, seed: str = "evidence-sample") -> dict:
-    """Write documents, elements and examples of each split, samples of them, and a manifest."""
+    """Write documents, elements and examples of each split, samples of them, and a manifest.
+
+    An example or a document in two splits raises; reports that splits share are written down.
+    """
     counts: dict[str, dict] = {}
     examples_of: dict[str, DataFrame] = {}
+    documents_of: DataFrame | None = None
     for split in _check_splits(list(files)):
         raw = readers.finqa_split(spark, source, files[split])
         tables = {"documents": normalize.finqa_documents(raw, split), "elements": normalize.finqa_elements(raw), "examples": normalize.finqa_examples(raw, split)}
@@ -44,11 +48,19 @@ def prepare_finqa(spark: SparkSession, source: str, files: dict[str, str], targe
             for name in ("documents", "elements"):
                 sinks.write_json_lines(tables[name].join(documents, "document_id", "left_semi"), f"{target}/samples/{split}/{name}")
         examples_of[split] = tables["examples"].select("example_id", F.lit(split).alias("split"))
+        parts = F.filter(F.split("source_uri", "/"), lambda p: ~p.isin("", "."))
+        report = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).otherwise(F.col("document_id"))
+        placed = tables["documents"].select("document_id", report.alias("report_id"), F.lit(split).alias("split"))
+        documents_of = placed if documents_of is None else documents_of.unionByName(placed)
     whole = None
     for df in examples_of.values():
         whole = df if whole is None else whole.unionByName(df)
     integrity.require_none(integrity.split_overlaps(whole, "example_id"), "examples are in two splits")
-    manifest = {"dataset": "finqa", "revision": revision, "splits": counts}
+    integrity.require_none(integrity.split_overlaps(documents_of, "document_id"), "documents are in two splits")
+    shared = cut(integrity.split_overlaps(documents_of, "report_id"))
+    sinks.write_json_lines(shared, f"{target}/shared_reports", key="report_id")
+    overlaps = [r.asDict() for r in shared.groupBy("left_split", "right_split").agg(F.count(F.lit(1)).alias("n_reports")).orderBy("left_split", "right_split").collect()]
+    manifest = {"dataset": "finqa", "revision": revision, "splits": counts, "shared_reports": overlaps}
     sinks.write_manifest(f"{target}/manifest.json", manifest)
     return manifest
 
@@ -232,6 +244,13 @@ def export_chat(spark: SparkSession, targets: Sequence[str], target: str, splits
     return artifacts
 
 
+def export_units(units: DataFrame, target: str) -> dict:
+    """Write units as canonical lines, fields that hold their default left out."""
+    derived = F.col("retrieval_unit_kind") != "chunk"
+    lean = units.withColumn("retrieval_unit_kind", F.when(derived, F.col("retrieval_unit_kind"))).withColumn("parent_source_element_ids", F.when(F.size("parent_source_element_ids") > 0, F.col("parent_source_element_ids")))
+    return sinks.write_json_lines(lean, target, key="chunk_id")
+
+
 def read_prepared(spark: SparkSession, target: str, split: str) -> dict[str, DataFrame]:
     """documents, elements and examples of a prepared split; the manifest must name the split."""
     found = readers.manifest(f"{target}/manifest.json")
@@ -240,6 +259,40 @@ def read_prepared(spark: SparkSession, target: str, split: str) -> dict[str, Dat
     return {name: spark.read.json(f"{target}/{split}/{name}") for name in KEYS}
 
 
+def _differing(spark: SparkSession, target: str, found: dict, split: str) -> DataFrame:
+    """The tables of a split whose lines aren't those that the manifest counted and hashed."""
+    told = found.get("artifacts", found["splits"]).get(split, {})
+    wrong = [name for name in KEYS if told.get(name) != sinks.artifact(spark, f"{target}/{split}/{name}")]
+    return spark.createDataFrame([("file differs from manifest", split, name) for name in wrong], "check_name string, split string, row_key string")
+
+
+def validate_finqa(spark: SparkSession, target: str) -> DataFrame:
+    """(check_name, split, row_key) of whatever is wrong with a prepared data set of single pages; none if it is sound."""
+    found = readers.manifest(f"{target}/manifest.json", "finqa")
+    named = lambda df, check, split, key: df.select(F.lit(check).alias("check_name"), F.lit(split).alias("split"), F.col(key).cast("string").alias("row_key"))
+    parts: list[DataFrame] = []
+    ids: DataFrame | None = None
+    for split in found["splits"]:
+        t = read_prepared(spark, target, split)
+        facts = t["examples"].select("example_id", F.explode("supporting_facts.element_id").alias("element_id"))
+        asked = t["examples"].select("example_id", F.col("question.document_id").alias("document_id"))
+        parts.append(_differing(spark, target, found, split))
+        parts += [named(integrity.duplicate_keys(t[name], [key]), f"{name[:-1]} repeats", split, key) for name, key in KEYS.items()]
+        parts += [
+            named(t["elements"].join(t["documents"], "document_id", "left_anti"), "element without document", split, "element_id"),
+            named(asked.join(t["documents"], "document_id", "left_anti"), "example without document", split, "example_id"),
+            named(integrity.missing_parents(facts, "example_id", "element_id", t["elements"], "element_id", "fact"), "fact without element", split, "row_key"),
+        ]
+        own = t["examples"].select("example_id", F.lit(split).alias("split"))
+        ids = own if ids is None else ids.unionByName(own)
+    if ids is not None:
+        parts.append(named(integrity.split_overlaps(ids, "example_id"), "example in two splits", None, "example_id"))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 def validate_docfinqa(spark: SparkSession, target: str) -> DataFrame:
     """(check_name, split, row_key) of whatever is wrong with a prepared long-document data set; none if it is sound."""
     found = readers.manifest(f"{target}/manifest.json", "docfinqa")
@@ -247,9 +300,7 @@ def validate_docfinqa(spark: SparkSession, target: str) -> DataFrame:
     named = lambda df, check, split, key: df.select(F.lit(check).alias("check_name"), F.lit(split).alias("split"), F.col(key).cast("string").alias("row_key"))
     ids: DataFrame | None = None
     for split, stats in found["splits"].items():
-        told = found.get("artifacts", {}).get(split, {})
-        wrong = [name for name in KEYS if told.get(name) != sinks.artifact(spark, f"{target}/{split}/{name}")]
-        parts.append(spark.createDataFrame([("file differs from manifest", split, name) for name in wrong], "check_name string, split string, row_key string"))
+        parts.append(_differing(spark, target, found, split))
         sums = spark.createDataFrame([tuple(int(stats.get(c, 0)) for c in STATISTICS)], ", ".join(f"{c} long" for c in STATISTICS))
         parts.append(named(integrity.statistics_violations(sums), "statistics don't add up", split, "total"))
         t = {n: spark.read.schema(s).json(f"{target}/{split}/{n}") for n, s in PREPARED.items()}

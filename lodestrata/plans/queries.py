@@ -17,6 +17,7 @@ from lodestrata.operators import chunker, constraints, evaluation, export, integ
 from lodestrata.operators.windows import char_windows, latest
 from lodestrata.session import cut
 from lodestrata.sources.tables import table
+from lodestrata.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIMENSIONS = 32
@@ -165,7 +166,10 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ranking_validity(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.invalid_rankings(_bm25(spark, folder))
+    """Rankings that have gaps after their gold was taken out and before they are ranked anew."""
+    units = _units(spark, folder, *_LINEAGE)
+    touching = linkage.lineage(units).join(_facts(spark, folder).select("query_id", "element_id"), "element_id").select("query_id", "chunk_id")
+    return ranking.invalid_rankings(_bm25(spark, folder, 20).join(touching, ["query_id", "chunk_id"], "left_anti"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------
@@ -205,8 +209,9 @@ def input_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_tables(spark: SparkSession, folder: str, html: bool) -> DataFrame:
-    """One unit per order that holds the order's lines as a table under a heading and a sentence."""
+    """One unit per order that holds the order's lines as a table under a heading and a sentence; returned lines stand in it twice."""
     o, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    lines = lines.unionByName(lines.where("l_returnflag = 'R'"))
     text_of = [F.col(c).cast("long").cast("string") for c in ("l_linenumber", "l_partkey", "l_quantity")]
     row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *text_of), F.lit("</td></tr>")) if html else F.concat(F.lit("| "), F.concat_ws(" | ", *text_of), F.lit(" |"))
     rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))).alias("r"))
@@ -335,8 +340,9 @@ def split_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def offset_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of the texts as delivered that don't fit the texts without blanks around them."""
     d = table(spark, folder, "documents")
-    return integrity.offset_violations(char_windows(d), "doc_id", d.select("doc_id", "text"))
+    return integrity.offset_violations(char_windows(d), "doc_id", d.select("doc_id", F.trim("text").alias("text")))
 
 
 def preparation_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -371,12 +377,12 @@ def citations(spark: SparkSession, folder: str) -> DataFrame:
     return prompts.citations(_bm25(spark, folder, 3), _units(spark, folder, "page_start", "page_end"))
 
 
-def _answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Reference answers in the words a model might use, with what the export expects of them."""
+def _answers(spark: SparkSession, folder: str, sure: bool = False) -> DataFrame:
+    """Reference answers in the words a model might use, with what the export expects of them; a sure one cites the right source."""
     e = _exports(spark, folder)
     value = F.try_element_at(F.col("expected_values"), F.lit(1))
     said = F.when(~F.col("answerable") & (F.col("record_no") % 3 != 0), prompts.UNSUPPORTED).otherwise(
-        F.concat(F.lit("From 1 + 2 = 3 and the notes, the answer is "), F.coalesce(value, F.lit("unknown")), F.when(F.col("record_no") % 2 == 0, F.lit(" [Source 1].")).otherwise(F.lit(" [Source 7].")))
+        F.concat(F.lit("From 1 + 2 = 3 and the notes, the answer is "), F.coalesce(value, F.lit("unknown")), F.when(F.lit(sure) | (F.col("record_no") % 2 == 0), F.lit(" [Source 1].")).otherwise(F.lit(" [Source 7].")))
     )
     return e.select(
         "record_no", "category", "context_mode", said.alias("answer"), F.coalesce("answerable", F.lit(False)).alias("answerable"), "expected_values", "expected_units",
@@ -393,6 +399,12 @@ def answer_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("scope", "value", *[f"{c}_{x}" for c in scoring.CHECKS for x in ("correct", "count")])
 
 
+def answer_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy of two models' answers by category and context mode, and what the second gains."""
+    base, other = (scoring.answer_metrics(scoring.assess(_answers(spark, folder, sure))) for sure in (False, True))
+    return scoring.metric_differences(base, other).select("scope", "value", "check_name", *[F.round(c, 6).alias(c) for c in ("base", "other", "delta")])
+
+
 def refusal_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the ranked context of a question gives its answer away."""
     shown = _bm25(spark, folder, 3).join(_units(spark, folder, "text"), "chunk_id")
@@ -500,6 +512,12 @@ def _held(query: Query) -> Query:
     return run
 
 
+def windowed_event_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The streaming aggregation, over a table at rest."""
+    counts = ingest.windowed_counts(table(spark, folder, "events"))
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__.rstrip("_"): _held(f)
     for f in (
@@ -507,7 +525,7 @@ QUERIES: dict[str, Query] = {
         rrf_fusion, parent_diverse_topk, hybrid_search, ranking_validity, retrieval_per_query, retrieval_metrics, metric_deltas, input_counts, table_row_units, pipe_row_units,
         narrative_units, row_units_of_units, parent_lookup, markdown_chunks, qa_link_status, evidence_match, gold_lineage_map, gold_context, gold_removed_topk, gold_sufficiency,
         sample_by_hash, sample_per_split, split_80_10_10, refusal_sample, entity_conflicts, fk_violations, split_overlap, offset_violations, preparation_statistics, export_histograms,
-        table_fingerprint, grounded_prompts, citations, answer_assessment, answer_metrics, refusal_guard, unit_inference, oracle_augment, budget_trim, training_records,
-        training_record_violations, refusal_records, benchmark_units, training_units, unit_rules, element_rules, plain_chat_records, json_props,
+        table_fingerprint, grounded_prompts, citations, answer_assessment, answer_metrics, answer_differences, refusal_guard, unit_inference, oracle_augment, budget_trim, training_records,
+        training_record_violations, refusal_records, benchmark_units, training_units, unit_rules, element_rules, plain_chat_records, json_props, windowed_event_counts,
     )
 }

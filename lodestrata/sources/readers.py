@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import tomllib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.operators.normalize import DOCFINQA_RAW, FINQA_RAW
-from lodestrata.sources.sinks import read_small
+from lodestrata.sources.sinks import exists, read_small
 
 _CHUNK = "struct<chunk_id:string, document_id:string, text:string, page_start:int, page_end:int, source_element_ids:array<string>>"
 SUITE = (
@@ -20,7 +21,19 @@ SUITE = (
 
 
 def contained(root: str, relative: str) -> str:
-    """The path below root; one that leads out of it or to no file raises."""
+    """The path below root; one that leads out of it or to no file raises.
+
+    A root with a scheme is looked up on the file system it names, where no links lead elsewhere.
+    """
+    if "://" in root:
+        scheme, _, place = root.rstrip("/").partition("://")
+        path = posixpath.normpath(posixpath.join("/" + place, relative))
+        if not path.startswith(posixpath.normpath("/" + place) + "/"):
+            raise ValueError(f"{relative!r} leads out of {root!r}")
+        found = f"{scheme}://{path[1:]}"
+        if not exists(found):
+            raise FileNotFoundError(found)
+        return found
     base = Path(root).resolve()
     path = (base / relative).resolve()
     if not path.is_relative_to(base):

@@ -189,13 +189,47 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "s.toml").write_text('revision = "%s"\n[files]\ntest = "a.json"\n' % ("0" * 40))
     out = str(tmp_path / "out")
     assert cli.main(["prepare", str(tmp_path / "s.toml"), str(tmp_path), out]) == 0
+    assert cli.main(["validate", out]) == 0
     for retriever in ("bm25", "dense", "hybrid"):
         assert cli.main(["benchmark", retriever, out, "--target", str(tmp_path / retriever)] + (["--baseline", str(tmp_path / "bm25")] if retriever != "bm25" else [])) == 0
     assert cli.main(["export-training", out, "--target", str(tmp_path / "rag"), "--split", "test"]) == 0
     assert cli.main(["export-chat", out, "--target", str(tmp_path / "chat"), "--split", "test"]) == 0
     lines = [line for f in (tmp_path / "chat/test").glob("*.txt") for line in f.read_text().splitlines()]
     assert [m["role"] for m in json.loads(lines[0])["messages"]] == ["system", "user", "assistant"]
+    for f in (tmp_path / "out/test/elements").glob("*.txt"):
+        f.write_text("")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
     capsys.readouterr()
+    assert cli.main(["validate", out]) == 1
+    assert {r["check_name"] for r in json.loads(capsys.readouterr().out)} == {"file differs from manifest", "fact without element"}
+
+
+def test_splits_share_reports_but_no_pages(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([raw(1), raw(2)]))
+    (tmp_path / "b.json").write_text(json.dumps([raw(3)]))
+    (tmp_path / "c.json").write_text(json.dumps([raw(2) | {"id": "other"}]))
+    m = pipelines.prepare_finqa(spark, str(tmp_path), {"test": "a.json", "train": "b.json"}, str(tmp_path / "x"), "0" * 40)
+    assert m["shared_reports"] == [{"left_split": "test", "right_split": "train", "n_reports": 1}]
+    with pytest.raises(ValueError, match="documents are in two splits"):
+        pipelines.prepare_finqa(spark, str(tmp_path), {"test": "a.json", "train": "c.json"}, str(tmp_path / "y"), "0" * 40)
+
+
+def test_exported_units_leave_defaults_out(spark, tmp_path):
+    rows = [("a", "chunk", None, []), ("b", "table_row", "a", ["e"])]
+    units = spark.createDataFrame(rows, "chunk_id string, retrieval_unit_kind string, parent_chunk_id string, parent_source_element_ids array<string>")
+    assert pipelines.export_units(units, str(tmp_path / "u"))["records"] == 2
+    lines = sorted(line for f in (tmp_path / "u").glob("*.txt") for line in f.read_text().splitlines())
+    assert lines == ['{"chunk_id":"a"}', '{"chunk_id":"b","parent_chunk_id":"a","parent_source_element_ids":["e"],"retrieval_unit_kind":"table_row"}']
+
+
+def test_paths_on_named_file_systems(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.json").write_text("[]")
+    root = f"file://{tmp_path}/a"
+    assert readers.contained(root, "x.json") == f"{root}/x.json"
+    for wrong, error in (("../b", ValueError), ("y.json", FileNotFoundError)):
+        with pytest.raises(error):
+            readers.contained(root, wrong)
 
 
 def test_settings_come_from_the_environment():
