@@ -55,6 +55,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(_WORDS_JAVA), F.lit(0))
 
 
+def numbers_of(line: Column) -> Column:
+    """The words of a line that are numbers, in order."""
+    return F.filter(F.split(line, " "), lambda w: w.rlike(r"^\p{N}"))
+
+
 def _lost(n: int) -> int:
     """Words of a text of n that may lie outside of shared spans."""
     return int((1 - COVERAGE) * n + 1e-9)
@@ -142,7 +147,7 @@ def text_links(texts: DataFrame, short: int = SHORT) -> DataFrame:
     without words are alike to none.
     """
     words = F.split("line", " ")
-    numbers = F.filter(words, lambda w: w.rlike(r"^\p{N}"))
+    numbers = numbers_of(F.col("line"))
     held = texts.where(F.col("line") != "").withColumn("numbers", numbers).withColumn("lead", F.xxhash64(F.array_join("numbers", " ")))
     n = F.size(words)
     # of the longer text, which is at most a quarter longer; a slip in a short one is a word outside
@@ -253,34 +258,55 @@ def document_pairs(documents: DataFrame, elements: DataFrame) -> DataFrame:
     source_text, ...), deleted or not. More than half of the elements of the longer document must
     have a counterpart in the other with an equal or alike text, counted on both sides. A document
     listed in train and in another split is a pair with itself. Documents without split or elements
-    match nothing else. Documents meet over the rarer part of the train document's elements only, so
-    boilerplate brings none together, and a document that holds a third of all elements is compared
-    with those that may match half of it.
+    match nothing else. Documents meet over that part of the train document's elements that has the
+    fewest possible counterparts, so boilerplate brings none together; all texts are compared only
+    of documents that met. A document that holds a third of all elements meets those that may match
+    half of it.
     """
     trim = lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
     sides = split_sides(documents, trim(F.col("document_id")), F.try_element_at(F.col("metadata"), F.lit("split")))
     once = latest_delivery(elements, "element_id", ["document_id", "source_text"])
     placed = once.select(trim(F.col("document_id")).alias("key"), F.array_join(words_of(F.col("source_text")), " ").alias("line")).join(sides, "key")
-    placed = cut(placed.withColumn("text_key", F.unhex(F.md5("line"))).withColumn("line", F.coalesce("line", F.lit(""))))
-    texts = placed.groupBy("text_key").agg(F.any_value("line").alias("line"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
-    links = text_links(texts)
-    same = texts.where("in_train AND in_eval AND line <> ''").select(F.col("text_key").alias("x"), F.col("text_key").alias("y"))
-    links = cut(links.unionByName(same))
-
+    placed = cut(placed.withColumn("line", F.coalesce("line", F.lit(""))).withColumn("text_key", F.unhex(F.md5("line"))))
+    texts = placed.where("line <> ''").groupBy("text_key").agg(F.any_value("line").alias("line"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
+
+    # a text that nothing on the other side can be like is no counterpart: its numbers must be there
+    numbers = numbers_of(F.col("line"))
+    named = texts.select("text_key", "in_train", "in_eval", F.xxhash64(F.array_join(numbers, " ")).alias("lead"), (F.size(numbers) >= MANY - 1).alias("many"))
+    others = named.groupBy("lead").agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e"))
+    hot = named.join(others, "lead").select("text_key", F.when(F.col("many"), F.col("e") + 1).otherwise(F.col("e")).alias("e_hot"), F.when(F.col("many"), F.col("t") + 1).otherwise(F.col("t")).alias("t_hot"))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    held = placed.where("line <> ''").groupBy("key", "in_train", "in_eval", "text_key").agg(F.count(F.lit(1)).alias("times")).join(sizes, "key")
-    of = lambda flag, names: held.where(flag).select(*[F.col(c).alias(o) for c, o in zip(("key", "text_key", "times", "size"), names)])
-    train, other = of("in_train", ("t", "x", "t_times", "t_size")), of("in_eval", ("e", "y", "e_times", "e_size"))
-    # documents on the other side that hold a counterpart of a text
-    reach = links.join(other.groupBy("y").agg(F.count(F.lit(1)).alias("df")), "y").groupBy("x").agg(F.sum("df").alias("df"))
-    able = cut(train.join(reach, "x"))
-    enough = able.groupBy("t").agg(F.sum("t_times").alias("able"), F.max("t_size").alias("s")).where("2 * able > s").select("t", "able")
-    # more than half of the elements have a counterpart, so one of the rarer ones has
-    before = F.coalesce(F.sum("t_times").over(Window.partitionBy("t").orderBy("df", "x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rarer = able.join(enough, "t").withColumn("before", before).where(F.col("before") <= F.col("able") - F.floor(F.col("t_size") / 2) - 1)
-    met = rarer.select("t", "x", "t_size").join(links, "x").join(other.select("e", "y", "e_size"), "y")
-    met = met.where((F.col("t") != F.col("e")) & (2 * F.least("t_size", "e_size") > F.greatest("t_size", "e_size"))).select("t", "e", F.greatest("t_size", "e_size").alias("longer")).distinct()
-    matched = cut(met.join(able.select("t", "x", "t_times"), "t").join(links, "x").join(other.select("e", "y", "e_times"), ["e", "y"]))
+    held = placed.where("line <> ''").groupBy("key", "in_train", "in_eval", "text_key").agg(F.count(F.lit(1)).alias("times")).join(sizes, "key").join(hot, "text_key")
+    held = cut(held)
+
+    def side(flag: str, heat: str, names: tuple[str, str, str, str]) -> DataFrame:
+        """Elements that may have a counterpart, of documents of which more than half may, with what they may lack."""
+        rows = held.where(flag).where(F.col(heat) > 0).select(*[F.col(c).alias(o) for c, o in zip(("key", "text_key", "times", "size"), names)], F.floor(4 * F.log2(heat)).cast("int").alias("hot"))
+        key, _, times, size = names
+        able = rows.groupBy(key).agg(F.sum(times).alias("able"), F.max(size).alias("_s")).where("2 * able > _s").select(key, "able")
+        return rows.join(able, key)
+
+    train, other = side("in_train", "e_hot", ("t", "x", "t_times", "t_size")), side("in_eval", "t_hot", ("e", "y", "e_times", "e_size"))
+
+    def linked(xs: DataFrame, ys: DataFrame) -> DataFrame:
+        """(x, y) of equal and alike texts among those of xs (x) and ys (y)."""
+        sides = xs.select(F.col("x").alias("text_key"), F.lit(True).alias("t"), F.lit(False).alias("e")).unionByName(ys.select(F.col("y").alias("text_key"), F.lit(False).alias("t"), F.lit(True).alias("e")))
+        some = cut(sides.groupBy("text_key").agg(F.max("t").alias("in_train"), F.max("e").alias("in_eval")).join(texts.select("text_key", "line"), "text_key"))
+        return cut(text_links(some).unionByName(some.where("in_train AND in_eval").select(F.col("text_key").alias("x"), F.col("text_key").alias("y"))))
+
+    # more than half of the elements have a counterpart, so one of those in the smallest partitions
+    # has; elements are taken by degrees of size, of which a document has a few hundred at most
+    degrees = train.groupBy("t", "hot").agg(F.sum("t_times").alias("n"), F.max("able").alias("able"), F.max("t_size").alias("t_size"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("t").orderBy("hot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    enough = degrees.withColumn("before", before).where(F.col("before") <= F.col("able") - F.floor(F.col("t_size") / 2) - 1).select("t", "hot")
+    chosen = cut(train.join(enough, ["t", "hot"]).select("t", "x", "t_size"))
+    met = chosen.join(linked(chosen, other), "x").join(other.select("e", "y", "e_size"), "y")
+    met = cut(met.where((F.col("t") != F.col("e")) & (2 * F.least("t_size", "e_size") > F.greatest("t_size", "e_size"))).select("t", "e", F.greatest("t_size", "e_size").alias("longer")).distinct())
+    # of documents that met all texts are compared
+    train = cut(train.select("t", "x", "t_times").join(met.select("t").distinct(), "t", "left_semi"))
+    other = cut(other.select("e", "y", "e_times").join(met.select("e").distinct(), "e", "left_semi"))
+    links = linked(train, other)
+    matched = cut(met.join(train, "t").join(links, "x").join(other, ["e", "y"]))
     counted = lambda text, times, name: matched.select("t", "e", "longer", text, times).distinct().groupBy("t", "e", "longer").agg(F.sum(times).alias(name))
     both = counted("x", "t_times", "of_t").join(counted("y", "e_times", "of_e"), ["t", "e", "longer"])
     pairs = both.where(2 * F.least("of_t", "of_e") > F.col("longer")).select(F.least("t", "e").alias("left_key"), F.greatest("t", "e").alias("right_key"))

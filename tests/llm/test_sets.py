@@ -140,6 +140,35 @@ def test_near_copies_that_share_only_common_wording(spark):
     assert got == expected and len(got) == 60
 
 
+def test_documents_equal_brute_force(spark):
+    """Documents of boilerplate, of own text and of both, copied with changes, repeated and missing elements; one holds a third of all."""
+    rnd = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in ("lor", "mip", "dol", "sit") for b in ("em", "sum", "or", "us", "tet")]
+    own = lambda: [rnd.choice(vocabulary) for _ in range(12)] + [str(rnd.randrange(1000)), "in", str(rnd.randrange(2000, 2020))]
+    boilerplate = [["estimates", "of", "this", "kind", *[rnd.choice(vocabulary) for _ in range(8)]] for _ in range(4)]
+    docs = {}
+    for i in range(24):
+        docs[f"d{i}"] = [rnd.choice(boilerplate) if rnd.random() < (0.2, 0.5, 0.9)[i % 3] else own() for _ in range(rnd.choice([1, 3, 5, 8]))]
+    docs["big"] = [own() for _ in range(60)]
+    for name in [*docs]:
+        copy = [list(e) for e in docs[name] if rnd.random() > 0.15]
+        for e in copy:
+            if rnd.random() < 0.4:
+                e[rnd.randrange(10)] = rnd.choice(vocabulary)
+        docs[f"{name}-copy"] = copy + [own() for _ in range(rnd.choice([0, 0, 1, 2]))]
+    side = {k: rnd.choice(["train", "test", "dev"]) if "copy" not in k else rnd.choice(["train", "test"]) for k in docs}
+    want = set()
+    for t, e in ((t, e) for t in docs for e in docs if side[t] == "train" and side[e] != "train"):
+        near = [[overlap.alike(x, y) for y in docs[e]] for x in docs[t]]
+        n = min(sum(map(any, near)), sum(map(any, zip(*near))))
+        if 2 * n > max(len(docs[t]), len(docs[e])):
+            want.add((min(t, e), max(t, e)))
+    d = spark.createDataFrame([(k, {"split": v}) for k, v in side.items()], "document_id string, metadata map<string,string>")
+    rows = [(f"{k}:{i}", k, " ".join(e)) for k, body in docs.items() for i, e in enumerate(body)]
+    e = spark.createDataFrame(rows, "element_id string, document_id string, source_text string").withColumn("received_at", F.lit(None).cast("timestamp_ntz"))
+    assert {tuple(r) for r in overlap.document_pairs(d, e).collect()} == want and len(want) > 8
+
+
 def test_questions_across_splits(spark):
     q = lambda n, split, text: (n, split, text)
     rows = [q(9, "train", "what was the goodwill of Acmex in 2015?"), q(10, "TEST", "how much goodwill did Acmex report for 2015?"), q(11, "Training", "how much goodwill did Acmex report for FY15?"), q(12, None, "how much goodwill did Acmex report for 2015?"), q(13, "val", None), q(9, "train", "what was the goodwill of Acmex in 2015?")]
