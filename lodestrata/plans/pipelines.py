@@ -252,11 +252,12 @@ def export_units(units: DataFrame, target: str) -> dict:
 
 
 def read_prepared(spark: SparkSession, target: str, split: str) -> dict[str, DataFrame]:
-    """documents, elements and examples of a prepared split; the manifest must name the split."""
+    """documents, elements and examples of a prepared split; the manifest must name the split. Empty files give empty tables."""
     found = readers.manifest(f"{target}/manifest.json")
     if split not in found.get("splits", {}):
         raise ValueError(f"{target} holds no split {split!r}")
-    return {name: spark.read.json(f"{target}/{split}/{name}") for name in KEYS}
+    read = {name: spark.read.json(f"{target}/{split}/{name}") for name in KEYS}
+    return {name: df if KEYS[name] in df.columns else spark.createDataFrame([], EMPTY[name]) for name, df in read.items()}
 
 
 def _differing(spark: SparkSession, target: str, found: dict, split: str) -> DataFrame:
@@ -327,6 +328,11 @@ def validate_docfinqa(spark: SparkSession, target: str) -> DataFrame:
     return whole
 
 
+EMPTY = {
+    "documents": "document_id string, file_name string, source_uri string",
+    "elements": "element_id string, document_id string, element_type string, source_text string, page_number int, parent_element_id string, table_coordinates struct<table_id:string, row_index:int>",
+    "examples": "example_id string, dataset string, question struct<document_id:string, text:string>, reference_answer struct<text:string>, supporting_facts array<struct<source_key:string, element_id:string>>",
+}
 STATISTICS = ("total", "normalized", "unlinked", "ambiguous", "answer_mismatch", "evidence_incomplete", "duplicates", "skipped")
 PREPARED = {
     "documents": "document_id string, text string",
