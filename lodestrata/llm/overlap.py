@@ -16,13 +16,17 @@ for another, since a title of another firm or measure is no copy; but one word m
 Which suffixes have to be there: if at most d words of a text are outside of the spans, one of its
 d + 1 rarest words is inside, and the rarest word that both texts hold is among those of either. So
 no pair is missed, and suffixes at more frequent words aren't needed.
+
+Pairs of fewer than ten words need none of this. What differs is one word, so they are brought
+together by the text without it, or with one letter of it left out: titles that share all but the
+firm's name would otherwise all meet, and their pairs grow with the square of the data.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -31,7 +35,9 @@ from lodestrata.llm.deliveries import latest_delivery
 from lodestrata.functions.quantities import one_slip
 from lodestrata.llm.figures import figure
 from lodestrata.llm.names import split_name
-from lodestrata.session import cut
+from lodestrata.session import cut as _cut
+
+cut = partial(_cut, release=True)
 
 #: Share of the words of either text that must lie in shared spans.
 COVERAGE = 0.8
@@ -127,6 +133,39 @@ def alike(a: Sequence[str], b: Sequence[str], short: int = SHORT) -> bool:
     return max(len(x), len(y)) <= _lost(longer) or outside_spans(x, y, _lost(longer)) <= _lost(longer)
 
 
+def _meeting_short(held: DataFrame) -> DataFrame:
+    """(x, y): ids of all pairs of fewer than SHORT words that may be alike, and of few others.
+
+    held: (id, line, in_train, in_eval, n, ...). Either one word is a slip away, so that both have a
+    letter left out in the same place of the same words or one of them has, or the longer one, of
+    which at most one word may be lost, has a word left out.
+    """
+    words = F.split("line", " ")
+    at = lambda start, length: F.array_join(F.slice(words, start, length), " ")
+
+    def changed(i: Column, to: Column) -> Column:
+        return F.xxhash64(F.concat_ws("\t", at(F.lit(1), i), to, at(i + 2, F.size(words))))
+
+    def slips(i: Column) -> Column:
+        word = F.get(words, i)
+        spelled = F.transform(F.sequence(F.lit(0), F.length(word)), lambda j: changed(i, F.concat(F.substr(word, F.lit(1), j), F.substr(word, j + 2))))
+        return F.when(word.rlike(r"^\p{N}") | (F.length(word) < 3), F.array().cast("array<bigint>")).otherwise(spelled)
+
+    def left_out(i: Column) -> Column:
+        return F.xxhash64(F.concat_ws(" ", F.filter(F.array(at(F.lit(1), i), at(i + 2, F.size(words))), lambda s: s != "")))
+
+    places = F.sequence(F.lit(0), F.size(words) - 1)
+    few = held.where(F.col("n") < SHORT)
+
+    def rows(marks: Column, flag: str, name: str) -> DataFrame:
+        return few.where(flag).select(F.col("id").alias(name), F.explode(F.array_distinct(marks)).alias("part"))
+
+    slip = F.flatten(F.transform(places, slips))
+    lacking = F.when(F.col("n") * (1 - COVERAGE) + 1e-9 >= 1, F.transform(places, left_out)).otherwise(F.array().cast("array<bigint>"))
+    whole = F.array(F.xxhash64("line"))
+    return reduce(DataFrame.unionByName, [rows(a, "in_train", "x").join(rows(b, "in_eval", "y"), "part").select("x", "y") for a, b in ((slip, slip), (lacking, whole), (whole, lacking))])
+
+
 _LINK = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
 
 
@@ -161,7 +200,9 @@ def text_links(texts: DataFrame, short: int = SHORT) -> DataFrame:
     # texts of equal numbers, where both sides have some
     sides = held.groupBy("lead").agg(F.max("in_train").alias("t"), F.max("in_eval").alias("e"), F.count(F.lit(1)).alias("k"))
     met = held.join(sides.where("t AND e AND k > 1").select("lead"), "lead", "left_semi")
-    met = cut(met.select("lead", "id", "in_train", "in_eval", F.col("n").cast("int").alias("n"), "room", "marks"))
+    near = _meeting_short(met)
+    # of a pair of fewer than SHORT words that is all; the others' longer text has at least so many
+    met = cut(met.where(F.floor(n / F.lit(COVERAGE) + 1e-9) >= SHORT).select("lead", "id", "in_train", "in_eval", F.col("n").cast("int").alias("n"), "room", "marks"))
     starts = met.select("lead", "id", "in_train", "in_eval", "n", "room", F.explode("marks").alias("mark"))
     df = starts.groupBy("lead", "mark").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e"))
     ranked = starts.join(df, ["lead", "mark"])
@@ -184,9 +225,9 @@ def text_links(texts: DataFrame, short: int = SHORT) -> DataFrame:
         lost = F.greatest(F.lit(1), F.floor((1 - COVERAGE) * F.greatest("n", "m") + 1e-9))
         # a word outside of the spans changes at most two bits of the words' signatures
         bits = F.bit_count(F.col("u").bitwiseXOR(F.col("p"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("q")))
-        return side("in_train", "xnuv").join(side("in_eval", "ympq"), "part").where((F.abs(F.col("n") - F.col("m")) <= lost) & (bits <= 2 * lost)).select("x", "y")
+        return side("in_train", "xnuv").join(side("in_eval", "ympq"), "part").where((F.greatest("n", "m") >= SHORT) & (F.abs(F.col("n") - F.col("m")) <= lost) & (bits <= 2 * lost)).select("x", "y")
 
-    pairs = meeting(by_word).unionByName(meeting(by_run)).distinct()
+    pairs = meeting(by_word).unionByName(meeting(by_run)).unionByName(near).distinct()
     line = lambda i, key, name: held.select(F.col("id").alias(i), F.col("text_key").alias(key), F.col("line").alias(name))
     both = pairs.join(line("x", "kx", "a"), "x").join(line("y", "ky", "b"), "y").where("kx <> ky")
     return both.select(F.col("kx").alias("x"), F.col("ky").alias("y"), "a", "b").mapInArrow(partial(_judged, short=short), _LINK)
@@ -267,16 +308,18 @@ def document_pairs(documents: DataFrame, elements: DataFrame) -> DataFrame:
     sides = split_sides(documents, trim(F.col("document_id")), F.try_element_at(F.col("metadata"), F.lit("split")))
     once = latest_delivery(elements, "element_id", ["document_id", "source_text"])
     placed = once.select(trim(F.col("document_id")).alias("key"), F.array_join(words_of(F.col("source_text")), " ").alias("line")).join(sides, "key")
-    placed = cut(placed.withColumn("line", F.coalesce("line", F.lit(""))).withColumn("text_key", F.unhex(F.md5("line"))))
-    texts = placed.where("line <> ''").groupBy("text_key").agg(F.any_value("line").alias("line"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
+    numbers = numbers_of(F.col("line"))
+    placed = placed.withColumn("line", F.coalesce("line", F.lit(""))).withColumn("text_key", F.unhex(F.md5("line")))
+    placed = cut(placed.withColumn("lead", F.xxhash64(F.array_join(numbers, " "))).withColumn("many", F.size(numbers) >= MANY - 1))
+    lines = placed.where("line <> ''").select("text_key", "line")
 
     # a text that nothing on the other side can be like is no counterpart: its numbers must be there
-    numbers = numbers_of(F.col("line"))
-    named = texts.select("text_key", "in_train", "in_eval", F.xxhash64(F.array_join(numbers, " ")).alias("lead"), (F.size(numbers) >= MANY - 1).alias("many"))
+    named = placed.where("line <> ''").groupBy("text_key", "lead", "many").agg(F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
     others = named.groupBy("lead").agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e"))
-    hot = named.join(others, "lead").select("text_key", F.when(F.col("many"), F.col("e") + 1).otherwise(F.col("e")).alias("e_hot"), F.when(F.col("many"), F.col("t") + 1).otherwise(F.col("t")).alias("t_hot"))
+    hot = named.join(others, "lead").select("text_key", F.when(F.col("many"), F.col("e") + 1).otherwise(F.col("e")).alias("e_hot"), F.when(F.col("many"), F.col("t") + 1).otherwise(F.col("t")).alias("t_hot"), "in_train", "in_eval")
+    hot = hot.where("(in_train AND e_hot > 0) OR (in_eval AND t_hot > 0)").drop("in_train", "in_eval")
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    held = placed.where("line <> ''").groupBy("key", "in_train", "in_eval", "text_key").agg(F.count(F.lit(1)).alias("times")).join(sizes, "key").join(hot, "text_key")
+    held = placed.where("line <> ''").groupBy("text_key", "key", "in_train", "in_eval").agg(F.count(F.lit(1)).alias("times")).join(hot, "text_key").join(sizes, "key")
     held = cut(held)
 
     def side(flag: str, heat: str, names: tuple[str, str, str, str]) -> DataFrame:
@@ -291,7 +334,8 @@ def document_pairs(documents: DataFrame, elements: DataFrame) -> DataFrame:
     def linked(xs: DataFrame, ys: DataFrame) -> DataFrame:
         """(x, y) of equal and alike texts among those of xs (x) and ys (y)."""
         sides = xs.select(F.col("x").alias("text_key"), F.lit(True).alias("t"), F.lit(False).alias("e")).unionByName(ys.select(F.col("y").alias("text_key"), F.lit(False).alias("t"), F.lit(True).alias("e")))
-        some = cut(sides.groupBy("text_key").agg(F.max("t").alias("in_train"), F.max("e").alias("in_eval")).join(texts.select("text_key", "line"), "text_key"))
+        sides = sides.groupBy("text_key").agg(F.max("t").alias("in_train"), F.max("e").alias("in_eval"))
+        some = cut(sides.join(lines, "text_key").groupBy("text_key", "in_train", "in_eval").agg(F.any_value("line").alias("line")))
         return cut(text_links(some).unionByName(some.where("in_train AND in_eval").select(F.col("text_key").alias("x"), F.col("text_key").alias("y"))))
 
     # more than half of the elements have a counterpart, so one of those in the smallest partitions
@@ -306,10 +350,20 @@ def document_pairs(documents: DataFrame, elements: DataFrame) -> DataFrame:
     train = cut(train.select("t", "x", "t_times").join(met.select("t").distinct(), "t", "left_semi"))
     other = cut(other.select("e", "y", "e_times").join(met.select("e").distinct(), "e", "left_semi"))
     links = linked(train, other)
-    matched = cut(met.join(train, "t").join(links, "x").join(other, ["e", "y"]))
-    counted = lambda text, times, name: matched.select("t", "e", "longer", text, times).distinct().groupBy("t", "e", "longer").agg(F.sum(times).alias(name))
-    both = counted("x", "t_times", "of_t").join(counted("y", "e_times", "of_e"), ["t", "e", "longer"])
-    pairs = both.where(2 * F.least("of_t", "of_e") > F.col("longer")).select(F.least("t", "e").alias("left_key"), F.greatest("t", "e").alias("right_key"))
+
+    def most(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, names: tuple[str, str, str, str, str]) -> DataFrame:
+        """The pairs of which one document has most of its elements' counterparts in the other.
+
+        What each document is alike to is listed first, once for all its pairs, so that rows grow
+        with a pair's elements and not with the texts that each of them is alike to.
+        """
+        key, text, times, other_key, other_text = names
+        alike_to = theirs.join(links, other_text).select(other_key, text).distinct()
+        counts = pairs.join(mine, key).join(alike_to, [other_key, text]).groupBy("t", "e", "longer").agg(F.sum(times).alias("n"))
+        return cut(counts.where("2 * n > longer").drop("n"))
+
+    both = most(most(met, train, other, ("t", "x", "t_times", "e", "y")), other, train, ("e", "y", "e_times", "t", "x"))
+    pairs = both.select(F.least("t", "e").alias("left_key"), F.greatest("t", "e").alias("right_key"))
     own = sides.where("in_train AND in_eval").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"))
     return pairs.unionByName(own).distinct()
 

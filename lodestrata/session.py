@@ -48,9 +48,16 @@ def ship(spark: SparkSession) -> None:
     context._lodestrata_shipped = True
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+#: Whether the files that a query shuffled are removed when it ends.
+_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, eager: bool = True, release: bool = False) -> DataFrame:
     """Cut the lineage by a reliable checkpoint.
 
+    With release, files that this step shuffled are removed once it is written; otherwise they stay
+    until the driver happens to collect its garbage. The setting holds for this step only.
+
     The folder is the one in spark.checkpoint.dir, which every executor shares, so lost executors
     lose nothing. Only where it is unset and all runs in one JVM a folder of our own is used; on a
     cluster that would be lost with its machine, so there it raises.
@@ -62,7 +69,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
         if not configured and not re.fullmatch(r"local(\[[^,\]]*(?:,[^\]]*)?\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestrata_checkpoint_"))
-    return df.checkpoint(eager)
+    if not (release and eager):
+        return df.checkpoint(eager)
+    before = spark.conf.get(_REMOVED, None)
+    spark.conf.set(_REMOVED, "true")
+    try:
+        # a plan of its own, since the setting is read when a plan is made
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.unset(_REMOVED) if before is None else spark.conf.set(_REMOVED, before)
 
 
 def parallelism(spark: SparkSession) -> int:

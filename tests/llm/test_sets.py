@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from lodestrata import session
 from lodestrata.llm import abuse, components, names, overlap, packing, splits
 from lodestrata.llm.figures import figure
 from pyspark.sql import functions as F
@@ -131,6 +133,43 @@ def test_links_equal_brute_force(spark):
     assert got == expected and len(expected) > 40
 
 
+def test_titles_of_different_firms_do_not_meet(spark, monkeypatch):
+    firms = [a + b for a in ("abcru", "defso", "ghilo", "jklma", "mnopu", "qrsti") for b in ("bandol", "fergit", "hulsek", "jomrap", "lunvex", "sitwam")]
+    rows = [(f"table 3 net sales of {f}".split(), i % 2 == 0, i % 2 == 1) for i, f in enumerate(firms)]
+    rows += [(line.split(), False, True) for line in ("table 3 net sales of abrcubandol", "table 3 the net sales of abcrubandol", "table 3 net sale of abcrubandol")]
+    found, expected = _sides(spark, rows)
+    assert found == expected and len(found) == 3
+    # all that is compared, not only what is found to be alike
+    monkeypatch.setattr(overlap, "_judged", lambda batches, short: (b.select(["x", "y"]) for b in batches))
+    assert _sides(spark, rows)[0] == expected
+
+
+def test_alike_texts_do_not_multiply_the_pairs_of_documents(spark, monkeypatch):
+    """Of documents that met, rows are their elements, not the texts that each of them is alike to."""
+    ends = "further modestly slightly steadily broadly again".split()
+    text = "estimates of this kind require judgment and actual results may differ "
+    docs = {f"t{i}": [text + e for e in ends] for i in range(3)} | {f"e{i}": [text + e for e in ends] for i in range(3)}
+    d = spark.createDataFrame([(k, {"split": "train" if k[0] == "t" else "test"}) for k in docs], "document_id string, metadata map<string,string>")
+    e = spark.createDataFrame([(f"{k}:{i}", k, x, "2024-01-01") for k, xs in docs.items() for i, x in enumerate(xs)], "element_id string, document_id string, source_text string, received_at string")
+    rows, real = [], overlap.cut
+    monkeypatch.setattr(overlap, "cut", lambda df: (rows.append((r := real(df)).count()), r)[1])
+    assert overlap.document_pairs(d, e).count() == 9
+    assert max(rows) <= 36
+
+
+def test_a_step_leaves_no_shuffled_files(spark):
+    shuffled = lambda: sum(p.stat().st_size for p in Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data"))
+    df = spark.range(200_000).groupBy((F.col("id") % 50_000).alias("k")).count()
+    before = shuffled()
+    done = session.cut(df, release=True)
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and done.count() == 50_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_near_copies_that_share_only_common_wording(spark):
     """What both share beside the wording of all texts stands between words that differ."""
     frame = [f"frame{c}" for c in "abcdefghijkl"]
