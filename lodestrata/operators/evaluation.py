@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodestrata.operators.ranking import merged
+
 K_VALUES = (1, 3, 5)
 
 
@@ -17,8 +19,8 @@ def per_query(rankings: DataFrame, gold: DataFrame, lineage: DataFrame, k_values
     Recall is the share of distinct gold elements that the first k units cover.
     """
     wanted = gold.select("query_id", F.trim("element_id").alias("element_id")).where(F.col("element_id") != "").distinct()
-    found = rankings.select("query_id", "chunk_id", "rank").join(lineage.select("chunk_id", "element_id").distinct(), "chunk_id").groupBy("query_id", "element_id").agg(F.min("rank").alias("rank"))
-    joined = wanted.join(found, ["query_id", "element_id"], "left")
+    found = rankings.select("query_id", "chunk_id", "rank").join(merged(lineage.select("chunk_id", "element_id").distinct()), "chunk_id").groupBy("query_id", "element_id").agg(F.min("rank").alias("rank"))
+    joined = wanted.join(merged(found), ["query_id", "element_id"], "left")
     measures = [F.min("rank").alias("first_relevant_rank"), F.count(F.lit(1)).alias("n_gold")]
     for k in sorted(set(k_values)):
         within = F.count(F.when(F.col("rank") <= k, 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.functions.text import page_label
+from lodestrata.operators.ranking import merged
 
 #: The exact refusal and the instruction that asks for it.
 UNSUPPORTED = "I cannot answer this question from the supplied context."
@@ -41,8 +42,8 @@ def grounded_prompts(queries: DataFrame, ranking: DataFrame, units: DataFrame) -
     """
     shown = units.select("chunk_id", "text", page_label(F.col("page_start"), F.col("page_end")).alias("page"))
     item = source_item(F.col("rank"), F.col("page"), F.col("chunk_id"), F.col("text"))
-    parts = ranking.select("query_id", "chunk_id", "rank").join(shown, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items"))
-    joined = queries.select("query_id", F.trim("query_text").alias("question")).join(parts, "query_id", "left")
+    parts = ranking.select("query_id", "chunk_id", "rank").join(merged(shown), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items"))
+    joined = queries.select("query_id", F.trim("query_text").alias("question")).join(merged(parts), "query_id", "left")
     asked = F.when(F.coalesce(F.col("question"), F.lit("")) != "", F.col("question")).otherwise(F.raise_error(F.lit("a question is blank")).cast("string"))
     user = user_message(F.transform("items", lambda i: i["item"]), asked)
     return joined.select("query_id", F.lit(INSTRUCTION).alias("system"), user.alias("user"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).alias("n_sources"))

@@ -93,45 +93,99 @@ def _first_ids(queries: DataFrame, scores: DataFrame, units: DataFrame, k: int)
     return near.unionByName(beyond)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, for a join by sorting: before arrays and texts are taken apart its size is guessed far too low, and a broadcast passes through the driver."""
+    return df.hint("merge")
+
+
+def asked_terms(queries: DataFrame, scope: Sequence[str], query_text: str = "query_text", normalize_query: bool = False) -> DataFrame:
+    """(query_id, *scope, term, times) of queries (query_id, *scope, query_text)."""
+    words = query_tokens(F.col(query_text)) if normalize_query else lexical_tokens(F.col(query_text))
+    return queries.select("query_id", *scope, F.explode(words).alias("term")).groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def bm25_asked(units: DataFrame, terms: DataFrame, scope: Sequence[str], text: str = "text") -> DataFrame:
+    """What terms (*scope, term) need of units (chunk_id, *scope, text), written once: (*scope, chunk_id, dl, term, df, n).
+
+    Rows with a chunk_id are the occurrences of asked terms, n each, and one of no term for a unit
+    without any; the others say how many terms of a scope lie in df of its units each. Scopes that
+    no query asks are left out. Terms that no query asks are counted where they are cut from the
+    texts and go no further, so this is a small part of bm25_postings().
+    """
+    scope = list(scope)
+    wanted = terms.groupBy(*scope).agg(F.collect_set("term").alias("asked"))
+    # one string of words, since arrays of them take several times the room
+    tokens = units.select(*scope, "chunk_id", F.array_join(lexical_tokens(F.col(text)), " ").alias("words"))
+    held = tokens.join(merged(wanted), scope).withColumn("tokens", F.when(F.col("words") != "", F.split("words", " ")))
+    # both parts read the words as they lie by scope, so they are cut and shuffled once; outer explodes,
+    # since others are preceded by a filter that would cut the texts again
+    known = held.select(*scope, "chunk_id", F.explode_outer(F.array_distinct("tokens")).alias("term")).groupBy(*scope, "term").agg(F.count("chunk_id").alias("df")).where("term IS NOT NULL")
+    spread = known.groupBy(*scope, "df").agg(F.count(F.lit(1)).alias("n"))
+    hits = held.select(*scope, "chunk_id", "tokens", F.array_intersect("tokens", "asked").alias("hits"))
+    hits = hits.select(*scope, "chunk_id", F.size("tokens").alias("dl"), F.explode_outer(F.filter("tokens", lambda t: F.array_contains("hits", t))).alias("term"))
+    hits = hits.groupBy(*scope, "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("n"))
+    return cut(hits.unionByName(spread, allowMissingColumns=True), release=True)
+
+
+def _asked_parts(asked: DataFrame, scope: Sequence[str], variant: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of bm25_asked(): postings and idf (*scope, term, idf, avgdl) of asked terms, and lengths of all units."""
+    scope = list(scope)
+    of_units = asked.where("chunk_id IS NOT NULL AND dl > 0")
+    postings = of_units.where("term IS NOT NULL").select(*scope, "chunk_id", "dl", "term", F.col("n").alias("tf"))
+    lengths = _lengths(of_units, scope)
+    sizes = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    if variant == "plus":
+        return postings, df.join(merged(sizes), scope).select(*scope, "term", "avgdl", (F.log(F.col("n") + 1.0) - F.log(F.col("df").cast("double"))).alias("idf")), lengths
+    # frequent terms get a share of the scope's mean, taken over its vocabulary
+    spread = asked.where("df IS NOT NULL").select(*scope, "df", F.col("n").alias("times")).join(merged(sizes), scope)
+    mean = spread.groupBy(*scope, "n", "avgdl").agg((F.sum(F.col("times") * raw) / F.sum("times")).alias("mean"))
+    joined = df.join(merged(mean), scope).withColumn("raw", raw)
+    return postings, joined.select(*scope, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), lengths
+
+
 def bm25(
     units: DataFrame, queries: DataFrame, *, k: int = 5, scope: Sequence[str] = ("document_id",), variant: str = "okapi",
     normalize_query: bool = False, text: str = "text", query_text: str = "query_text", digits: int | None = 9,
 ) -> DataFrame:
     """The k best units of each query.
 
-    units: (chunk_id, *scope, text), or the postings of them; queries: (query_id, *scope,
-    query_text). Query terms count as
+    units: (chunk_id, *scope, text), or the postings of them, or what bm25_asked() has of them for
+    these queries; queries: (query_id, *scope, query_text). Query terms count as
     often as they occur, unknown ones add nothing, and units without any term stay in the ranking
     with score 0, as far as they are needed to fill k. Units and queries without tokens take no part.
     """
     if variant not in ("okapi", "plus"):
         raise ValueError("variant must be okapi or plus")
     scope = list(scope)
-    postings = units if "tf" in units.columns else bm25_postings(units, scope, text)
-    words = query_tokens(F.col(query_text)) if normalize_query else lexical_tokens(F.col(query_text))
-    terms = queries.select("query_id", *scope, F.explode(words).alias("term")).groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = asked_terms(queries, scope, query_text, normalize_query)
+    if "tf" in units.columns or not scope:
+        postings = units if "tf" in units.columns else bm25_postings(units, scope, text)
+        idf, lengths = _idf(postings, scope, variant), _lengths(postings, scope)
+    else:
+        postings, idf, lengths = _asked_parts(units if {"dl", "df"} <= set(units.columns) else bm25_asked(units, terms, scope, text), scope, variant)
     # weights of query terms only, found once: the statistics never meet the postings of other terms
-    weights = cut(terms.join(_idf(postings, scope, variant), [*scope, "term"]))
-    met = weights.join(postings, [*scope, "term"])
+    weights = cut(terms.join(merged(idf), [*scope, "term"]), release=True)
+    met = weights.join(merged(postings), [*scope, "term"])
     tfn = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = cut(met.groupBy("query_id", *scope, "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * tfn).alias("score")))
+    scores = cut(met.groupBy("query_id", *scope, "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * tfn).alias("score")), release=True)
     asked = terms.groupBy("query_id", *scope).agg(F.count(F.lit(1)).alias("n_terms"))
     if variant == "plus":
         # a term adds its idf to every unit of the scope, with or without the term
         base = weights.groupBy("query_id", *scope).agg(F.sum(F.col("times") * F.col("idf") * DELTA).alias("base"))
-        asked = asked.join(base, ["query_id", *scope], "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
+        asked = asked.join(merged(base), ["query_id", *scope], "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
     else:
         asked = asked.withColumn("base", F.lit(0.0))
     # only queries with fewer than k units above the base need the others
     enough = scores.where(F.round("score", 9) > 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
-    needy = asked.join(enough, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", *scope)
-    lengths = _lengths(postings, scope)
+    needy = asked.join(merged(enough), "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", *scope)
     if scope:
-        idle = needy.join(lengths.select(*scope, "chunk_id"), scope)
+        idle = needy.join(merged(lengths.select(*scope, "chunk_id")), scope)
     else:
         idle = _first_ids(needy, scores, lengths.select("chunk_id"), k)
-    idle = idle.join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", *scope, "chunk_id", F.lit(0.0).alias("score"))
-    whole = scores.unionByName(idle).join(asked.select("query_id", "base"), "query_id")
+    idle = idle.join(merged(scores.select("query_id", "chunk_id")), ["query_id", "chunk_id"], "left_anti").select("query_id", *scope, "chunk_id", F.lit(0.0).alias("score"))
+    whole = scores.unionByName(idle).join(merged(asked.select("query_id", "base")), "query_id")
     return top_k(whole.select("query_id", "chunk_id", (F.col("score") + F.col("base")).alias("score")), k, digits)
 
 

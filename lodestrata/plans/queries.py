@@ -45,6 +45,17 @@ def _postings(spark: SparkSession, folder: str) -> DataFrame:
     return held["postings"]
 
 
+def _asked_index(spark: SparkSession, folder: str, normalize_query: bool) -> DataFrame:
+    """What rankings by BM25 need of the units; queries that also need vectors take the postings of all terms."""
+    held = _HELD.get()
+    if held is None:
+        held = {}
+    if ("asked", normalize_query) not in held:
+        terms = ranking.asked_terms(_questions(spark, folder), ["document_id"], normalize_query=normalize_query)
+        held["asked", normalize_query] = ranking.bm25_asked(_units(spark, folder, "document_id", "text"), terms, ["document_id"])
+    return held["asked", normalize_query]
+
+
 def _elements(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "elements").drop("metadata"), "element_id")
 
@@ -77,7 +88,10 @@ def _vectors(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, folder: str, k: int = 5, variant: str = "okapi", normalize_query: bool = False) -> DataFrame:
-    return ranking.bm25(_postings(spark, folder), _questions(spark, folder), k=k, variant=variant, normalize_query=normalize_query)
+    questions = _questions(spark, folder)
+    if "postings" in (_HELD.get() or {}):
+        return ranking.bm25(_postings(spark, folder), questions, k=k, variant=variant, normalize_query=normalize_query)
+    return ranking.bm25(_asked_index(spark, folder, normalize_query), questions, k=k, variant=variant, normalize_query=normalize_query)
 
 
 def _dense(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
@@ -150,7 +164,8 @@ def dense_scoped_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(ranking.rrf(_bm25(spark, folder, 20), _dense(spark, folder, 20)), "bm25_rank", "dense_rank")
+    near = _dense(spark, folder, 20)  # first, so that both rank by its postings
+    return _shown(ranking.rrf(_bm25(spark, folder, 20), near), "bm25_rank", "dense_rank")
 
 
 def parent_diverse_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,8 +183,8 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 def ranking_validity(spark: SparkSession, folder: str) -> DataFrame:
     """Rankings that have gaps after their gold was taken out and before they are ranked anew."""
     units = _units(spark, folder, *_LINEAGE)
-    touching = linkage.lineage(units).join(_facts(spark, folder).select("query_id", "element_id"), "element_id").select("query_id", "chunk_id")
-    return ranking.invalid_rankings(_bm25(spark, folder, 20).join(touching, ["query_id", "chunk_id"], "left_anti"))
+    touching = linkage.lineage(units).join(ranking.merged(_facts(spark, folder).select("query_id", "element_id")), "element_id").select("query_id", "chunk_id")
+    return ranking.invalid_rankings(_bm25(spark, folder, 20).join(ranking.merged(touching), ["query_id", "chunk_id"], "left_anti"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------
@@ -177,7 +192,7 @@ def ranking_validity(spark: SparkSession, folder: str) -> DataFrame:
 
 def _evaluations(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
     evals = evaluation.per_query(found, _facts(spark, folder), linkage.lineage(_units(spark, folder, *_LINEAGE)))
-    return evals.join(_examples(spark, folder).select("query_id", "dataset"), "query_id")
+    return evals.join(ranking.merged(_examples(spark, folder).select("query_id", "dataset")), "query_id")
 
 
 def retrieval_per_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,7 +210,8 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metric_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    d = evaluation.deltas(_metrics(spark, folder, _bm25(spark, folder)), _metrics(spark, folder, _dense(spark, folder)))
+    near = _dense(spark, folder)  # first, so that both rank by its postings
+    d = evaluation.deltas(_metrics(spark, folder, _bm25(spark, folder)), _metrics(spark, folder, near))
     return d.select("scope", "metric", *[F.round(c, 6).alias(c) for c in ("baseline", "candidate", "delta")])
 
 
@@ -267,7 +283,7 @@ def qa_link_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def evidence_match(spark: SparkSession, folder: str) -> DataFrame:
     """The unit of its document that holds or covers each gold element's text best."""
-    facts = _facts(spark, folder).join(_elements(spark, folder).select("element_id", F.col("source_text").alias("evidence")), "element_id")
+    facts = _facts(spark, folder).join(ranking.merged(latest(table(spark, folder, "elements").drop("metadata"), "element_id", keep=["source_text"]).withColumnRenamed("source_text", "evidence")), "element_id")
     facts = facts.select(F.concat_ws("#", "query_id", "element_id").alias("fact_id"), "document_id", "evidence").distinct()
     m = linkage.match_evidence(facts, _units(spark, folder, "document_id", "chunk_index", "text"))
     return m.select("fact_id", "chunk_id", "chunk_index", F.round("score", 6).alias("score"))
@@ -407,9 +423,9 @@ def answer_differences(spark: SparkSession, folder: str) -> DataFrame:
 
 def refusal_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the ranked context of a question gives its answer away."""
-    shown = _bm25(spark, folder, 3).join(_units(spark, folder, "text"), "chunk_id")
+    shown = _bm25(spark, folder, 3).join(ranking.merged(_units(spark, folder, "text")), "chunk_id")
     context = shown.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("context"))
-    joined = context.join(_examples(spark, folder).select("query_id", "answer"), "query_id").where("answer IS NOT NULL")
+    joined = context.join(ranking.merged(_examples(spark, folder).select("query_id", "answer")), "query_id").where("answer IS NOT NULL")
     return joined.select("query_id", export.context_contains_answer(F.col("context"), F.col("answer")).alias("given_away"))
 
 
