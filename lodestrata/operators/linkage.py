@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestrata.functions.text import evidence_text, evidence_tokens, link_text, row_text
+from lodestrata.operators.ranking import merged
+from lodestrata.session import cut
 
 
 def link_questions(records: DataFrame, known: DataFrame) -> DataFrame:
@@ -23,6 +25,10 @@ def link_questions(records: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("link_status", status).withColumn("linked_id", F.when(F.col("link_status").isin("exact", "equivalent"), F.col("_id"))).drop("_q", "_a", "_n", "_signatures", "_id", "_asked")
 
 
+#: Facts of a document from which its units meet them over rare words instead of each.
+CROWDED = 200
+
+
 def match_evidence(facts: DataFrame, units: DataFrame, minimum: float = 0.6) -> DataFrame:
     """(fact_id, chunk_id, chunk_index, score): the best unit of the fact's document for each fact.
 
@@ -30,25 +36,47 @@ def match_evidence(facts: DataFrame, units: DataFrame, minimum: float = 0.6) ->
     score is 1 where the unit holds the evidence, else the share of its distinct words the unit
     holds; the lowest index wins a tie. Facts without words or below the minimum have no match.
 
-    A unit that may reach the minimum holds one of the fact's rarest words, of more than the share
-    it may lack, so facts meet units over those only. Evidence of one or two words may also lie
-    inside a longer word, so it meets all units of its document.
+    Units of a document meet each of its facts, and where it has more than CROWDED facts only those
+    they may match.
     """
-    f = facts.select("fact_id", "document_id", evidence_text(F.col("evidence")).alias("e")).withColumn("ew", evidence_tokens(F.col("e"))).where(F.size("ew") > 0)
+    f = cut(facts.where("fact_id IS NOT NULL").select("fact_id", "document_id", evidence_text(F.col("evidence")).alias("e")).withColumn("ew", evidence_tokens(F.col("e"))), release=True).where(F.size("ew") > 0)
     u = units.select("document_id", "chunk_id", "chunk_index", evidence_text(F.col("text")).alias("t")).withColumn("uw", evidence_tokens(F.col("t")))
+    crowded = f.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("document_id")
+    any_crowded = not crowded.isEmpty()
+    few = f.join(merged(crowded), "document_id", "left_anti") if any_crowded else f
+    spaced = lambda words: F.concat(F.lit(" "), words, F.lit(" "))
+    # one string of words, since arrays of them take several times the room
+    both = u.select("document_id", "chunk_id", "chunk_index", "t", spaced(F.array_join("uw", " ")).alias("words")).join(merged(few), "document_id")
+    scored = _best(both, F.size(F.filter("ew", lambda w: F.contains("words", spaced(w)))), minimum)
+    if any_crowded:
+        many = _met_by_rare_words(f.join(merged(crowded), "document_id", "left_semi"), u.join(merged(crowded), "document_id", "left_semi"), minimum)
+        scored = scored.unionByName(_best(many, F.size(F.array_intersect("ew", "uw")), minimum))
+    return scored.groupBy("fact_id").agg(F.min("b").alias("b")).select("fact_id", "b.chunk_id", "b.chunk_index", (-F.col("b.s")).alias("score"))
+
+
+def _best(both: DataFrame, held: Column, minimum: float) -> DataFrame:
+    """(fact_id, b) of pairs of facts and units that reach the minimum; the smallest b is the best."""
+    scored = both.withColumn("score", F.when(F.contains("t", "e"), 1.0).otherwise(held / F.size("ew"))).where(F.col("score") >= minimum)
+    return scored.select("fact_id", F.struct((-F.col("score")).alias("s"), "chunk_index", "chunk_id").alias("b"))
+
+
+def _met_by_rare_words(f: DataFrame, u: DataFrame, minimum: float) -> DataFrame:
+    """Pairs of facts and units of their document that may reach the minimum.
+
+    Such a unit holds one of the fact's rarest words, of more than the share it may lack, so facts
+    meet units over those only. Evidence of one or two words may also lie inside a longer word, so
+    it meets all units of its document.
+    """
     long = F.size(F.split("e", " ")) > 2
     words = u.select("document_id", "chunk_id", F.explode("uw").alias("word"))
     df = words.groupBy("document_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    asked = f.where(long).select("fact_id", "document_id", F.size("ew").alias("n"), F.explode("ew").alias("word")).join(df, ["document_id", "word"], "left").fillna(0, ["df"])
+    asked = f.where(long).select("fact_id", "document_id", F.size("ew").alias("n"), F.explode("ew").alias("word")).join(merged(df), ["document_id", "word"], "left").fillna(0, ["df"])
     place = F.row_number().over(Window.partitionBy("fact_id", "document_id").orderBy("df", "word"))
     # evidence that lies in a unit may be cut at its two ends
     rare = asked.withColumn("place", place).where(F.col("place") <= F.greatest(F.floor((1 - minimum) * F.col("n") + 1e-9), F.lit(2)) + 1)
-    met = rare.where("df > 0").join(words, ["document_id", "word"]).select("fact_id", "document_id", "chunk_id").distinct()
-    brief = f.where(~long).select("fact_id", "document_id").join(u.select("document_id", "chunk_id"), "document_id")
-    both = met.unionByName(brief.select("fact_id", "document_id", "chunk_id")).join(f, ["fact_id", "document_id"]).join(u, ["document_id", "chunk_id"])
-    scored = both.withColumn("score", F.when(F.contains("t", "e"), 1.0).otherwise(F.size(F.array_intersect("ew", "uw")) / F.size("ew"))).where(F.col("score") >= minimum)
-    best = F.struct((-F.col("score")).alias("s"), "chunk_index", "chunk_id")
-    return scored.groupBy("fact_id").agg(F.min(best).alias("b")).select("fact_id", "b.chunk_id", "b.chunk_index", (-F.col("b.s")).alias("score"))
+    met = rare.where("df > 0").join(merged(words), ["document_id", "word"]).select("fact_id", "document_id", "chunk_id").distinct()
+    brief = f.where(~long).select("fact_id", "document_id").join(merged(u.select("document_id", "chunk_id")), "document_id")
+    return met.unionByName(brief.select("fact_id", "document_id", "chunk_id")).join(merged(f), ["fact_id", "document_id"]).join(merged(u), ["document_id", "chunk_id"])
 
 
 def lineage(units: DataFrame) -> DataFrame:
