@@ -45,13 +45,23 @@ def _postings(spark: SparkSession, folder: str) -> DataFrame:
     return held["postings"]
 
 
+def _asked_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions, written once for the steps of a ranking."""
+    held = _HELD.get()
+    if held is None:
+        held = {}
+    if "questions" not in held:
+        held["questions"] = cut(_questions(spark, folder), release=True)
+    return held["questions"]
+
+
 def _asked_index(spark: SparkSession, folder: str, normalize_query: bool) -> DataFrame:
     """What rankings by BM25 need of the units; queries that also need vectors take the postings of all terms."""
     held = _HELD.get()
     if held is None:
         held = {}
     if ("asked", normalize_query) not in held:
-        terms = ranking.asked_terms(_questions(spark, folder), ["document_id"], normalize_query=normalize_query)
+        terms = ranking.asked_terms(_asked_questions(spark, folder), ["document_id"], normalize_query=normalize_query)
         held["asked", normalize_query] = ranking.bm25_asked(_units(spark, folder, "document_id", "text"), terms, ["document_id"])
     return held["asked", normalize_query]
 
@@ -88,7 +98,7 @@ def _vectors(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, folder: str, k: int = 5, variant: str = "okapi", normalize_query: bool = False) -> DataFrame:
-    questions = _questions(spark, folder)
+    questions = _asked_questions(spark, folder)
     if "postings" in (_HELD.get() or {}):
         return ranking.bm25(_postings(spark, folder), questions, k=k, variant=variant, normalize_query=normalize_query)
     return ranking.bm25(_asked_index(spark, folder, normalize_query), questions, k=k, variant=variant, normalize_query=normalize_query)
